@@ -43,9 +43,13 @@ QUERIES = {q.__name__: q for q in (p7_found, p7_pieces, p9_found, p9_leaks, p10_
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
-    "p9_found": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+    "p9_found": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
 bg AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
+    "p10_found": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+w AS (SELECT DISTINCT doc_id, hash(substring(text, i, 300)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
+o AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT * FROM w SEMI JOIN o USING (g)) a JOIN (SELECT * FROM w SEMI JOIN o USING (g)) b USING (g) WHERE a.doc_id < b.doc_id""",
 }
