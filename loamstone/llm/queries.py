@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import leakage, shared_spans, splitting
+from loamstone.llm import encoding, leakage, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per affected element: the text restored as far as it can be, and whether that is all of it."""
+    return encoding.repair_encoding(table(spark, sf_dir, "document_elements"), "element_id", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_restored(spark, sf_dir).select("element_id")
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "document_elements"), "element_id", "text", F.col("provenance.page"))
 
@@ -39,7 +48,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",

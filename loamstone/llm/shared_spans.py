@@ -29,6 +29,10 @@ from loamstone.plans.tables import cut
 RUN, GRAM = 300, 200
 #: Records of a group that are paired by their units alone.
 HOT = 64
+#: Records of one batch from which a unit is set apart before the others are grouped in tasks.
+LOCAL_HOT = 32
+#: Bits of the filter that keeps the records whose texts are needed.
+FILTER_BITS = 1 << 23
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +61,44 @@ def _units(run: int, gram: int):
             stop = at + gram
             broken = (stop < len(data)) & ((data[np.minimum(stop, len(data) - 1)] & 0xC0) == 0x80)
             start = lead[at] - lead[off[i]]
-            end = lead[stop] - lead[off[i]] - broken
+            size = lead[stop] - broken - lead[at]
+            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(i)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "doc", "start", "stop"]
+                [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(i)), pa.array(start << 10 | size), pa.array(n[which] >= LOCAL_HOT)], names=["h", "doc", "place", "hot"]
             )
 
     return go
 
 
+def _meet(kind: pa.DataType):
+    """Pairs of records per unit, for the units of one partition; rows of larger groups come out unpaired (b NULL)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), None) if (batches := list(batches)) else None
+        if t is None or not t.num_rows:
+            return
+        h, place = t["h"].to_numpy(), t["place"].to_numpy()
+        doc = t["doc"].combine_chunks()
+        if isinstance(doc, pa.ChunkedArray):
+            doc = doc.chunk(0)
+        order = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        size = np.diff(np.r_[begin, len(order)])
+        for s in np.unique(size[size > 1]).tolist():
+            rows = order[begin[size == s][:, None] + np.arange(s)]
+            if s > HOT:
+                r = rows.reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[r]), doc.take(pa.array(r)), pa.nulls(len(r), kind), pa.array(place[r]), pa.array(place[r])], names=["h", "a", "b", "place", "other"])
+                continue
+            x, y = np.triu_indices(s, 1)
+            for lo in range(0, len(rows), max(1, 200_000 // len(x))):
+                part = rows[lo : lo + max(1, 200_000 // len(x))]
+                p, q = part[:, x].reshape(-1), part[:, y].reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[p]), doc.take(pa.array(p)), doc.take(pa.array(q)), pa.array(place[p]), pa.array(place[q])], names=["h", "a", "b", "place", "other"])
+
+    return go
+
+
 def grams(text: str, run: int) -> np.ndarray:
     """Hashes of every ``run`` characters of ``text``."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -121,9 +155,36 @@ def _hot_windows(run: int):
     return go
 
 
+def _bits(x: pa.Array | np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(x)) % np.uint64(FILTER_BITS)
+
+
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most records that are not in ``ids``, by a hash filter of fixed size."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b = np.unique(_bits(pdf["doc"].to_numpy()))
+            words = np.zeros(FILTER_BITS // 64, np.uint64)
+            np.bitwise_or.at(words, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+            at = np.flatnonzero(words)
+            yield pd.DataFrame({"word": at, "mask": words[at].view(np.int64)})
+
+    rows = ids.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _bits(batch.column(0).to_numpy(zero_copy_only=False))
+            hit = (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    t = docs.join(ids, "doc", "left_semi")
+    t = _needed(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     return pairs.join(t.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
 
 
@@ -131,35 +192,41 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     """Distinct (a, b), a < b, of records whose texts have ``run`` successive characters in common."""
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= run)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc"]
-    units = cut(docs.mapInArrow(_units(run, gram), f"h long, doc {kind}, start int, stop int"))
-    often = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    many = cut(units.join(often, "h"))
-    met = (
-        many.where(F.col("n") <= HOT).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("doc", "start", "stop"))).alias("x"))
-        .select(F.explode(F.expr("flatten(transform(x, (l, i) -> transform(slice(x, i + 2, size(x)), r -> struct(l.doc as a, r.doc as b, l.start as start, l.stop as stop, l.start - r.start as diagonal))))")).alias("p"))
-        .select("p.*").where("a < b")
-    )
+    units = cut(docs.mapInArrow(_units(run, gram), f"h long, doc {kind}, place long, hot boolean"))
+    # units that are frequent even within a batch are set apart, so that no task below gathers a large group
+    apart = units.where("hot").select("h").distinct()
+    cold = units.join(apart, "h", "left_anti").select("h", "doc", "place")
+    met = cut(cold.repartition("h").mapInArrow(_meet(_arrow(kind)), f"h long, a {kind}, b {kind}, place long, other long"))
+    at, size = lambda c: F.shiftright(c, 10), lambda c: F.col(c).bitwiseAND(1023)
+    found = met.where("b is not null").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.when(F.col("a") < F.col("b"), 1).otherwise(-1) * (at("place") - at("other"))).alias("diagonal"),
+        at(F.when(F.col("a") < F.col("b"), F.col("place")).otherwise(F.col("other"))).cast("int").alias("start"), size("place").cast("int").alias("size"),
+    ).where("a <> b")
     # the longest stretch of one diagonal that overlapping units cover without a gap
     longest = F.expr(
-        "aggregate(array_sort(collect_list(struct(start, stop))), struct(0 as s, -1 as e, 0 as best),"
+        "aggregate(array_sort(collect_list(struct(start, start + size as stop))), struct(0 as s, -1 as e, 0 as best),"
         " (m, u) -> case when u.start <= m.e then struct(m.s as s, greatest(m.e, u.stop) as e, greatest(m.best, greatest(m.e, u.stop) - m.s) as best)"
         " else struct(u.start as s, u.stop as e, greatest(m.best, u.stop - u.start) as best) end, m -> m.best)"
     )
-    pairs = cut(met.groupBy("a", "b", "diagonal").agg(longest.alias("best")).groupBy("a", "b").agg(F.max("best").alias("best")))
+    pairs = cut(found.groupBy("a", "b", "diagonal").agg(longest.alias("best")).groupBy("a", "b").agg(F.max("best").alias("best")))
     sure = pairs.where(F.col("best") >= run).select("a", "b")
     unsure = pairs.where(F.col("best") < run).select("a", "b")
     compared = _with_texts(unsure, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, False), f"a {kind}, b {kind}")
-    hot = many.where(F.col("n") > HOT)
+    hot = met.where("b is null").select("h", F.col("a").alias("doc"), "place").unionByName(units.join(apart, "h", "left_semi").select("h", "doc", "place"))
     if hot.isEmpty():
         return sure.unionByName(compared).distinct()
-    around = hot.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    windows = cut(docs.join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
+    around = hot.groupBy("doc").agg(F.collect_list(at("place").cast("int")).alias("starts"), F.collect_list((at("place") + size("place")).cast("int")).alias("stops"))
+    windows = cut(_needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
     # records with the same windows meet here because they share a whole run: each pair is a result
     w = windows.join(windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
-    from_hot = w.select("h", F.col("doc").alias("a")).join(w.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b")
+    from_hot = w.select("h", F.col("doc").alias("a")).join(w.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b").distinct()
     return sure.unionByName(compared).unionByName(from_hot).distinct()
 
 
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 def shared_spans(df: DataFrame, key: str, text: str, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """(doc, other, start, stop): the stretches of ``doc``, in characters, that ``other`` holds verbatim."""
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= run)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
