@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import encoding, leakage, shared_spans, splitting
+from loamstone.llm import encoding, leakage, scans, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
@@ -18,6 +18,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_restored(spark, sf_dir).select("element_id")
 
 
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per element whose text changes: the kinds of noise, and its text as continuous paragraphs."""
+    return scans.repair_scans(table(spark, sf_dir, "document_elements"), "element_id", "text", "element_type")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_repaired(spark, sf_dir).select("element_id", F.explode("noise").alias("noise"))
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "document_elements"), "element_id", "text", F.col("provenance.page"))
 
@@ -48,7 +57,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
