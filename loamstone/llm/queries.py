@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import encoding, leakage, scans, shared_spans, splitting
+from loamstone.llm import encoding, leakage, packing, scans, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
@@ -35,6 +35,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pieces(spark, sf_dir).where("piece_no = 0").select("element_id", "page")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.container_report(p8_containers(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -57,7 +66,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
