@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import encoding, leakage, packing, scans, shared_spans, splitting
+from loamstone.llm import encoding, leakage, packing, personal, scans, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
+def _personal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat = personal.long_form(table(spark, sf_dir, "chat_turns"), "turn_id", ["user_query", "ai_response"])
+    elements = personal.long_form(table(spark, sf_dir, "document_elements"), "element_id", ["text"])
+    return chat.unionByName(elements)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("field") == "text", "document_elements").otherwise("chat_turns").alias("record_table")
+    return df.select(kind, F.col("k").alias("record_id"), F.col("field").alias("field_name"), *[c for c in df.columns if c not in ("k", "field")])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(personal.personal_types(_personal_rows(spark, sf_dir)))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that holds personal information, with typed placeholders in its place."""
+    return _named(personal.masked(_personal_rows(spark, sf_dir)))
+
+
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per affected element: the text restored as far as it can be, and whether that is all of it."""
     return encoding.repair_encoding(table(spark, sf_dir, "document_elements"), "element_id", "text")
@@ -66,7 +86,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
