@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import encoding, leakage, packing, personal, scans, shared_spans, splitting
+from loamstone.llm import encoding, leakage, packing, pairs, personal, scans, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "chat_turns"), "turn_id", "user_query", "ai_response")
+
+
 def _personal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = personal.long_form(table(spark, sf_dir, "chat_turns"), "turn_id", ["user_query", "ai_response"])
     elements = personal.long_form(table(spark, sf_dir, "document_elements"), "element_id", ["text"])
@@ -86,7 +90,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p1_found, p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
