@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import encoding, leakage, packing, pairs, personal, scans, shared_spans, splitting
+from loamstone.llm import encoding, leakage, near_duplicates, packing, pairs, personal, scans, shared_spans, splitting
 from loamstone.plans.tables import table
 
 
@@ -13,6 +13,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, sf_dir, "chat_turns"), "turn_id", "user_query", "ai_response")
 
 
+def _similar(spark: SparkSession, sf_dir: str) -> near_duplicates.Similar:
+    return near_duplicates.Similar(table(spark, sf_dir, "document_elements"), "element_id", "text", n=3, similarity=0.7, least_words=25)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir).pairs().select(F.col("a").alias("element_id_a"), F.col("b").alias("element_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per element in a group of near duplicates: the group and its number of links."""
+    return _similar(spark, sf_dir).groups().withColumnRenamed("doc", "element_id")
+
+
 def _personal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = personal.long_form(table(spark, sf_dir, "chat_turns"), "turn_id", ["user_query", "ai_response"])
     elements = personal.long_form(table(spark, sf_dir, "document_elements"), "element_id", ["text"])
@@ -90,9 +103,17 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_groups, p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
+    "p2_found": r"""WITH t AS (SELECT DISTINCT element_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM document_elements),
+s AS (SELECT DISTINCT element_id, hash(w[i], w[i+1], w[i+2]) AS g FROM (SELECT element_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 25)),
+n AS (SELECT element_id, count(*) AS n FROM s GROUP BY element_id),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+p AS (SELECT element_id, g FROM s JOIN f USING (g) JOIN n USING (element_id) QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY df, g) <= n - ceil(0.7 * n) + 1),
+c AS (SELECT DISTINCT a.element_id AS a, b.element_id AS b FROM p a JOIN p b USING (g) JOIN n x ON x.element_id = a.element_id JOIN n y ON y.element_id = b.element_id WHERE a.element_id < b.element_id AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)),
+o AS (SELECT c.a, c.b, count(*) AS both FROM c JOIN s x ON x.element_id = c.a JOIN s y ON y.element_id = c.b AND y.g = x.g GROUP BY ALL)
+SELECT a AS element_id_a, b AS element_id_b FROM o JOIN n x ON x.element_id = a JOIN n y ON y.element_id = b WHERE both >= 0.7 * (x.n + y.n - both) - 1e-9""",
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
     "p9_found": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),

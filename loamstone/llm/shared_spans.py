@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import needed, with_texts
 from loamstone.llm.winnow import Winnower, mix
 from loamstone.plans.tables import cut
 
@@ -31,8 +32,6 @@ RUN, GRAM = 300, 200
 HOT = 64
 #: Records of one batch from which a unit is set apart before the others are grouped in tasks.
 LOCAL_HOT = 32
-#: Bits of the filter that keeps the records whose texts are needed.
-FILTER_BITS = 1 << 23
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,39 +154,6 @@ def _hot_windows(run: int):
     return go
 
 
-def _bits(x: pa.Array | np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(np.asarray(x)) % np.uint64(FILTER_BITS)
-
-
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most records that are not in ``ids``, by a hash filter of fixed size."""
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            b = np.unique(_bits(pdf["doc"].to_numpy()))
-            words = np.zeros(FILTER_BITS // 64, np.uint64)
-            np.bitwise_or.at(words, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-            at = np.flatnonzero(words)
-            yield pd.DataFrame({"word": at, "mask": words[at].view(np.int64)})
-
-    rows = ids.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _bits(batch.column(0).to_numpy(zero_copy_only=False))
-            hit = (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool)))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    t = _needed(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
-    return pairs.join(t.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-
-
 def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """Distinct (a, b), a < b, of records whose texts have ``run`` successive characters in common."""
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= run)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -211,12 +177,12 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     pairs = cut(found.groupBy("a", "b", "diagonal").agg(longest.alias("best")).groupBy("a", "b").agg(F.max("best").alias("best")))
     sure = pairs.where(F.col("best") >= run).select("a", "b")
     unsure = pairs.where(F.col("best") < run).select("a", "b")
-    compared = _with_texts(unsure, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, False), f"a {kind}, b {kind}")
+    compared = with_texts(unsure, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, False), f"a {kind}, b {kind}")
     hot = met.where("b is null").select("h", F.col("a").alias("doc"), "place").unionByName(units.join(apart, "h", "left_semi").select("h", "doc", "place"))
     if hot.isEmpty():
         return sure.unionByName(compared).distinct()
     around = hot.groupBy("doc").agg(F.collect_list(at("place").cast("int")).alias("starts"), F.collect_list((at("place") + size("place")).cast("int")).alias("stops"))
-    windows = cut(_needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
+    windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
     # records with the same windows meet here because they share a whole run: each pair is a result
     w = windows.join(windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
     from_hot = w.select("h", F.col("doc").alias("a")).join(w.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b").distinct()
@@ -232,7 +198,7 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= run)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc"]
     pairs = cut(shared_pairs(df, key, text, run, gram))
-    return _with_texts(pairs, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, True), f"doc {kind}, other {kind}, start int, stop int").distinct()
+    return with_texts(pairs, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, True), f"doc {kind}, other {kind}, start int, stop int").distinct()
 
 
 def shared_portion(df: DataFrame, key: str, text: str, run: int = RUN, gram: int = GRAM) -> DataFrame:
