@@ -307,8 +307,8 @@ def _restore(counts: np.ndarray):
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
     """The pair table of a column: partial tables are summed by bucket; at most ``BUCKETS`` rows reach the driver."""
     counts = np.zeros(BUCKETS, np.int64)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return counts
 
 

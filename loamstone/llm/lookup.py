@@ -30,9 +30,9 @@ def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
         at = np.flatnonzero(words)
         yield pd.DataFrame({"word": at, "mask": words[at].view(np.int64)})
 
-    rows = ids.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    rows = ids.mapInPandas(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    words[rows["word"].to_numpy().astype(np.int64)] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

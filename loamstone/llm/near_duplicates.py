@@ -226,9 +226,9 @@ class Similar:
     def __init__(self, df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
         docs = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
         kind = dict(docs.dtypes)["doc"]
-        rows = docs.mapInArrow(_count(n), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        rows = docs.mapInArrow(_count(n), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(BUCKETS, np.int64)
-        counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+        counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
         sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), counts.astype(np.int32)), f"doc {kind}, set long, size int, sketch long, tokens array<long>, parts array<int>"))
         self.members = sets.groupBy("doc").agg(F.min("set").alias("set"))
         place = F.shiftleft(F.col("size").cast("long"), 20) + F.col("rank")

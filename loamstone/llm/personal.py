@@ -464,8 +464,8 @@ def _find(table: np.ndarray, texts: bool):
 def name_table(rows: DataFrame) -> np.ndarray:
     """Count-min tables of the words of column ``t`` (six times ``BUCKETS`` sums at most reach the driver)."""
     table = np.zeros(6 * BUCKETS, np.int32)
-    got = rows.select("t").mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table[got["bucket"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
+    got = rows.select("t").mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table[got["bucket"].to_numpy().astype(np.int64)] = np.minimum(got["n"].to_numpy().astype(np.int64), 2**31 - 1)
     return table
 
 

@@ -112,8 +112,8 @@ n AS (SELECT element_id, count(*) AS n FROM s GROUP BY element_id),
 f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
 p AS (SELECT element_id, g FROM s JOIN f USING (g) JOIN n USING (element_id) QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY df, g) <= n - ceil(0.7 * n) + 1),
 c AS (SELECT DISTINCT a.element_id AS a, b.element_id AS b FROM p a JOIN p b USING (g) JOIN n x ON x.element_id = a.element_id JOIN n y ON y.element_id = b.element_id WHERE a.element_id < b.element_id AND least(x.n, y.n) >= 0.7 * greatest(x.n, y.n)),
-o AS (SELECT c.a, c.b, count(*) AS both FROM c JOIN s x ON x.element_id = c.a JOIN s y ON y.element_id = c.b AND y.g = x.g GROUP BY ALL)
-SELECT a AS element_id_a, b AS element_id_b FROM o JOIN n x ON x.element_id = a JOIN n y ON y.element_id = b WHERE both >= 0.7 * (x.n + y.n - both) - 1e-9""",
+o AS (SELECT c.a, c.b, count(*) AS common FROM c JOIN s x ON x.element_id = c.a JOIN s y ON y.element_id = c.b AND y.g = x.g GROUP BY ALL)
+SELECT a AS element_id_a, b AS element_id_b FROM o JOIN n x ON x.element_id = a JOIN n y ON y.element_id = b WHERE common >= 0.7 * (x.n + y.n - common) - 1e-9""",
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
     "p9_found": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),

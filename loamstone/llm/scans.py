@@ -492,8 +492,8 @@ def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[obje
 def word_table(df: DataFrame, text: str) -> np.ndarray:
     """Count-min table of a column's words: twice ``BUCKETS`` sums at most reach the driver."""
     table = np.zeros(2 * BUCKETS, np.int64)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return table
 
 
