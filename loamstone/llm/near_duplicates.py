@@ -4,12 +4,12 @@ PartEnum signatures were tried first and measured: at Jaccard 0.7 they need 60 t
 and as small partitions often hold common shingles only, the candidates grow with the square of the data (README).
 The signatures here take the partition of the domain to its finest, single shingles, and choose them by
 rarity: of two sets A and B with similarity t or more, the |A| - ceil(t|A|) + 1 rarest shingles of A and those of B, by any
-common order, have one in common. No pair is lost by it, whatever the order; counts of all shingles of the whole column (in
+common order, have one in common, and the closer their sizes, the more they must have. No pair is lost by it, whatever the order; counts of all shingles of the whole column (in
 a table of fixed size) make the order a good one.
 
-Records that share a signature are compared in arrays: sizes, the places of the shingle in both orders, and
-a 64-bit parity sketch, whose differing bits never outnumber the differing shingles, rule out nearly all others
-before the exact comparison. Sets that are equal are handled as one set with several members.
+Records that share a signature are compared in arrays: sizes, and a 64-bit parity sketch, whose differing bits never
+outnumber the differing shingles, rule out most others; how many signatures a pair shares in all rules out nearly all
+the rest before the exact comparison. Sets that are equal are handled as one set with several members.
 
 Defined results: NULL texts and texts of fewer than ``least_words`` words are in no pair; repeated rows of a key
 count once; equal texts are pairs of similarity 1; an empty table gives an empty result.
@@ -129,8 +129,9 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
                 if len(told) > 1_000_000:
                     told.clear()
                 new_arr = np.array(new)
-                take = (rank < np.repeat(prefix, size)) & np.repeat(new_arr, size)
-                n_take = np.where(new_arr, np.minimum(prefix, size), 0)
+                # a shingle counted once is in no other set
+                take = (rank < np.repeat(prefix, size)) & np.repeat(new_arr, size) & (often > 1)
+                n_take = np.add.reduceat(take.astype(np.int64), begin)
                 offsets = pa.array(np.r_[0, np.cumsum(n_take)].astype(np.int32))
                 parts = np.maximum(1, -(-often[take] // BLOCK)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -144,8 +145,20 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
     return go
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with its sum of n."""
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[begin], b[begin], np.add.reduceat(n, begin), need[begin]
+
+
 def _candidates(similarity: float):
-    """Pairs of sets, for the signatures of one partition (rows: token, block, set, place, sketch)."""
+    """Pairs of sets (a, b), how many signatures of this partition they share (n), and how many they must share in all (need).
+
+    Rows: token, block, set, size, sketch. Of two similar sets with o or more shingles in common, at least
+    o - max(ceil(t|A|), ceil(t|B|)) + 1 of these are among the signatures of both.
+    """
     share = similarity / (1 + similarity)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +167,27 @@ def _candidates(similarity: float):
             return
         t = pa.Table.from_batches(got)
         token, block, ident = t["token"].to_numpy(), t["block"].to_numpy(), t["set"].to_numpy()
-        place, sketch = t["place"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+        size, sketch = t["size"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
         del t, got
         order = np.lexsort((ident, block, token))
-        token, block, ident, place, sketch = token[order], block[order], ident[order], place[order], sketch[order]
-        size, rank = place >> 20, place & ((1 << 20) - 1)
+        token, block, ident, size, sketch = token[order], block[order], ident[order], size[order].astype(np.int64), sketch[order]
+        if len(token):  # copies of a set sent by several tasks are one
+            once = np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (ident[1:] != ident[:-1])]
+            token, block, ident, size, sketch = token[once], block[once], ident[once], size[once], sketch[once]
         begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])]) if len(token) else np.zeros(0, int)
         m = np.diff(np.r_[begin, len(token)])
-        out: list[np.ndarray] = []
+        floor = np.ceil(similarity * size - 1e-9).astype(np.int64)
+        out: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if out:
-                p = np.unique(np.concatenate(out), axis=0)
+                a, b, n, need = (np.concatenate(x) for x in zip(*out))
                 out.clear()
+                a, b, n, need = _summed(a, b, n, need)
                 held = 0
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "n", "need"])
 
         # row r is paired with the rows after it in its group; rows are taken in runs of about _PAIRS pairs
         last = np.repeat(begin + m, m)
@@ -188,16 +205,14 @@ def _candidates(similarity: float):
             a, b = size[x], size[y]
             ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (ident[x] != ident[y])
             x, y, a, b = x[ok], y[ok], a[ok], b[ok]
-            need = np.ceil(share * (a + b) - 1e-9).astype(np.int64)
-            ok = 1 + np.minimum(a - rank[x] - 1, b - rank[y] - 1) >= need
-            x, y, a, b, need = x[ok], y[ok], a[ok], b[ok], need[ok]
-            ok = np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * need
-            x, y = x[ok], y[ok]
+            common = np.ceil(share * (a + b) - 1e-9).astype(np.int64)
+            ok = np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * common
+            x, y, common = x[ok], y[ok], common[ok]
             if len(x):
-                p = np.stack([np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y])], axis=1)
-                out.append(np.unique(p, axis=0))
-                held += len(p)
-                if held > 500_000:
+                need = np.maximum(1, common - np.maximum(floor[x], floor[y]) + 1)
+                out.append(_summed(np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), np.ones(len(x), np.int64), need))
+                held += len(out[-1][0])
+                if held > 1_000_000:
                     yield from flush()
         yield from flush()
 
@@ -231,17 +246,17 @@ class Similar:
         counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
         sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), counts.astype(np.int32)), f"doc {kind}, set long, size int, sketch long, tokens array<long>, parts array<int>"))
         self.members = sets.groupBy("doc").agg(F.min("set").alias("set"))
-        place = F.shiftleft(F.col("size").cast("long"), 20) + F.col("rank")
-        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", F.posexplode(F.arrays_zip("tokens", "parts")).alias("rank", "t")).select(
-            F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"), "set", place.alias("place"), "sketch"
+        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select(
+            F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"), "set", "size", "sketch"
         )
         # a signature of very many sets: its sets form blocks, and each pair of blocks is compared by itself
         own = F.pmod(F.xxhash64("set"), F.col("parts"))
         cells = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
             F.transform(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
         )
-        rows = sent.select("token", F.explode(cells).alias("block"), "set", "place", "sketch")
-        met = cut(rows.repartition("token", "block").mapInArrow(_candidates(similarity), "a long, b long").distinct())
+        rows = sent.select("token", F.explode(cells).alias("block"), "set", "size", "sketch")
+        shared = rows.repartition("token", "block").mapInArrow(_candidates(similarity), "a long, b long, n int, need int")
+        met = cut(shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
         holder = sets.groupBy("set").agg(F.min("doc").alias("doc"))
         named = met.select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(holder.select(F.col("set").alias("sa"), F.col("doc").alias("a")), "sa").join(holder.select(F.col("set").alias("sb"), F.col("doc").alias("b")), "sb")
         self.links = cut(with_texts(cut(named), docs).select("sa", "sb", "ta", "tb").mapInPandas(_verify(n, similarity), "sa long, sb long, similarity double").dropDuplicates(["sa", "sb"]))
