@@ -7,8 +7,8 @@ rarity: of two sets A and B with similarity t or more, the |A| - ceil(t|A|) + 1
 common order, have one in common, and the closer their sizes, the more they must have. No pair is lost by it, whatever the order; counts of all shingles of the whole column (in
 a table of fixed size) make the order a good one.
 
-Records that share a signature are compared in arrays: sizes, and a 64-bit parity sketch, whose differing bits never
-outnumber the differing shingles, rule out most others; how many signatures a pair shares in all rules out nearly all
+Records that share a signature are compared in arrays: sizes, and a parity sketch of 128 bits, whose differing bits never
+outnumber the differing shingles, rule out most others, as does a shingle whose places in both orders are too far apart; how many signatures a pair shares in all rules out nearly all
 the rest before the exact comparison. Sets that are equal are handled as one set with several members.
 
 Defined results: NULL texts and texts of fewer than ``least_words`` words are in no pair; repeated rows of a key
@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
 BUCKETS = 1 << 20
 #: Sets that may share one signature in one task; more are compared block against block in several.
 BLOCK = 3000
+#: Low bits of a shingle's hash that its signature leaves out; 44 bits tell signatures apart.
+_SPARE = np.uint64(20)
 _CHUNK = 1000
 _PAIRS = 1_000_000
 
@@ -88,7 +90,7 @@ def _count(n: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, _CHUNK):
                 _, g, _ = shingle(_texts(batch, lo))
-                total += np.bincount((g >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+                total += np.bincount((g >> _SPARE).astype(np.int64) % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int32))], names=["bucket", "n"])
 
@@ -110,7 +112,7 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
                 row, g = row[keep], g[keep]
                 if not len(row):
                     continue
-                often = counts[(g >> np.uint64(20)).astype(np.int64) % BUCKETS]
+                often = counts[(g >> _SPARE).astype(np.int64) % BUCKETS]
                 order = np.lexsort((g, often, row))
                 row, g, often = row[order], g[order], often[order]
                 first = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]
@@ -119,7 +121,7 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
                 size = np.diff(np.r_[begin, len(row)])
                 with np.errstate(over="ignore"):
                     whole = mix(np.add.reduceat(mix(g + np.uint64(7)), begin) + size.astype(np.uint64))
-                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (g & np.uint64(63)), begin)
+                sketch = [np.bitwise_xor.reduceat(np.where((g & np.uint64(64)) == w, np.uint64(1) << (g & np.uint64(63)), np.uint64(0)), begin) for w in (0, 64)]
                 rank = np.arange(len(row)) - np.repeat(begin, size)
                 prefix = prefix_length(size, similarity)
                 new = []
@@ -136,28 +138,29 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
                 parts = np.maximum(1, -(-often[take] // BLOCK)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(lo + row[begin])), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(sketch.view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(g[take].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(parts)),
+                        batch.column(0).take(pa.array(lo + row[begin])), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sketch),
+                        pa.ListArray.from_arrays(offsets, pa.array((g[take] >> _SPARE).astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(parts)), pa.ListArray.from_arrays(offsets, pa.array(rank[take].astype(np.int32))),
                     ],
-                    names=["doc", "set", "size", "sketch", "tokens", "parts"],
+                    names=["doc", "set", "size", "sketch", "sketch2", "tokens", "parts", "ranks"],
                 )
 
     return go
 
 
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each pair once, with its sum of n."""
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, early: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with its sum of n and whether any was early."""
     order = np.lexsort((b, a))
-    a, b, n, need = a[order], b[order], n[order], need[order]
+    a, b, n, need, early = a[order], b[order], n[order], need[order], early[order]
     begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[begin], b[begin], np.add.reduceat(n, begin), need[begin]
+    return a[begin], b[begin], np.add.reduceat(n, begin), need[begin], np.logical_or.reduceat(early, begin)
 
 
 def _candidates(similarity: float):
     """Pairs of sets (a, b), how many signatures of this partition they share (n), and how many they must share in all (need).
 
-    Rows: token, block, set, size, sketch. Of two similar sets with o or more shingles in common, at least
-    o - max(ceil(t|A|), ceil(t|B|)) + 1 of these are among the signatures of both.
+    Rows: token, block, set, place, sketch; place holds the set's size and the rank of the signature in it. Of two similar
+    sets with o or more shingles in common, at least o - max(ceil(t|A|), ceil(t|B|)) + 1 of these are among the
+    signatures of both, and the first of them leaves o - 1 or more shingles after it in each (early).
     """
     share = similarity / (1 + similarity)
 
@@ -167,13 +170,14 @@ def _candidates(similarity: float):
             return
         t = pa.Table.from_batches(got)
         token, block, ident = t["token"].to_numpy(), t["block"].to_numpy(), t["set"].to_numpy()
-        size, sketch = t["size"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+        place, sketch, sketch2 = t["place"].to_numpy(), t["sketch"].to_numpy().view(np.uint64), t["sketch2"].to_numpy().view(np.uint64)
         del t, got
         order = np.lexsort((ident, block, token))
-        token, block, ident, size, sketch = token[order], block[order], ident[order], size[order].astype(np.int64), sketch[order]
+        token, block, ident, place, sketch, sketch2 = (x[order] for x in (token, block, ident, place, sketch, sketch2))
         if len(token):  # copies of a set sent by several tasks are one
             once = np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (ident[1:] != ident[:-1])]
-            token, block, ident, size, sketch = token[once], block[once], ident[once], size[once], sketch[once]
+            token, block, ident, place, sketch, sketch2 = (x[once] for x in (token, block, ident, place, sketch, sketch2))
+        size, rank = place >> 24, place & ((1 << 24) - 1)
         begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])]) if len(token) else np.zeros(0, int)
         m = np.diff(np.r_[begin, len(token)])
         floor = np.ceil(similarity * size - 1e-9).astype(np.int64)
@@ -183,11 +187,10 @@ def _candidates(similarity: float):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if out:
-                a, b, n, need = (np.concatenate(x) for x in zip(*out))
+                a, b, n, need, early = _summed(*(np.concatenate(x) for x in zip(*out)))
                 out.clear()
-                a, b, n, need = _summed(a, b, n, need)
                 held = 0
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "n", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(early)], names=["a", "b", "n", "need", "early"])
 
         # row r is paired with the rows after it in its group; rows are taken in runs of about _PAIRS pairs
         last = np.repeat(begin + m, m)
@@ -206,11 +209,16 @@ def _candidates(similarity: float):
             ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (ident[x] != ident[y])
             x, y, a, b = x[ok], y[ok], a[ok], b[ok]
             common = np.ceil(share * (a + b) - 1e-9).astype(np.int64)
-            ok = np.bitwise_count(sketch[x] ^ sketch[y]) <= a + b - 2 * common
+            i, j = rank[x], rank[y]
+            ok = np.minimum(i, j) + 1 + np.minimum(a - i - 1, b - j - 1) >= common
+            x, y, a, b, common = x[ok], y[ok], a[ok], b[ok], common[ok]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64) + np.bitwise_count(sketch2[x] ^ sketch2[y])
+            ok = apart <= a + b - 2 * common
             x, y, common = x[ok], y[ok], common[ok]
             if len(x):
                 need = np.maximum(1, common - np.maximum(floor[x], floor[y]) + 1)
-                out.append(_summed(np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), np.ones(len(x), np.int64), need))
+                early = np.minimum(size[x] - rank[x], size[y] - rank[y]) >= common
+                out.append(_summed(np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), np.ones(len(x), np.int64), need, early))
                 held += len(out[-1][0])
                 if held > 1_000_000:
                     yield from flush()
@@ -244,19 +252,20 @@ class Similar:
         rows = docs.mapInArrow(_count(n), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(BUCKETS, np.int64)
         counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
-        sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), counts.astype(np.int32)), f"doc {kind}, set long, size int, sketch long, tokens array<long>, parts array<int>"))
+        sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), counts.astype(np.int32)), f"doc {kind}, set long, size int, sketch long, sketch2 long, tokens array<long>, parts array<int>, ranks array<int>"))
         self.members = sets.groupBy("doc").agg(F.min("set").alias("set"))
-        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select(
-            F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"), "set", "size", "sketch"
+        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", "sketch2", F.explode(F.arrays_zip("tokens", "parts", "ranks")).alias("t")).select(
+            F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"), "set", (F.shiftleft(F.col("size").cast("long"), 24) + F.col("t.ranks")).alias("place"), "sketch", "sketch2"
         )
         # a signature of very many sets: its sets form blocks, and each pair of blocks is compared by itself
         own = F.pmod(F.xxhash64("set"), F.col("parts"))
         cells = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
             F.transform(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
         )
-        rows = sent.select("token", F.explode(cells).alias("block"), "set", "size", "sketch")
-        shared = rows.repartition("token", "block").mapInArrow(_candidates(similarity), "a long, b long, n int, need int")
-        met = cut(shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
+        rows = sent.select("token", F.explode(cells).alias("block"), "set", "place", "sketch", "sketch2")
+        shared = rows.repartition("token", "block").mapInArrow(_candidates(similarity), "a long, b long, n int, need int, early boolean")
+        enough = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("early").alias("early")).where("n >= need and early")
+        met = cut(enough.select("a", "b"))
         holder = sets.groupBy("set").agg(F.min("doc").alias("doc"))
         named = met.select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(holder.select(F.col("set").alias("sa"), F.col("doc").alias("a")), "sa").join(holder.select(F.col("set").alias("sb"), F.col("doc").alias("b")), "sb")
         self.links = cut(with_texts(cut(named), docs).select("sa", "sb", "ta", "tb").mapInPandas(_verify(n, similarity), "sa long, sb long, similarity double").dropDuplicates(["sa", "sb"]))
