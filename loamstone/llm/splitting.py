@@ -91,7 +91,7 @@ def split_texts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) ->
     if not tables:
         return []
     succ = np.concatenate([s + h for (_, _, s), h in zip(tables, heads)])
-    on = _chosen(succ, heads[:-1])
+    on = _chosen(succ, heads[:-1][np.diff(heads) > 0])
     return [[(int(a), int(b)) for a, b in zip(s[w], e[w])] for (s, e, _), h in zip(tables, heads) for w in [on[h : h + len(s)]]]
 
 
