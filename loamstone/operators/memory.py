@@ -62,6 +62,6 @@ def request_metrics(requests: DataFrame, by: list[str]) -> DataFrame:
     failed = F.count_if(F.col("error").isNotNull() | F.coalesce("blocked", F.lit(False)))
     hits = F.count_if(F.coalesce("cache_hit", F.lit(False)) & ~F.coalesce("blocked", F.lit(False)))
     return requests.groupBy(*by).agg(
-        n.alias("requests"), failed.alias("errors"), F.round(failed / n, 6).alias("error_rate"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 4).alias("avg_latency_ms"), F.round(hits / n, 6).alias("hit_rate"),
+        n.alias("requests"), failed.alias("errors"), F.round(failed / F.greatest(n, F.lit(1)), 6).alias("error_rate"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 4).alias("avg_latency_ms"), F.round(hits / F.greatest(n, F.lit(1)), 6).alias("hit_rate"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.count_if(F.coalesce("blocked", F.lit(False))).alias("blocks"),
     )
