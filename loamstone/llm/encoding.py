@@ -71,8 +71,7 @@ def _encode(s: str, encoding: str) -> bytes | None:
         return None
 
 
-def as_utf8(s: str) -> list[str]:
-    """What ``s`` says if it is UTF-8 read in a one-byte encoding."""
+def _as_utf8(s: str) -> list[str]:
     out = []
     for e in _READ_AS:
         b = _encode(s, e)
@@ -83,7 +82,17 @@ def as_utf8(s: str) -> list[str]:
                 continue
             if d != s:
                 out.append(d)
-    return list(dict.fromkeys(out))
+    return out
+
+
+def as_utf8(s: str, depth: int = 3) -> list[str]:
+    """What ``s`` says if it is UTF-8 read in a one-byte encoding, once or several times over."""
+    out: dict[str, None] = {}
+    level = [s]
+    for _ in range(depth):
+        level = [d for x in level for d in _as_utf8(x) if d not in out and d != s]
+        out.update(dict.fromkeys(level))
+    return list(out)
 
 
 def _bucket(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -136,7 +145,7 @@ class Pairs:
         self.counts = counts
         self.total = float(counts[_bucket(np.array([_ALL]), np.array([_ALL]))][0]) + 1
         self._memo: dict[tuple[str, str], float] = {}
-        self.inverse: dict[tuple[str, str, str], str | None] = {}
+        self.inverse: dict[tuple[object, ...], _Found | None] = {}
 
     def alone(self, x: np.ndarray) -> np.ndarray:
         return (self.counts[_bucket(x, np.full(len(x), _ALONE))] + 0.02) / self.total
@@ -188,62 +197,70 @@ def segments(at: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _, _ in out]
 
 
-def _better(s: str, before: str, after: str, pairs: Pairs) -> str | None:
+#: A restored stretch and the pair of one-byte encodings it took (None for UTF-8).
+_Found = tuple[str, tuple[str, str] | None]
+
+
+def _better(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tuple[str, str]] | None) -> _Found | None:
     """The likeliest inverse of ``s`` between its neighbours, if it is likely enough; words come again and again."""
-    k = (s, before, after)
+    k = (s, before, after, known)
     if k not in pairs.inverse:
         if len(pairs.inverse) > 100_000:
             pairs.inverse.clear()
-        pairs.inverse[k] = _inverse(s, before, after, pairs)
+        pairs.inverse[k] = _inverse(s, before, after, pairs, known)
     return pairs.inverse[k]
 
 
-def _inverse(s: str, before: str, after: str, pairs: Pairs) -> str | None:
-    own = pairs.likelihood(before + s + after) - ACCENTS * len(_ACCENTED.findall(s))
-    best, gain = None, 0.0
+def _inverse(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tuple[str, str]] | None) -> _Found | None:
+    """``known``: the one-byte pairs that the text is known to have suffered, once there is something known of it."""
+    said = lambda t: pairs.likelihood(before + t + after) - ACCENTS * len(_ACCENTED.findall(t))
+    own = said(s)
+    best: _Found | None = None
+    gain = 0.0
     for d in as_utf8(s):
-        g = pairs.likelihood(before + d + after) - ACCENTS * len(_ACCENTED.findall(d)) - own
+        g = said(d) - own
         if g >= MARGIN_UTF8 and g > gain:
-            best, gain = d, g
+            best, gain = (d, None), g
     if best is not None:
         return best
     high = sum(ord(c) >= 128 for c in s)
-    need = max(MARGIN_BYTE, MARGIN_BYTE_EACH * high)
-    for read, written in _ONE_BYTE:
-        b = _encode(s, read)
+    need = max(MARGIN_BYTE, MARGIN_BYTE_EACH * high) if known is None else 0.1
+    for pair in _ONE_BYTE if known is None else known:
+        b = _encode(s, pair[0])
         if b is None:
             continue
         try:
-            d = b.decode(written)
+            d = b.decode(pair[1])
         except UnicodeDecodeError:
             continue
         if d != s and not _LOST.search(d):
-            g = pairs.likelihood(before + d + after) - ACCENTS * len(_ACCENTED.findall(d)) - own
+            g = said(d) - own
             if g >= need and g > gain:
-                best, gain = d, g
+                best, gain = (d, pair), g
     return best
 
 
-def repair_run(text: str, a: int, b: int, pairs: Pairs) -> str | None:
-    """``text`` with its run a:b restored, or None. Tries the run, then its words, then each stretch beyond ASCII."""
+def repair_run(text: str, a: int, b: int, pairs: Pairs, known: frozenset[tuple[str, str]] | None = None) -> tuple[str, set[tuple[str, str]]] | None:
+    """``text`` with its run a:b restored and the one-byte pairs it took, or None. Tries the run, then its words, then each stretch beyond ASCII."""
     run = text[a:b]
     before, after = text[a - 1 : a] or "\x00", text[b : b + 1] or "\x00"
     for unit in (r"(?s).+", r"\S+", r"[^\x00-\x7f]+"):
-        changed, out, at = False, [], 0
+        out, at = [], 0
+        used: set[tuple[str, str]] = set()
         for m in re.finditer(unit, run):
             s = m.group()
             if not _HIGH.search(s):
                 continue
             x = run[m.start() - 1] if m.start() else before
             y = run[m.end()] if m.end() < len(run) else after
-            d = _better(s, x, y, pairs)
-            if d is None and "Ã " in s + y and unit != r"(?s).+":
-                d = _better((s + y).replace("Ã ", "Ã\xa0")[: len(s + y)], x, " ", pairs) if y == " " else None
-            if d is not None:
-                out += [run[at : m.start()], d]
-                at, changed = m.end(), True
-        if changed:
-            return text[:a] + "".join(out) + run[at:] + text[b:]
+            found = _better(s, x, y, pairs, known)
+            if found is not None:
+                out += [run[at : m.start()], found[0]]
+                at = m.end()
+                if found[1]:
+                    used.add(found[1])
+        if at:
+            return text[:a] + "".join(out) + run[at:] + text[b:], used
     return None
 
 
@@ -267,15 +284,18 @@ def _runs(text: str, pairs: Pairs) -> list[tuple[int, int]]:
 
 def restore(text: str, pairs: Pairs) -> tuple[str, str | None]:
     """The text restored as far as it can be, and its status: restored, partly, lost or None for unaffected."""
-    now = text
+    now, known = text, None
     for _ in range(4):
-        changed = False
+        changed: set[tuple[str, str]] | None = None
         for a, b in reversed(_runs(now, pairs)):
-            better = repair_run(now, a, b, pairs)
+            better = repair_run(now, a, b, pairs, known)
             if better is not None:
-                now, changed = better, True
-        if not changed:
+                now = better[0]
+                changed = (changed or set()) | better[1]
+        if changed is None:
             break
+        # what was restored isn't taken for other damage afterwards
+        known = frozenset(changed | (known or set()))
     lost = bool(_LOST.search(now))
     if now != text:
         return now, "partly" if lost else "restored"

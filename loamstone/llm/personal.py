@@ -163,7 +163,7 @@ _ID = re.compile(
 # Words that announce an identity number.
 _ID_CUE = re.compile(
     r"(?i)(?<![^\W_])(?:ssn|social security(?: number| no\.?)?|passport(?: number| no\.?)?|national identity(?: number| no\.?)?|identity (?:number|card)|id(?: no\.?| number|-nr\.?)?|doc|steuer-?id(?:entifikationsnummer)?|personalausweis(?:-?nr\.?|nummer)?|reisepass(?:-?nr\.?)?|sozialversicherungsnummer"
-    r"|carte d.identité|(?:numéro de )?sécurité sociale|nir|passeport|dni|nie|nif|(?:número de )?identidad|documento|pasaporte|insurance number|nino)\b[ :=#.\-]{0,4}(?:(?:is|lautet|es|est|n[°º]|no\.?|nr\.?|nummer|number)[ :]{0,3})?(?P<v>(?-i:[A-Z]{0,2}[ \-]?\d[\dA-Z]*(?:[ \-](?:\d[\dA-Z]*|[A-Z](?![\w]))){0,7}))(?![\w])"
+    r"|carte d.identité|(?:numéro de )?sécurité sociale|nir|passeport|dni|nie|nif|(?:número de )?identidad|documento|pasaporte|insurance number|nino)\b[ :=#.\-]{0,4}(?:(?:is|lautet|es|est|n[°º]|no\.?|nr\.?|nummer|number)[ :]{0,3})?(?P<v>(?-i:[A-Z]{0,2}[ \-]?\d[\dA-Z]*(?:[ \-](?:\d[\dA-Z]*|[A-D](?![\w]))){0,7}))(?![\w])"
 )
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’'\-]+"
 _STREET = re.compile(
