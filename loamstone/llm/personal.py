@@ -14,6 +14,7 @@ once; where matches overlap, the earlier type in ``TYPES`` holds.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -221,6 +222,33 @@ def _places(low: str, literals: tuple[str, ...] | list[str], bounded: bool = Fal
     return sorted(set(out))
 
 
+@functools.cache
+def _automaton():
+    """All fixed literals in one automaton, each with its groups: (group, length, only at the start of a word)."""
+    import ahocorasick
+
+    found: dict[str, list[tuple[str, int, bool]]] = {}
+    for group, literals, bounded in (("name", _NAME_LITERALS, True), ("id", _ID_LITERALS, False), ("phone", _PHONE_LITERALS, True), ("street", _STREET_LITERALS, False), ("at", ("@",), False)):
+        for w in literals:
+            found.setdefault(w, []).append((group, len(w), bounded))
+    a = ahocorasick.Automaton()
+    for w, v in found.items():
+        a.add_word(w, v)
+    a.make_automaton()
+    return a
+
+
+def _literal_places(low: str) -> dict[str, list[int]]:
+    """Where the literals of each group begin, ascending."""
+    out: dict[str, set[int]] = {g: set() for g in ("name", "id", "phone", "street", "at")}
+    for end, groups in _automaton().iter(low):
+        for g, n, bounded in groups:
+            i = end - n + 1
+            if not bounded or not i or not (low[i - 1].isalnum() or low[i - 1] == "_"):
+                out[g].add(i)
+    return {g: sorted(x) for g, x in out.items()}
+
+
 def _windows(places: list[int], before: int, after: int, n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for i in places:
@@ -232,16 +260,16 @@ def _windows(places: list[int], before: int, after: int, n: int) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-def _cue_matches(s: str, low: str) -> Iterator[re.Match[str]]:
-    for i in _places(low, _NAME_LITERALS, True):
+def _cue_matches(s: str, places: list[int]) -> Iterator[re.Match[str]]:
+    for i in places:
         m = _NAME_CUE.match(s, i)
         if m:
             yield m
 
 
-def _cued(s: str, low: str) -> Iterator[tuple[str, str]]:
+def _cued(s: str, places: list[int]) -> Iterator[tuple[str, str]]:
     """(given, family) of every cue that two words, or an initial and a word, follow."""
-    for m in _cue_matches(s, low):
+    for m in _cue_matches(s, places):
         a, b = m["a"], m["b"]
         if m["s"] == ", ":
             a, b = b, a
@@ -274,7 +302,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = "\x00".join(texts[lo : lo + _CHUNK])
             low = _lower(s)
             tally.update(_tokens(low))
-            for a, b in _cued(s, low):
+            for a, b in _cued(s, _literal_places(low)["name"]):
                 if not a.endswith("."):
                     counts[1][a.lower()] += 1
                 counts[2][b.lower()] += 1
@@ -325,7 +353,7 @@ _FAMILY_BEFORE = re.compile(rf"(?<![\w.@+\-])(?P<b>{_WORD}), $")
 _INITIAL_BEFORE = re.compile(r"(?<![\w.@+\-])[A-Z]\. ?$")
 
 
-def _names(s: str, low: str, words: list[str], names: Names) -> Iterator[tuple[int, int]]:
+def _names(s: str, low: str, words: list[str], names: Names, cues: list[int]) -> Iterator[tuple[int, int]]:
     names.learn(words)
 
     def family_like(b: str) -> bool:
@@ -355,7 +383,7 @@ def _names(s: str, low: str, words: list[str], names: Names) -> Iterator[tuple[i
             m = _INITIAL_BEFORE.search(s, max(0, i - 4), i)
             if m and not s[e : e + 1].isalnum() and s[e : e + 1] != "@":
                 yield m.start(), e
-    for m in _cue_matches(s, low):
+    for m in _cue_matches(s, cues):
         a, b = m["a"], m["b"]
         x, y = (b, a) if m["s"] == ", " else (a, b)
         known = names.given(x.lower()) or x.endswith(".")
@@ -371,14 +399,15 @@ def detect(s: str, low: str, words: list[str], names: Names) -> list[tuple[int,
     """Spans of a normalised text (or of several, joined by NUL), without overlaps. ``words``: its distinct words."""
     n = len(s)
     found: list[tuple[int, int, str]] = []
+    places = _literal_places(low)
 
     def within(pattern: re.Pattern[str], windows: list[tuple[int, int]]) -> Iterator[re.Match[str]]:
         for a, b in windows:
             yield from pattern.finditer(s, a, b)
 
-    found += [(*m.span(), "email") for m in within(_EMAIL, _windows(_places(s, ["@"]), 90, 90, n))]
-    found += [(*m.span(), "street_address") for m in within(_STREET, _windows(_places(low, _STREET_LITERALS), 70, 80, n))]
-    for i in _places(low, _ID_LITERALS):
+    found += [(*m.span(), "email") for m in within(_EMAIL, _windows(places["at"], 90, 90, n))]
+    found += [(*m.span(), "street_address") for m in within(_STREET, _windows(places["street"], 70, 80, n))]
+    for i in places["id"]:
         m = _ID_CUE.match(s, i + (low[i] in " \n\x00"))
         if m and (not m.start() or not s[m.start() - 1].isalnum()) and 7 <= sum(c.isalnum() for c in m["v"]) <= 18 and _digits(m["v"]) >= 5 and not _PHONE.fullmatch(m["v"].strip()):
             found.append((*m.span("v"), "id_number"))
@@ -391,12 +420,12 @@ def detect(s: str, low: str, words: list[str], names: Names) -> list[tuple[int,
             elif m[0].count("(") > m[0].count(")"):
                 a += m[0].index("(") + 1
             found.append((a, b, "phone"))
-    for i in _places(low, _PHONE_LITERALS, True):
+    for i in places["phone"]:
         m = _PHONE_CUE.match(s, i)
         if m and 7 <= _digits(m["v"]) <= 15:
             found.append((*m.span("v"), "phone"))
     found += [(*m.span(), "id_number") for m in within(_ID, numbers)]
-    found += [(a, b, "name") for a, b in _names(s, low, words, names)]
+    found += [(a, b, "name") for a, b in _names(s, low, words, names, places["name"])]
     rank = {t: i for i, t in enumerate(TYPES)}
     taken: list[tuple[int, int, str]] = []
     busy = bytearray(n + 1)
