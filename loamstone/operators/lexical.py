@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstone.plans.tables import cut
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -12,16 +20,37 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
 
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            words: list[str] = []
+            tf: list[int] = []
+            sizes, lengths = [], []
+            for t in part.column(1).to_pylist():
+                n = Counter(_SPACE.split(t))
+                n.pop("", None)
+                words += n
+                tf += n.values()
+                sizes.append(len(n))
+                lengths.append(sum(n.values()))
+            row = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(words, pa.string()), pa.array(tf, pa.int32()), pa.array(np.repeat(lengths, sizes), pa.int32())], names=["id", "term", "tf", "dl"])
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of docs (id, t)."""
-    d = docs.select("id", terms(F.col("t")).alias("w")).where(F.size("w") > 0)
-    return d.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(id, term, tf, dl) of docs (id, t). A text's terms are counted where the text is, so nothing is shuffled for it."""
+    return docs.where("t is not null").select("id", "t").mapInArrow(_count_terms, f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
 
 
 def statistics(docs: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row (n, avgdl, mean_idf) and (term, df, idf); a negative idf becomes a share of the mean."""
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("t")))).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    length = post.select("id", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+    size = docs.agg(F.count("*").alias("n")).join(F.broadcast(length)).select("n", (F.col("dl") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    df = cut(post.groupBy("term").agg(F.count("*").alias("df")))
     raw = df.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row on the small side
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -34,7 +63,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = Tru
     Terms are joined on their key; a term that occurs twice in a query counts twice. Documents that share no term with the query
     aren't ranked. Scores are rounded to six places, ties go to the least id.
     """
-    post = postings(docs)
+    post = cut(postings(docs))  # the index: read for the statistics and for the hits
     size, idf = statistics(docs, post)
     q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = q.join(idf, "term")
