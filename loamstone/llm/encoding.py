@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
+
 #: Buckets of the pair table (counts of pairs that share a bucket add up); it is what is sent to tasks.
 BUCKETS = 1 << 19
 #: A pair whose part in the mutual information is less, in nats per character, is improbable.
@@ -115,8 +117,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, bool] = {}
     for pdf in batches:
         texts = pdf["t"].tolist()
-        for lo in range(0, len(texts), _CHUNK):
-            s, c = _join(texts[lo : lo + _CHUNK])
+        for lo, hi in portions(list(map(len, texts)), _CHUNK):
+            s, c = _join(texts[lo:hi])
             skip = np.zeros(len(c), bool)
             for m in _HIGH.finditer(s):
                 r = m.group()
@@ -308,8 +310,8 @@ def _restore(counts: np.ndarray):
         for pdf in batches:
             keys, texts = pdf["k"].tolist(), pdf["t"].tolist()
             out = []
-            for lo in range(0, len(texts), _CHUNK):
-                part = texts[lo : lo + _CHUNK]
+            for lo, hi in portions(list(map(len, texts)), _CHUNK):
+                part = texts[lo:hi]
                 s, c = _join(part)
                 p = np.flatnonzero((c[:-1] >= 128) | (c[1:] >= 128))
                 low = p[pairs.improbable(c[p], c[p + 1]) > 0]

@@ -25,9 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
+
 RUN, PASSAGE, STRIDE = 12, 24, 12
 SHIPPED = 32_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -130,10 +133,10 @@ def _search(items: list[tuple[object, str]], run: int):
         for batch in batches:
             found: list[tuple[object, object, int, float, int]] = []
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 500):  # some MB of text at a time
+            for lo, hi in portions(pc.binary_length(texts).to_pylist(), 500):
                 ids: list[int] = []
                 sizes = []
-                for t in texts.slice(lo, 500).to_pylist():
+                for t in texts.slice(lo, hi - lo).to_pylist():
                     w = words(t)
                     ids += map(get, w)  # type: ignore[arg-type]
                     sizes.append(len(w))

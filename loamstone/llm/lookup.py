@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters (or bytes) of text that are worked on at once; arrays of several times that are in memory.
+AT_ONCE = 4_000_000
+
+
+def portions(sizes: Sequence[int], most: int, at_once: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts with about ``at_once`` characters; a longer text is one by itself."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo >= most or total + n > at_once):
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 #: Bits of the filter that keeps the records whose texts are needed; 1 MB, whatever the data.
 FILTER_BITS = 1 << 23
 

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.lookup import with_texts
+from loamstone.llm.lookup import portions, with_texts
 from loamstone.llm.winnow import mix
 from loamstone.plans.tables import cut
 
@@ -79,8 +80,9 @@ class Shingler:
         return row[:m][whole], g[whole], sizes
 
 
-def _texts(batch: pa.RecordBatch, lo: int) -> list[str]:
-    return batch.column(1).slice(lo, _CHUNK).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    for lo, hi in portions(pc.binary_length(batch.column(1)).to_pylist(), _CHUNK):
+        yield lo, batch.column(1).slice(lo, hi - lo).to_pylist()
 
 
 def _count(n: int):
@@ -88,8 +90,8 @@ def _count(n: int):
         shingle = Shingler(n)
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, _CHUNK):
-                _, g, _ = shingle(_texts(batch, lo))
+            for _, texts in _texts(batch):
+                _, g, _ = shingle(texts)
                 total += np.bincount((g >> _SPARE).astype(np.int64) % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int32))], names=["bucket", "n"])
@@ -106,8 +108,8 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
         shingle = Shingler(n)
         told: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, _CHUNK):
-                row, g, words = shingle(_texts(batch, lo))
+            for lo, texts in _texts(batch):
+                row, g, words = shingle(texts)
                 keep = words[row] >= least_words
                 row, g = row[keep], g[keep]
                 if not len(row):

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
+
 TYPES = ("email", "street_address", "phone", "id_number", "name")
 BUCKETS = 1 << 20
 _CHUNK = 400
@@ -298,8 +300,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         texts = pdf["t"].tolist()
-        for lo in range(0, len(texts), _CHUNK):
-            s = "\x00".join(texts[lo : lo + _CHUNK])
+        for lo, hi in portions(list(map(len, texts)), _CHUNK):
+            s = "\x00".join(texts[lo:hi])
             low = _lower(s)
             tally.update(_tokens(low))
             for a, b in _cued(s, _literal_places(low)["name"]):
@@ -476,8 +478,8 @@ def _find(table: np.ndarray, texts: bool):
         for pdf in batches:
             keys, fields, values = pdf["k"].tolist(), pdf["field"].tolist(), pdf["t"].tolist()
             out = []
-            for lo in range(0, len(values), _CHUNK):
-                part = values[lo : lo + _CHUNK]
+            for lo, hi in portions(list(map(len, values)), _CHUNK):
+                part = values[lo:hi]
                 for i, spans in enumerate(find_in(part, names)):
                     if spans:
                         k, f = keys[lo + i], fields[lo + i]

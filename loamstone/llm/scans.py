@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
+
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 20
 #: A word this frequent (per million words of the column) is taken as read.
@@ -480,9 +482,9 @@ def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[obje
         for pdf in batches:
             keys, texts, kinds = pdf["k"].tolist(), pdf["t"].tolist(), pdf["kind"].tolist()
             out = []
-            for lo in range(0, len(keys), 1000):
-                part = texts[lo : lo + 1000]
-                done = r.run(part, [k in ("TABLE", "CODE") for k in kinds[lo : lo + 1000]])
+            for lo, hi in portions(list(map(len, texts)), 1000):
+                part = texts[lo:hi]
+                done = r.run(part, [k in ("TABLE", "CODE") for k in kinds[lo:hi]])
                 out += [(keys[lo + i], sorted(noise), t, fixed) for i, (t, (fixed, noise)) in enumerate(zip(part, done)) if noise or fixed != t]
             yield pd.DataFrame(out, columns=["k", "noise", "text", "repaired_text"])
 

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.lookup import needed, with_texts
+from loamstone.llm.lookup import needed, portions, with_texts
 from loamstone.llm.winnow import Winnower, mix
 from loamstone.plans.tables import cut
 
@@ -48,18 +49,19 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _units(run: int, gram: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Winnower(run, gram)
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in portions(pc.binary_length(b.column(1)).to_pylist(), 20_000)):
             data, off = text_buffers(batch.column(1))
             i, p, h = w(data, off)
             if not len(i):
                 continue
             first = pd.Series(np.arange(len(i))).groupby([i, h], sort=False).first().to_numpy()  # one occurrence a record
             i, p, h = i[first], p[first], h[first]
-            lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            lead = np.zeros(len(data) + 1, np.int32)
+            np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
             at = off[i] + p
             stop = at + gram
             broken = (stop < len(data)) & ((data[np.minimum(stop, len(data) - 1)] & 0xC0) == 0x80)
-            start = lead[at] - lead[off[i]]
+            start = (lead[at] - lead[off[i]]).astype(np.int64)
             size = lead[stop] - broken - lead[at]
             _, which, n = np.unique(h, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
