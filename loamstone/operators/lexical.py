@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstone.plans.tables import cut
+from loamstone.plans.tables import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -43,7 +43,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(id, term, tf, dl) of docs (id, t). A text's terms are counted where the text is, so nothing is shuffled for it."""
-    return docs.where("t is not null").select("id", "t").mapInArrow(_count_terms, f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
+    return spread(docs.where("t is not null").select("id", "t")).mapInArrow(_count_terms, f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
 
 
 def statistics(docs: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:

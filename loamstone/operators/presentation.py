@@ -18,7 +18,7 @@ def lines(df: DataFrame) -> DataFrame:
 def spaced_bullets(df: DataFrame) -> DataFrame:
     """(id, n, line, gap): whether a blank line goes before a bullet, so that no more than five follow each other."""
     trimmed = strip(F.col("line"))
-    rows = lines(df).withColumn("bullet", trimmed.startswith("- ") | trimmed.startswith("* ") | trimmed.isin("-", "*") & F.lit(False))
+    rows = lines(df).withColumn("bullet", trimmed.startswith("- ") | trimmed.startswith("* "))
     w = Window.partitionBy("id").orderBy("n")
     rows = rows.withColumn("island", F.sum(F.when(F.col("bullet"), 0).otherwise(1)).over(w))
     place = F.row_number().over(Window.partitionBy("id", "island", "bullet").orderBy("n"))
@@ -45,10 +45,41 @@ def badges(items: DataFrame) -> DataFrame:
     return rows.groupBy("id", "n", "category").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("`"), x["item"], F.lit("`"))), " ").alias("badges"))
 
 
-def stream_lines(c: Column) -> Column:
-    """Kind and payload of a line of an event stream."""
-    for_kind = F.when(F.lit(False), F.lit(""))
-    for kind in ("stage", "retrieved_chunks", "block_commit", "final_transformed", "error"):
-        for_kind = for_kind.when(c.startswith(f"{kind}:"), F.lit(kind))
-    kind = for_kind.otherwise(F.lit("token"))
+def present(df: DataFrame) -> DataFrame:
+    """(id, presented): headers repaired, then a blank line in long runs of bullets."""
+    from loamstone.functions.text import repair_headers
+
+    rows = spaced_bullets(df.select("id", repair_headers(F.col("t")).alias("t")))
+    ordered = F.array_sort(F.collect_list(F.struct("n", F.when(F.col("gap"), F.concat(F.lit("\n"), "line")).otherwise(F.col("line")).alias("line"))))
+    return rows.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("presented"))
+
+
+STAGES = ("stage", "retrieved_chunks", "block_commit", "final_transformed", "error")
+
+
+def stream_line(c: Column) -> Column:
+    """Struct(kind, payload) of a line of an event stream; a line without a known prefix is a token."""
+    chain = F.when(F.lit(False), F.lit(""))
+    for kind in STAGES:
+        chain = chain.when(c.startswith(f"{kind}:"), F.lit(kind))
+    kind = chain.otherwise(F.lit("token"))
     return F.struct(kind.alias("kind"), F.when(kind == "token", c).otherwise(F.regexp_replace(c, r"^[a-z_]+:\s*", "")).alias("payload"))
+
+
+def stream_events(df: DataFrame) -> DataFrame:
+    """(id, seq, kind, payload) of (id, body): the data lines between blank lines."""
+    parts = F.filter(F.transform(F.split("body", "\n\n"), lambda x: F.regexp_replace(x, r"^data: ?", "")), lambda x: x != "")
+    return df.select("id", F.posexplode(parts).alias("seq", "line")).select("id", "seq", stream_line(F.col("line")).alias("e")).select("id", "seq", "e.kind", "e.payload")
+
+
+def error_payload(c: Column) -> Column:
+    """Struct(error, message, actions) of an answer that is a JSON object with an error, else NULL."""
+    j = F.from_json(c, "error string, message string, actions array<string>")
+    ok = strip(c).startswith("{") & strip(c).endswith("}") & c.contains('"error"') & j["error"].isNotNull()
+    return F.when(ok, F.struct(j["error"].alias("error"), F.coalesce(j["message"], F.lit("")).alias("message"), F.coalesce(j["actions"], F.array().cast("array<string>")).alias("actions")))
+
+
+def guard_verdict(c: Column) -> Column:
+    """Struct(safe, reason) of a guard model's JSON; what can't be read is unsafe."""
+    j = F.from_json(c, "safe boolean, reason string")
+    return F.struct(F.coalesce(j["safe"], F.lit(False)).alias("safe"), F.coalesce(j["reason"], F.lit("unreadable")).alias("reason"))

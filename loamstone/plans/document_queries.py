@@ -154,9 +154,35 @@ def section_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(T.section_priority(F.col("text")).alias("priority")).agg(F.count("*").alias("n"))
 
 
+BODIES = (
+    "data: stage: retrieving\n\ndata: retrieved_chunks: [1, 2]\n\ndata: Hello \n\ndata: world\n\ndata: block_commit: {\"id\": 1}\n\ndata: final_transformed: {\"content\": \"x\"}\n\n",
+    "data: error: no model\n\n", "", "plain line\n\ndata: stage:done",
+)
+ERRORS = ('{"error": "LowContext", "message": "too little", "actions": ["a", "b"]}', ' {"error": "Down"} ', '{"ok": 1}', "no json", '{"error": broken', "")
+VERDICTS = ('{"safe": true, "reason": "fine"}', '{"safe": false, "reason": "asks for a key"}', "I think it is safe", '{"reason": "x"}', "")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presentation.stream_events(spark.createDataFrame(list(enumerate(BODIES)), "id long, body string"))
+
+
+def error_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame(list(enumerate(ERRORS)), "id long, t string").select("id", presentation.error_payload(F.col("t")).alias("e"))
+    return e.select("id", "e.error", "e.message", F.size(F.coalesce("e.actions", F.array().cast("array<string>"))).alias("n_actions"))
+
+
+def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.createDataFrame(list(enumerate(VERDICTS)), "id long, t string").select("id", presentation.guard_verdict(F.col("t")).alias("v"))
+    return v.select("id", "v.safe", "v.reason")
+
+
+def presented_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presentation.present(_markdown(spark, sf_dir))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (paragraph_elements, layout_parents, section_breadcrumbs, context_blocks, flattened_elements, highlighted, working_memory, episodic_summary, topic_shift, recent_turns, context_budget, cache_lookup, session_clear, request_metrics, session_metrics, upload_ranks, event_windows, parser_choice, tenant_files, header_repair, bullet_density, badge_groups, section_priority)
+    for q in (event_stream, error_payloads, guard_verdicts, presented_answers, paragraph_elements, layout_parents, section_breadcrumbs, context_blocks, flattened_elements, highlighted, working_memory, episodic_summary, topic_shift, recent_turns, context_budget, cache_lookup, session_clear, request_metrics, session_metrics, upload_ranks, event_windows, parser_choice, tenant_files, header_repair, bullet_density, badge_groups, section_priority)
 }
 
 # ---- the same in SQL -----------------------------------------------------------------------------------
@@ -203,7 +229,20 @@ def _context_sql() -> str:
     return _FUSED + f", {_P}, {_S}, hit AS (SELECT DISTINCT ON (query_id, text) query_id, rank, text, breadcrumb FROM (SELECT f.query_id, f.rank, sec.text, sec.breadcrumb FROM f JOIN sec ON sec.doc = f.id AND sec.section = 1) ORDER BY query_id, text, rank) SELECT query_id, string_agg(CASE WHEN breadcrumb <> '' THEN '[Category: ' || breadcrumb || ']' || chr(10) || text ELSE text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM hit GROUP BY query_id"
 
 
+def _valued(rows: tuple[str, ...], name: str) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {_sql_text(s)})" for i, s in enumerate(rows)) + f") AS v(id, {name})"
+
+
 SQL = {
+    "event_stream": f"""WITH l AS (SELECT id, unnest(range(len(ls))) AS seq, unnest(ls) AS line FROM (SELECT id, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: regexp_replace(x, '^data: ?', '')), lambda x: x <> '') AS ls FROM {_valued(BODIES, 'body')})),
+k AS (SELECT *, CASE {' '.join(f"WHEN starts_with(line, '{x}:') THEN '{x}'" for x in presentation.STAGES)} ELSE 'token' END AS kind FROM l) SELECT id, CAST(seq AS INT) AS seq, kind, CASE WHEN kind = 'token' THEN line ELSE regexp_replace(line, '^[a-z_]+:\\s*', '') END AS payload FROM k""",
+    "error_payloads": f"""WITH j AS (SELECT id, CASE WHEN json_valid(t) AND starts_with(trim(t), '{{') AND json_extract_string(t, '$.error') IS NOT NULL THEN CAST(t AS JSON) END AS j FROM {_valued(ERRORS, 't')})
+SELECT id, json_extract_string(j, '$.error') AS error, CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.message'), '') END AS message, CAST(coalesce(json_array_length(j, '$.actions'), 0) AS INT) AS n_actions FROM j""",
+    "guard_verdicts": f"""WITH j AS (SELECT id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM {_valued(VERDICTS, 't')})
+SELECT id, coalesce(CAST(json_extract_string(j, '$.safe') AS BOOLEAN), false) AS safe, coalesce(json_extract_string(j, '$.reason'), 'unreadable') AS reason FROM j""",
+    "presented_answers": f"""WITH {_MD.replace('m AS (', 'raw AS (', 1)}, m AS (SELECT id, {_repair('t')} AS t FROM raw), {_LINES}, b AS (SELECT *, starts_with({_STRIPPED('line')}, '- ') OR starts_with({_STRIPPED('line')}, '* ') AS bullet FROM l), i AS (SELECT *, sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS island FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY id, island, bullet ORDER BY n) AS place FROM i)
+SELECT id, string_agg(CASE WHEN bullet AND place > 1 AND (place - 1) % 5 = 0 THEN chr(10) || line ELSE line END, chr(10) ORDER BY n) AS presented FROM p GROUP BY id""",
     "paragraph_elements": f"WITH {_P} SELECT doc, count(*) AS n, count(*) FILTER (kind = 'HEADING') AS headings, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(pos) AS INT) AS last FROM el GROUP BY doc",
     "layout_parents": f"WITH {_P} SELECT doc, CAST(pos AS INT) AS pos, kind, CAST(CASE WHEN kind <> 'HEADING' THEN last_value(CASE WHEN kind = 'HEADING' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS INT) AS parent_pos FROM el",
     "section_breadcrumbs": f"WITH {_P}, {_S} SELECT * FROM sec",

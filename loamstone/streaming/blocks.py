@@ -59,7 +59,7 @@ def fold_blocks(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("stream").applyInPandas(fold, OUT)
 
 
-def stream_blocks(tokens: DataFrame, idle: str = "PT30S") -> DataFrame:
+def stream_blocks(tokens: DataFrame) -> DataFrame:
     """The same over a streaming DataFrame: buffer and number of blocks are kept as state; a stream's NULL token ends it."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -82,5 +82,4 @@ def stream_blocks(tokens: DataFrame, idle: str = "PT30S") -> DataFrame:
         if events:
             yield _rows(key[0], events)
 
-    del idle
     return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
