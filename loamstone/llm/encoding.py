@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import portions
+from loamstone.plans.tables import spread
 
 #: Buckets of the pair table (counts of pairs that share a bucket add up); it is what is sent to tasks.
 BUCKETS = 1 << 19
@@ -329,7 +330,7 @@ def _restore(counts: np.ndarray):
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
     """The pair table of a column: partial tables are summed by bucket; at most ``BUCKETS`` rows reach the driver."""
     counts = np.zeros(BUCKETS, np.int64)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return counts
 
@@ -338,4 +339,4 @@ def repair_encoding(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, status, text, restored_text) of every affected record; status is restored, partly or lost."""
     counts = pair_counts(df, text)
     rows = df.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(_restore(counts), f"k {dict(rows.dtypes)['k']}, status string, text string, restored_text string").dropDuplicates(["k"]).withColumnRenamed("k", key)
+    return spread(rows).mapInPandas(_restore(counts), f"k {dict(rows.dtypes)['k']}, status string, text string, restored_text string").dropDuplicates(["k"]).withColumnRenamed("k", key)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import portions
+from loamstone.plans.tables import spread
 
 RUN, PASSAGE, STRIDE = 12, 24, 12
 SHIPPED = 32_000_000
@@ -186,7 +187,7 @@ def item_groups(items: DataFrame, key: str, text: str, shipped: int = SHIPPED) -
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN) -> DataFrame:
     """(doc, item, shared_words, item_share, at_word): documents that hold ``run`` successive words of an item."""
-    d = docs.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("t"))
+    d = spread(docs.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("t")))
     out = None
     for group in item_groups(items, item_key, item_text):
         part = d.mapInArrow(_search(group, run), f"doc {dict(d.dtypes)['doc']}, item long, shared_words int, item_share double, at_word int")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import portions, with_texts
 from loamstone.llm.winnow import mix
-from loamstone.plans.tables import cut
+from loamstone.plans.tables import cut, spread
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
 #: Buckets of the table of shingle counts.
@@ -249,7 +249,7 @@ class Similar:
     """``members`` (doc, set): which records have which set; ``links`` (sa, sb, similarity): pairs of different sets."""
 
     def __init__(self, df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
-        docs = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+        docs = spread(df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc"), F.col(text).alias("text")))
         kind = dict(docs.dtypes)["doc"]
         rows = docs.mapInArrow(_count(n), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(BUCKETS, np.int64)

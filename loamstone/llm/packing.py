@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstone.plans.tables import cut
+from loamstone.plans.tables import cut, spread
 
 CAPACITY, GROUPS, SMALL_SHARE = 2048, 96, 8
 #: Parts into which the items of one size are ranked; no size is gathered in one task.
@@ -259,7 +259,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
-    sized = cut(rows.mapInArrow(_measure(tokenizer or tokenizer_path()), f"k {kind}, tokens int").groupBy("k").agg(F.max("tokens").alias("tokens")))
+    sized = cut(spread(rows).mapInArrow(_measure(tokenizer or tokenizer_path()), f"k {kind}, tokens int").groupBy("k").agg(F.max("tokens").alias("tokens")))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     pieces = sized.where("tokens > 0").select("k", n_pieces.alias("n_pieces"), "tokens", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece_no")).select(
         "k", "piece_no", "n_pieces", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("size")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.plans.tables import spread
+
 TRAIN_ROWS = 3000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished", "extra")
 _A, _R, _E, _F, _U, _X = range(6)
@@ -342,4 +344,4 @@ def broken_pairs(df: DataFrame, key: str, query: str, response: str) -> DataFram
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(query).alias("q"), F.col(response).alias("r"))
     sample = rows.where(F.length("r").between(1, 4000)).orderBy(F.xxhash64("k"), "k", "r").limit(TRAIN_ROWS).collect()
     field = train_on([(x["q"], x["r"]) for x in sample])
-    return rows.mapInPandas(_tag_pairs(field), f"k {dict(rows.dtypes)['k']}, defect string").dropDuplicates(["k"]).withColumnRenamed("k", key)
+    return spread(rows).mapInPandas(_tag_pairs(field), f"k {dict(rows.dtypes)['k']}, defect string").dropDuplicates(["k"]).withColumnRenamed("k", key)

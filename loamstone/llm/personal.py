@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import portions
+from loamstone.plans.tables import spread
 
 TYPES = ("email", "street_address", "phone", "id_number", "name")
 BUCKETS = 1 << 20
@@ -503,9 +504,9 @@ def name_table(rows: DataFrame) -> np.ndarray:
 def long_form(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(k, field, t) of every non-empty text."""
     parts = [df.where(F.col(key).isNotNull() & (F.length(f) > 0)).select(F.col(key).cast("string").alias("k"), F.lit(f).alias("field"), F.col(f).alias("t")) for f in fields]
-    out = parts[0]
+    out = spread(parts[0])
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(spread(p))
     return out
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import portions
+from loamstone.plans.tables import spread
 
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 20
@@ -494,7 +495,7 @@ def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[obje
 def word_table(df: DataFrame, text: str) -> np.ndarray:
     """Count-min table of a column's words: twice ``BUCKETS`` sums at most reach the driver."""
     table = np.zeros(2 * BUCKETS, np.int64)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return table
 
@@ -514,6 +515,6 @@ def repair_scans(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     furniture = train_furniture(texts, [r["t"] for r in titles])
     todo = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(kind), F.lit("")).alias("kind"))
     return (
-        todo.mapInPandas(_repair(table, editor, furniture), f"k {dict(todo.dtypes)['k']}, noise array<string>, text string, repaired_text string")
+        spread(todo).mapInPandas(_repair(table, editor, furniture), f"k {dict(todo.dtypes)['k']}, noise array<string>, text string, repaired_text string")
         .dropDuplicates(["k"]).withColumnRenamed("k", key)
     )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loamstone.llm.lookup import needed, portions, with_texts
 from loamstone.llm.winnow import Winnower, mix
-from loamstone.plans.tables import cut
+from loamstone.plans.tables import cut, spread
 
 RUN, GRAM = 300, 200
 #: Records of a group that are paired by their units alone.
@@ -160,7 +160,7 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     """Distinct (a, b), a < b, of records whose texts have ``run`` successive characters in common."""
     docs = df.where(F.col(key).isNotNull() & (F.length(text) >= run)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc"]
-    units = cut(docs.mapInArrow(_units(run, gram), f"h long, doc {kind}, place long, hot boolean"))
+    units = cut(spread(docs).mapInArrow(_units(run, gram), f"h long, doc {kind}, place long, hot boolean"))
     # units that are frequent even within a batch are set apart, so that no task below gathers a large group
     apart = units.where("hot").select("h").distinct()
     cold = units.join(apart, "h", "left_anti").select("h", "doc", "place")
