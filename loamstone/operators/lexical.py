@@ -73,7 +73,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = Tru
         hit = hit.where("id <> query_id")
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def fuse(lists: list[DataFrame], weights: list[float], k: int, rrf_k: int = 60, text: str = "text") -> DataFrame:
@@ -88,4 +88,4 @@ def fuse(lists: list[DataFrame], weights: list[float], k: int, rrf_k: int = 60,
         rows = part if rows is None else rows.unionByName(part)
     scored = rows.groupBy("query_id", text).agg(F.round(F.sum("share"), 9).alias("score"), F.min("id").alias("id"), F.min("pos").alias("pos"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("pos")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("pos")

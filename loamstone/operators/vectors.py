@@ -70,9 +70,9 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, same: str | None =
     if block:
         out = one(block) if out is None else out.unionByName(one(block))
     if out is None:
-        return rows.sparkSession.createDataFrame([], f"query_id {kinds['id']}, id {kinds['id']}, score double, rank int")
+        return rows.sparkSession.createDataFrame([], f"query_id {kinds['id']}, id {kinds['id']}, score double, rank long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def project(rows: DataFrame, scale: float = 7.0) -> DataFrame:

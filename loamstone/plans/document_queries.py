@@ -163,16 +163,16 @@ VERDICTS = ('{"safe": true, "reason": "fine"}', '{"safe": false, "reason": "asks
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presentation.stream_events(spark.createDataFrame(list(enumerate(BODIES)), "id long, body string"))
+    return presentation.stream_events(spark.createDataFrame(list(enumerate(BODIES)), "id int, body string"))
 
 
 def error_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.createDataFrame(list(enumerate(ERRORS)), "id long, t string").select("id", presentation.error_payload(F.col("t")).alias("e"))
+    e = spark.createDataFrame(list(enumerate(ERRORS)), "id int, t string").select("id", presentation.error_payload(F.col("t")).alias("e"))
     return e.select("id", "e.error", "e.message", F.size(F.coalesce("e.actions", F.array().cast("array<string>"))).alias("n_actions"))
 
 
 def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame(list(enumerate(VERDICTS)), "id long, t string").select("id", presentation.guard_verdict(F.col("t")).alias("v"))
+    v = spark.createDataFrame(list(enumerate(VERDICTS)), "id int, t string").select("id", presentation.guard_verdict(F.col("t")).alias("v"))
     return v.select("id", "v.safe", "v.reason")
 
 
