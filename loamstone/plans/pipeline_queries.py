@@ -66,4 +66,14 @@ def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (recursive_chunks, block_stream, breaker_fold, answer_questions, smart_chunks)}
-SQL: dict[str, str] = {}
+SQL = {
+    "breaker_fold": f"""WITH RECURSIVE r AS (SELECT session_id AS service, request_id AS seq, epoch(ts) AS at_s, error IS NULL AS ok, row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS rn FROM requests WHERE ts IS NOT NULL AND session_id IS NOT NULL),
+f AS (
+  SELECT DISTINCT service, CAST(0 AS BIGINT) AS rn, 0 AS failures, CAST(0 AS DOUBLE) AS last_s, 'closed' AS state, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS allowed FROM r
+  UNION ALL
+  SELECT service, rn, CASE WHEN st = 'open' THEN failures WHEN ok AND st = 'half-open' THEN 0 WHEN ok THEN failures ELSE failures + 1 END, CASE WHEN st = 'open' OR ok THEN last_s ELSE at_s END,
+    CASE WHEN st = 'open' THEN 'open' WHEN ok AND st = 'half-open' THEN 'closed' WHEN ok THEN st WHEN failures + 1 >= {breaker.THRESHOLD} THEN 'open' ELSE st END, seq, st <> 'open'
+  FROM (SELECT r.*, f.failures, f.last_s, CASE WHEN f.state = 'open' AND r.at_s - f.last_s > {breaker.RECOVERY_S} THEN 'half-open' ELSE f.state END AS st FROM f JOIN r ON r.service = f.service AND r.rn = f.rn + 1)
+)
+SELECT service, seq, allowed, state FROM f WHERE seq IS NOT NULL""",
+}
