@@ -185,8 +185,10 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
         return sure.unionByName(compared).distinct()
     around = hot.groupBy("doc").agg(F.collect_list(at("place").cast("int")).alias("starts"), F.collect_list((at("place") + size("place")).cast("int")).alias("stops"))
     windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
-    # records with the same windows meet here because they share a whole run: each pair is a result
-    w = windows.join(windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
+    # Neighbouring windows are mostly held by the same records, so one window stands for all that have the same holders. Records
+    # that share one meet because they share a whole run: each pair is a result.
+    holders = windows.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
+    w = cut(windows.join(holders.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"))
     from_hot = w.select("h", F.col("doc").alias("a")).join(w.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b").distinct()
     return sure.unionByName(compared).unionByName(from_hot).distinct()
 

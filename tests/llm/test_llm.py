@@ -47,6 +47,14 @@ def test_shared_spans_against_brute(spark, monkeypatch, hot, local):
     assert got == brute_spans(docs, 300)
 
 
+def test_many_copies(spark):
+    r = random.Random(8)
+    text = words(r, 150)
+    docs = [(i, text if i < 90 else words(r, 20) + text[100:460] if i < 130 else words(r, 150)) for i in range(150)]
+    got = {tuple(x) for x in shared_spans.shared_pairs(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(130), 2)}
+
+
 def test_shared_portion(spark):
     p = "".join(random.Random(1).choice(string.ascii_letters) for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 100 + p), (2, p + "y" * 50), (3, "short"), (4, None)], "id long, text string")
