@@ -47,6 +47,8 @@ for _d in _WORDS_OF.values():
     for _lang in _d:
         _d[_lang] = 1.0 / len(_d)
 _LETTERS = {"de": "äöüß", "fr": "çèêîôûœàâëï", "es": "ñ¿¡íóú", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
+_LETTER_OF = {c: [k for k, cs in _LETTERS.items() if c in cs] for cs in _LETTERS.values() for c in cs}
+_HIGH = re.compile(r"[^\x00-\x7f]")
 # Names of languages, by which a question asks for one.
 _ASKED = {
     "en": r"english|anglais|inglés|englisch\w*|inglese|английск\w*", "de": r"german|deutsch\w*|allemand|alemán|tedesco|немецк\w*",
@@ -95,11 +97,9 @@ def language(words: list[str], text: str = "") -> str | None:
     for w in words:
         for k, v in _WORDS_OF.get(w, {}).items():
             score[k] += v
-    low = text.lower()
-    for k, cs in _LETTERS.items():
-        n = sum(low.count(c) for c in cs)
-        if n:
-            score[k] += 0.4 * min(n, 4)
+    letters = Counter(k for c in _HIGH.findall(text.lower()) for k in _LETTER_OF.get(c, ()))
+    for k, n in letters.items():
+        score[k] += 0.4 * min(n, 4)
     if not score:
         return None
     (best, v), *rest = score.most_common(2)
@@ -137,6 +137,11 @@ def _ending(c: str, last: bool) -> str:
     return "colon" if t.endswith(":") else "none"
 
 
+def is_leadin(c: str) -> bool:
+    """A few words that end in a colon or an exclamation mark."""
+    return c.rstrip(" *\"“").endswith((":", "!")) and len(c) < 80 and bool(_LEADIN.match(c))
+
+
 class Pair:
     """What the features of a pair's clauses need to know."""
 
@@ -184,7 +189,7 @@ def features(p: Pair, i: int) -> list[object]:
     end = _ending(c, last)
     f: list[object] = [
         "bias", ("n", min(n, 4)), ("last", last, end), ("left open", last and end in ("dots", "open", "number", "none", "colon")), ("end", end), ("first", i == 0), ("len", min(len(w) // 4, 6)), ("here", int(here * 8)), ("echoes", i in p.echoes), ("there", int(there * 5)),
-        ("foreign", p.foreign(i)), ("known", p.languages[i] is not None), ("refuses", bool(_REFUSES.search(c)), any(x.isdigit() for x in c), bool(_FIRST_PERSON & set(w)) or len(w) < 9), ("courtesy", bool(_COURTESY.search(c))), ("contact", bool(_CONTACT.search(c))), ("digits", any(x.isdigit() for x in c)), ("lead", bool(_LEADIN.match(c))), ("value", end == "value", n == 1),
+        ("foreign", p.foreign(i)), ("known", p.languages[i] is not None), ("refuses", bool(_REFUSES.search(c)), any(x.isdigit() for x in c), bool(_FIRST_PERSON & set(w)) or len(w) < 9), ("courtesy", bool(_COURTESY.search(c))), ("contact", bool(_CONTACT.search(c))), ("digits", any(x.isdigit() for x in c)), ("lead", is_leadin(c)), ("value", end == "value", n == 1),
     ]
     f += [("w", x) for x in set(w) if not x.isdigit()]
     return f
@@ -203,7 +208,7 @@ def cue_label(p: Pair, i: int) -> int:
         return _X if not last or end != "open" else _U
     if _REFUSES.search(c) and len(w) <= 30 and not any(x.isdigit() for x in c) and (_FIRST_PERSON & set(w) or len(w) < 9):
         return _R
-    if _COURTESY.search(c) and len(w) <= 12 or (_LEADIN.match(c) and not last):
+    if _COURTESY.search(c) and len(w) <= 12 or (is_leadin(c) and not last):
         return _X
     if last and end in ("dots", "open", "number", "none", "colon") and not (end == "colon" and len(p.clauses) == 1):
         return _U
