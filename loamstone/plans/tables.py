@@ -39,8 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: a small table in one file would keep one core busy.
 
-    Only scans and filters come in here, so that counting their partitions runs nothing; large tables have more partitions
-    than cores and stay as they are.
+    Large tables have more partitions than cores and stay as they are, and so does what comes out of a shuffle, whose
+    partitions couldn't be counted without running it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
