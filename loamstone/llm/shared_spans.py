@@ -184,7 +184,8 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     if hot.isEmpty():
         return sure.unionByName(compared).distinct()
     around = hot.groupBy("doc").agg(F.collect_list(at("place").cast("int")).alias("starts"), F.collect_list((at("place") + size("place")).cast("int")).alias("stops"))
-    windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}"))
+    # distinct, as a record delivered twice would count twice among the holders and cancel itself out of their xors
+    windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}").distinct())
     # Neighbouring windows are mostly held by the same records, so one window stands for all that have the same holders. Records
     # that share one meet because they share a whole run: each pair is a result.
     holders = windows.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")

@@ -55,6 +55,14 @@ def test_many_copies(spark):
     assert got == {(a, b) for a, b in itertools.combinations(range(130), 2)}
 
 
+def test_hot_groups_delivered_twice(spark):
+    r = random.Random(9)
+    passages = [words(r, 90), words(r, 90)]
+    docs = [(i, words(r, 20) + passages[i // 70] + words(r, 20)) for i in range(140)]
+    got = {tuple(x) for x in shared_spans.shared_pairs(spark.createDataFrame(docs * 2, "id long, text string"), "id", "text").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(140), 2) if a // 70 == b // 70}
+
+
 def test_shared_portion(spark):
     p = "".join(random.Random(1).choice(string.ascii_letters) for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 100 + p), (2, p + "y" * 50), (3, "short"), (4, None)], "id long, text string")
