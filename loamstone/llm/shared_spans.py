@@ -7,7 +7,7 @@ of their hashes), of which every run of ``run`` characters holds at least one in
 
 Pairs whose shared units chain up to ``run`` characters on one diagonal are proven by offsets alone; the
 others are compared as texts. A unit found in more than ``HOT`` records is replaced by all windows of
-the full ``run`` around it, so that only records that share a whole run meet.
+the full ``run`` around each of its places, so that only records that share a whole run meet.
 
 Defined results: NULL and short texts share nothing; repeated rows of an id count once; records with equal
 texts of enough length are pairs like any others; empty tables give empty results.
@@ -46,6 +46,16 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def _characters(data: np.ndarray, off: np.ndarray, i: np.ndarray, p: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, in whole characters, of the units at byte ``p`` of text ``i``."""
+    lead = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    at = off[i] + p
+    stop = at + gram
+    broken = (stop < len(data)) & ((data[np.minimum(stop, len(data) - 1)] & 0xC0) == 0x80)
+    return (lead[at] - lead[off[i]]).astype(np.int64), lead[stop] - broken - lead[at]
+
+
 def _units(run: int, gram: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Winnower(run, gram)
@@ -56,13 +66,7 @@ def _units(run: int, gram: int):
                 continue
             first = pd.Series(np.arange(len(i))).groupby([i, h], sort=False).first().to_numpy()  # one occurrence a record
             i, p, h = i[first], p[first], h[first]
-            lead = np.zeros(len(data) + 1, np.int32)
-            np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-            at = off[i] + p
-            stop = at + gram
-            broken = (stop < len(data)) & ((data[np.minimum(stop, len(data) - 1)] & 0xC0) == 0x80)
-            start = (lead[at] - lead[off[i]]).astype(np.int64)
-            size = lead[stop] - broken - lead[at]
+            start, size = _characters(data, off, i, p, gram)
             _, which, n = np.unique(h, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(i)), pa.array(start << 10 | size), pa.array(n[which] >= LOCAL_HOT)], names=["h", "doc", "place", "hot"]
@@ -140,17 +144,23 @@ def _compare(run: int, spans: bool):
     return go
 
 
-def _hot_windows(run: int):
-    """All windows of ``run`` characters that hold one of the record's hot units."""
+def _hot_windows(run: int, gram: int):
+    """All windows of ``run`` characters that hold one of the record's hot units, wherever in the record the unit stands."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = Winnower(run, gram)
         for pdf in batches:
-            for doc, text, starts, stops in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["stops"]):
+            for doc, text, units in zip(pdf["doc"], pdf["text"], pdf["units"]):
+                data, off = text_buffers(pa.array([text]))
+                i, p, h = w(data, off)
+                here = np.isin(h.view(np.int64), units)
+                start, size = _characters(data, off, i[here], p[here], gram)
                 g = grams(text, run)
-                want = np.zeros(len(g), bool)
-                for s, e in zip(starts, stops):
-                    want[max(0, e - run) : s + 1] = True
-                got = np.unique(g[want]).view(np.int64)
+                # +1 where the windows around a unit begin, -1 behind them
+                edge = np.zeros(len(g) + 1, np.int64)
+                np.add.at(edge, np.clip(start + size - run, 0, len(g)), 1)
+                np.add.at(edge, np.clip(start + 1, 0, len(g)), -1)
+                got = np.unique(g[np.cumsum(edge[:-1]) > 0]).view(np.int64)
                 yield pd.DataFrame({"h": got, "doc": doc})
 
     return go
@@ -180,12 +190,12 @@ def shared_pairs(df: DataFrame, key: str, text: str, run: int = RUN, gram: int =
     sure = pairs.where(F.col("best") >= run).select("a", "b")
     unsure = pairs.where(F.col("best") < run).select("a", "b")
     compared = with_texts(unsure, docs).select("a", "b", "ta", "tb").mapInPandas(_compare(run, False), f"a {kind}, b {kind}")
-    hot = met.where("b is null").select("h", F.col("a").alias("doc"), "place").unionByName(units.join(apart, "h", "left_semi").select("h", "doc", "place"))
+    hot = met.where("b is null").select("h", F.col("a").alias("doc")).unionByName(units.join(apart, "h", "left_semi").select("h", "doc"))
     if hot.isEmpty():
         return sure.unionByName(compared).distinct()
-    around = hot.groupBy("doc").agg(F.collect_list(at("place").cast("int")).alias("starts"), F.collect_list((at("place") + size("place")).cast("int")).alias("stops"))
+    around = hot.groupBy("doc").agg(F.collect_set("h").alias("units"))
     # distinct, as a record delivered twice would count twice among the holders and cancel itself out of their xors
-    windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run), f"h long, doc {kind}").distinct())
+    windows = cut(needed(docs, around.select("doc")).join(around, "doc").mapInPandas(_hot_windows(run, gram), f"h long, doc {kind}").distinct())
     # Neighbouring windows are mostly held by the same records, so one window stands for all that have the same holders. Records
     # that share one meet because they share a whole run: each pair is a result.
     holders = windows.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")

@@ -63,6 +63,15 @@ def test_hot_groups_delivered_twice(spark):
     assert got == {(a, b) for a, b in itertools.combinations(range(140), 2) if a // 70 == b // 70}
 
 
+def test_hot_passage_quoted_before(spark):
+    r = random.Random(10)
+    letters = lambda n: "".join(r.choice(string.ascii_letters + "é") for _ in range(n))
+    passage = letters(300)
+    docs = {i: letters(150) + (passage[:298] + letters(150) if i % 2 else "") + passage + letters(50) for i in range(80)}
+    got = {tuple(x) for x in shared_spans.shared_pairs(spark.createDataFrame(list(docs.items()), "id long, text string"), "id", "text").collect()}
+    assert got == brute_spans(docs, 300) == set(itertools.combinations(range(80), 2))
+
+
 def test_shared_portion(spark):
     p = "".join(random.Random(1).choice(string.ascii_letters) for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 100 + p), (2, p + "y" * 50), (3, "short"), (4, None)], "id long, text string")
