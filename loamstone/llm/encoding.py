@@ -2,7 +2,9 @@
 
 1. Counts of adjacent character pairs with a character beyond ASCII, over the whole column, into a table of
    fixed size. Runs that an inverse mapping turns into valid UTF-8 are left out of the counts, so that
-   damage does not teach the table that it is normal.
+   damage does not teach the table that it is normal. One-byte misreadings show only against the counts: the column
+   is counted again without the words of texts that an inverse mapping makes likelier, at most ``PASSES`` times in all. A
+   misreading that most texts of its language share is taken for normal.
 2. Each pair has its part in the corpus's mutual information, p(x,y)·log(p(x,y)/p(x)p(y)). A pair
    scores by how far that part lies below ``FLOOR``; the maximum-scoring segments of a text are its improbable runs.
 3. Only inside those runs inverse mappings are tried (written as A, read as B: encode in B, decode as A), again and
@@ -35,6 +37,10 @@ FLOOR = 6e-5
 MARGIN_UTF8, MARGIN_BYTE, MARGIN_BYTE_EACH = 3.0, 5.0, 0.6
 #: Nats that each pair of adjacent accented Latin letters counts against a reading: languages rarely have any.
 ACCENTS = 1.0
+#: Nats, in all and per character beyond ASCII, by which an inverse must raise a text's likelihood to keep words out of the counts.
+SEEN_LEAST, SEEN_EACH = 0.5, 0.3
+#: Least gain of a word, so that one odd word does not outweigh a text; and counts of the column at most.
+_WORST, PASSES = -3.0, 4
 #: Score of a pair of ASCII characters: a run goes over a few of them, not over many.
 _PLAIN = -1.5
 _CHUNK = 500
@@ -45,6 +51,7 @@ _WRITTEN_AS = ("utf-8", "cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8
 # Pairs of one-byte encodings that are worth a test.
 _ONE_BYTE = [("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "cp850"), ("latin-1", "cp437"), ("cp1251", "cp1252"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("cp1250", "cp1252"), ("latin-1", "mac_roman"), ("cp1252", "cp866"), ("latin-1", "cp866")]
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+_HIGH_WORD = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 _ACCENTED = re.compile("[\u00c0-\u00ff](?=[\u00c0-\u00ff])")
 #: What text in the languages at hand consists of beyond ASCII; a reading as UTF-8 must give it to keep a run out of the counts.
 _USUAL = re.compile("[\u00a1-\u017f\u0400-\u045f\u2010-\u2044\u20ac\u2122]+")
@@ -113,32 +120,48 @@ def _join(texts: list[str | None]) -> tuple[str, np.ndarray]:
     return s, np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BUCKETS, np.int64)
-    known: dict[str, bool] = {}
-    for pdf in batches:
-        texts = pdf["t"].tolist()
-        for lo, hi in portions(list(map(len, texts)), _CHUNK):
-            s, c = _join(texts[lo:hi])
-            skip = np.zeros(len(c), bool)
-            for m in _HIGH.finditer(s):
-                r = m.group()
-                if len(r) > 1:
-                    bad = known.get(r)
-                    if bad is None:
-                        bad = any(_USUAL.fullmatch(d) or d == "\xa0" for d in as_utf8(r))
-                        if len(known) < 100_000:
-                            known[r] = bad
-                    if bad:
-                        skip[m.start() : m.end()] = True
-            chars, n = np.unique(c[~skip], return_counts=True)
-            np.add.at(total, _bucket(chars, np.full(len(chars), _ALONE)), n)
-            total[_bucket(np.array([_ALL]), np.array([_ALL]))] += int((~skip).sum())
-            p = np.flatnonzero(((c[:-1] >= 128) | (c[1:] >= 128)) & ~skip[:-1] & ~skip[1:])
-            pairs, n = np.unique(c[p].astype(np.uint64) << np.uint64(32) | c[p + 1].astype(np.uint64), return_counts=True)
-            np.add.at(total, _bucket(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), n)
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": at, "n": total[at]})
+def _counting(counts: np.ndarray | None):
+    """Counts pairs; with the ``counts`` of an earlier pass, without the words that look misread under them."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        known: dict[str, bool] = {}
+        misread = _Misread(Pairs(counts)) if counts is not None else None
+        for pdf in batches:
+            texts = pdf["t"].tolist()
+            for lo, hi in portions(list(map(len, texts)), _CHUNK):
+                s, c = _join(texts[lo:hi])
+                skip = np.zeros(len(c), bool)
+                for m in _HIGH.finditer(s):
+                    r = m.group()
+                    if len(r) > 1:
+                        bad = known.get(r)
+                        if bad is None:
+                            bad = any(_USUAL.fullmatch(d) or d == "\xa0" for d in as_utf8(r))
+                            if len(known) < 100_000:
+                                known[r] = bad
+                        if bad:
+                            skip[m.start() : m.end()] = True
+                if misread is not None:
+                    at = 0
+                    for t in texts[lo:hi]:
+                        if t and not t.isascii():
+                            for i, j in misread(t):
+                                skip[at + i : at + j] = True
+                        at += len(t or "") + 1
+                chars, n = np.unique(c[~skip], return_counts=True)
+                np.add.at(total, _bucket(chars, np.full(len(chars), _ALONE)), n)
+                total[_bucket(np.array([_ALL]), np.array([_ALL]))] += int((~skip).sum())
+                p = np.flatnonzero(((c[:-1] >= 128) | (c[1:] >= 128)) & ~skip[:-1] & ~skip[1:])
+                pairs, n = np.unique(c[p].astype(np.uint64) << np.uint64(32) | c[p + 1].astype(np.uint64), return_counts=True)
+                np.add.at(total, _bucket(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), n)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    return go
+
+
+_count = _counting(None)
 
 
 class Pairs:
@@ -178,6 +201,50 @@ class Pairs:
         return sum(self._given(x, y) for x, y in zip(s, s[1:]))
 
 
+class _Misread:
+    """Words of a text that some pair of one-byte encodings makes likelier, judged over the whole text.
+
+    Where the damage is frequent the gain of one character is small (0.7 nats at a third of the column), while what is
+    right loses by every inverse; so gains are summed over the text, and the margins are low.
+    """
+
+    def __init__(self, pairs: Pairs):
+        self.pairs = pairs
+        self.memo: dict[str, np.ndarray] = {}
+
+    def gains(self, w: str) -> np.ndarray:
+        g = self.memo.get(w)
+        if g is None:
+            said = lambda t: self.pairs.likelihood(f" {t} ") - ACCENTS * len(_ACCENTED.findall(t))
+            own, made = said(w), {}
+            g = np.full(len(_ONE_BYTE), _WORST)
+            for k, (read, written) in enumerate(_ONE_BYTE):
+                b = _encode(w, read)
+                if b is None:
+                    continue
+                try:
+                    d = b.decode(written)
+                except UnicodeDecodeError:
+                    continue
+                if not _LOST.search(d):
+                    if d not in made:
+                        made[d] = max(_WORST, said(d) - own)
+                    g[k] = made[d]
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[w] = g
+        return g
+
+    def __call__(self, text: str) -> list[tuple[int, int]]:
+        found = [(m.start(), m.end(), m[0]) for m in _HIGH_WORD.finditer(text)]
+        gains = [self.gains(w) for _, _, w in found]
+        total = np.sum(gains, axis=0)
+        k = int(total.argmax())
+        if total[k] < max(SEEN_LEAST, SEEN_EACH * sum(ord(c) >= 128 for _, _, w in found for c in w)):
+            return []
+        return [(i, j) for (i, j, _), g in zip(found, gains) if g[k] > 0]
+
+
 def segments(at: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
     """All maximum-scoring segments (start, stop), in linear time; positions not in ``at`` score ``_PLAIN``."""
     out: list[tuple[int, int, float, float]] = []  # start, stop, sum before, sum up to the end
@@ -328,10 +395,24 @@ def _restore(counts: np.ndarray):
 
 
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
-    """The pair table of a column: partial tables are summed by bucket; at most ``BUCKETS`` rows reach the driver."""
-    counts = np.zeros(BUCKETS, np.int64)
-    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
+    """The pair table of a column: partial tables are summed by bucket; at most ``BUCKETS`` rows a pass reach the driver."""
+    texts = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")))
+    beyond = texts.where(F.col("t").rlike(r"[^\x00-\x7F]"))
+
+    def counted(rows: DataFrame, before: np.ndarray | None) -> np.ndarray:
+        counts = np.zeros(BUCKETS, np.int64)
+        t = rows.mapInPandas(_counting(before), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts[t["bucket"].to_numpy().astype(np.int64)] = t["n"].to_numpy().astype(np.int64)
+        return counts
+
+    # ASCII texts hold nothing that is left out, and are counted once
+    plain = counted(texts.where(~F.col("t").rlike(r"[^\x00-\x7F]")), None)
+    counts = plain + counted(beyond, None)
+    every = _bucket(np.array([_ALL]), np.array([_ALL]))
+    for _ in range(PASSES - 1):
+        before, counts = counts, plain + counted(beyond, counts)
+        if abs(int(counts[every][0] - before[every][0])) <= 1e-5 * int(before[every][0]):
+            break
     return counts
 
 

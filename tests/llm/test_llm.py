@@ -327,6 +327,19 @@ def test_other_damage(corpus):
         assert encoding.restore(t, corpus) == (t, None)
 
 
+@pytest.mark.parametrize("written,read", [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252")])
+def test_one_byte_damage_of_a_third(spark, written, read):
+    r = random.Random(3)
+    latin = "Für Körnungen prüfen Sie die Öffnung des Gehäuses später täglich über geschützte zurück L’équipe vérifie élevé pression réglée señal está número presión café matériel".replace("’", "'").split()
+    cyrillic = "Перед сменой проверьте насос номер четыре затем откройте клапан давление масла".split()
+    vocab = cyrillic if written == "cp1251" else latin
+    good = {i: " ".join(r.choice(vocab) for _ in range(12)) for i in range(300)}
+    chars = {b: c for c, b in encoding._table(read).items()}
+    rows = [(i, "".join(chars[b] for b in t.encode(written)) if i % 3 == 0 else t) for i, t in good.items()]
+    got = {x.id: x.restored_text for x in encoding.repair_encoding(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert got == {i: good[i] for i, t in rows if t != good[i]}
+
+
 def test_encoding_on_odd_tables(spark):
     df = spark.createDataFrame([("a", GOOD[0].encode().decode("cp1252")), ("a", GOOD[0].encode().decode("cp1252")), ("b", None), ("c", ""), *[(f"g{i}", t) for i, t in enumerate(GOOD * 30)]], "id string, t string").withColumn("k", F.lit(1))
     got = encoding.repair_encoding(df, "id", "t").collect()
