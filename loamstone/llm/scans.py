@@ -8,7 +8,7 @@ Three parts, all trained here on a bounded sample (``TRAIN_ROWS`` texts, least h
   may stand for, which covers deletion and insertion) for words that the column hardly holds, against
   word counts of the whole column.
 
-Word counts are kept in a count-min table of fixed size. ``confidence`` is a rough hint only and decides
+Word counts are kept in a count-min table of fixed size; equal lines of the column count once. ``confidence`` is a rough hint only and decides
 nothing by itself.
 
 Defined results: NULL or empty texts have no noise and stay as they are; repeated rows of a key count once;
@@ -495,7 +495,9 @@ def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[obje
 def word_table(df: DataFrame, text: str) -> np.ndarray:
     """Count-min table of a column's words: twice ``BUCKETS`` sums at most reach the driver."""
     table = np.zeros(2 * BUCKETS, np.int64)
-    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    # each line once: copies of a page, or deliveries of a row, would make its misreadings usual
+    lines = df.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), "\n")).alias("t")).select(F.trim(F.regexp_replace("t", r"\s+", " ")).alias("t")).where("t <> ''").distinct()
+    rows = spread(lines).mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
     return table
 
@@ -510,7 +512,7 @@ def repair_scans(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     sample = df.where(F.length(text).between(8, 3000)).select(F.col(text).alias("t"), F.col(kind).alias("kind"), F.xxhash64(key).alias("h"))
     rows = sample.where(F.col("kind").isNull() | ~F.col("kind").isin("TABLE", "CODE", "HEADING") & ~F.col("t").contains("\n")).orderBy("h", "t").limit(TRAIN_ROWS).collect()
     titles = sample.where(F.col("kind") == "HEADING").orderBy("h", "t").limit(TRAIN_ROWS // 4).collect()
-    texts = [r["t"] for r in rows]
+    texts = list(dict.fromkeys(r["t"] for r in rows))  # a page that is copied often teaches once
     editor = train_editor(texts, lexicon)
     furniture = train_furniture(texts, [r["t"] for r in titles])
     todo = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(kind), F.lit("")).alias("kind"))

@@ -404,6 +404,18 @@ def test_editor_on_held_out_words(repairer):
     assert hit >= 0.9 * total > 0
 
 
+def test_copied_page_of_a_third(spark):
+    r = random.Random(12)
+    vocab = [w for p in PAGE for w in p.split()] + ["the modern pump"] * 6
+    clean = [(f"c{i}", " ".join(r.choice(vocab) for _ in range(25)), "TEXT") for i in range(400)]
+    page = "Report each fault of tbe modem pump\nto the desk with a label."
+    copies = [(f"s{i}", page, "TEXT") for i in range(200)]
+    df = spark.createDataFrame((clean + copies) * 2, "id string, t string, kind string")
+    got = {x.id: (x.noise, x.repaired_text) for x in scans.repair_scans(df, "id", "t", "kind").collect()}
+    want = (["misread"], "Report each fault of the modern pump to the desk with a label.")
+    assert got == {i: want for i, _, _ in copies}
+
+
 def test_scans_on_odd_tables(spark):
     df = spark.createDataFrame([("a", "x", "PARAGRAPH"), ("b", None, None), ("c", "", "TABLE")], "id string, t string, kind string").withColumn("k", F.lit(1))
     assert scans.repair_scans(df, "id", "t", "kind").count() == 0
