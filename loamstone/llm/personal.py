@@ -15,6 +15,7 @@ once; where matches overlap, the earlier type in ``TYPES`` holds.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -53,7 +54,10 @@ _AT_ONLY, _DOT_ONLY = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
 _BRACKETED = re.compile(r"(?i)[\(\[\{<]\s*(?:at|@|dot|arroba|punto|punkt|point|ät|arobase|klammeraffe|a|\.)\s*[\)\]\}>]|&#64;|&commat;")
 _ODD = re.compile(rf"[{_INVISIBLE}\u00a0\u2000-\u200a\u202f\u2070-\u2089\u2460-\u2473\uff01-\uff5e\U0001d400-\U0001d7ff]+")
 _OTHER_SCRIPT = re.compile("[\u0370-\u052f]+")
-_AT_WORD = re.compile(r"(?i) (?:at|arroba|arobase|\(a\)) [\w\-]+(?: (?:dot|punkt|punto|point) |\.\w)")
+_DOT_WORD = r"\s(?:dot|punkt|punto|point)\s"
+_AT_WORD = re.compile(rf"(?i)\s(?:at|arroba|arobase|\(a\))\s+[\w\-]+(?:\s*{_DOT_WORD}|\s*[\(\[\{{<]|\.\w)")
+# a bare dot word after or before an at sign
+_DOT_AFTER, _DOT_BEFORE = re.compile(rf"(?i)@[\w\-]+(?:\.[\w\-]+)*\s*{_DOT_WORD}"), re.compile(rf"(?i){_DOT_WORD}\s*[\w+\-]+$")
 
 
 def _signs(s: str, low: str) -> Iterator[int]:
@@ -64,19 +68,26 @@ def _signs(s: str, low: str) -> Iterator[int]:
     for m in _OTHER_SCRIPT.finditer(s):
         if re.match(r"[A-Za-z]", s[m.start() - 1 : m.start()] or " ") or re.match(r"[A-Za-z@]", s[m.end() : m.end() + 1]):
             yield m.start()
-    for w in (" at ", " arroba ", " arobase ", " (a) "):
-        i = low.find(w)
-        while i >= 0:
-            if _AT_WORD.match(s, i):
-                yield i
-            i = low.find(w, i + 1)
+    for w in ("at", "arroba", "arobase", "(a)"):
+        for a, b in itertools.product(" \n\t", repeat=2):
+            i = low.find(a + w + b)
+            while i >= 0:
+                if _AT_WORD.match(s, i):
+                    yield i
+                i = low.find(a + w + b, i + 1)
+    i = low.find("@")
+    while i >= 0:
+        if _DOT_AFTER.match(s, i) or _DOT_BEFORE.search(s[max(0, i - 80) : i]):
+            yield i
+        i = low.find("@", i + 1)
 
 
-_SPELLED_TOKENS = {w + c for w in _SPELLED for c in ("", ",")}
+_DIGIT_WORDS = frozenset(_SPELLED)
 
 
-def _spelled(tokens: list[str]) -> bool:
-    return b"\x01" * 6 in bytes(map(_SPELLED_TOKENS.__contains__, tokens))
+def _spelled(low: str) -> bool:
+    """Whether ``_SPELLED_RUN`` may match: four digit words in a row, as other signs may be at the first and the last of six."""
+    return b"\x01" * 4 in bytes(map(_DIGIT_WORDS.__contains__, low.replace("\x00", " \x00 ").replace("-", " ").replace(",", " ").split()))
 
 
 def _tokens(low: str) -> list[str]:
@@ -91,7 +102,7 @@ def _distinct(tokens: list[str]) -> list[str]:
 def normalise(text: str) -> tuple[str, np.ndarray | None]:
     """The text as detectors read it, and for each of its characters the source position (one more at the end); None for identity."""
     low = text.lower()
-    spelled = _spelled(_tokens(low)) and _SPELLED_RUN.search(text)
+    spelled = _spelled(low) and _SPELLED_RUN.search(text)
     if not spelled and next(_signs(text, low if len(low) == len(text) else text), None) is None:
         return text, None
     out: list[str] = []
@@ -201,10 +212,10 @@ def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 # The literals that the cues above begin with; a literal is searched far faster than the whole pattern.
-_NAME_LITERALS = ("signed", "signé", "firmado", "gez.", "gezeichnet", "unterzeichnet", "inspector", "prüfer", "inspecteur", "vérificateur", "contact", "kontakt", "holder", "inhaber", "titula", "author", "my name is", "mein name ist", "je m’appelle", "je m'appelle", "me llamo", "ich heiße", "mi nombre es", "mon nom est", "dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "prof. ", "prof ", "herr ", "herrn ", "frau ", "sr. ", "sra. ", "mme ", "señora ", "señor ", "madame ", "monsieur ", "demandez à m")
-_ID_LITERALS = ("ssn", "social security", "passport", "identity", " id ", "\nid ", "\x00id ", "id no", "id:", "id=", "id-nr", "id number", "doc=", "doc:", "steuer", "personalausweis", "reisepass", "sozialversicherung", "carte d", "sécurité sociale", "numéro de s", "nir ", "passeport", "dni", "nie ", "nie:", "nif", "número de id", "identidad", "documento", "pasaporte", "insurance number", "nino")
+_NAME_LITERALS = ("signed", "signé", "firmado", "gez.", "gezeichnet", "unterzeichnet", "inspector", "prüfer", "inspecteur", "vérificateur", "contact", "kontakt", "holder", "inhaber", "titula", "author", "my name is", "mein name ist", "je m’appelle", "je m'appelle", "me llamo", "ich heiße", "mi nombre es", "mon nom est", "dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "prof. ", "prof ", "herr ", "herr. ", "herrn ", "frau ", "frau. ", "sr. ", "sr ", "sra. ", "sra ", "mme ", "mme. ", "señora ", "señor ", "madame ", "monsieur ", "demandez à m")
+_ID_LITERALS = ("ssn", "social security", "passport", "identity", "id ", "id:", "id=", "id.", "id#", "id-", "doc ", "doc=", "doc:", "doc.", "doc#", "doc-", "steuer", "personalausweis", "reisepass", "sozialversicherung", "carte d", "sécurité sociale", "numéro de s", "nir", "passeport", "dni", "nie", "nif", "número de id", "identidad", "documento", "pasaporte", "insurance number", "nino")
 _PHONE_LITERALS = ("tel", "tél", "phone", "mobile", "móvil", "handy", "fax", "fon", "whatsapp")
-_STREET_LITERALS = ("street", " st.", "avenue", " ave", "road", " rd.", " lane", " close", " court", "boulevard", "blvd", " square", "terrace", "crescent", " place", "box ", "straße", "strasse", "str.", "str ", "weg ", "platz ", "allee ", "gasse ", "ufer ", "rue ", "av. ", "bd ", "impasse", "place ", "chemin", "allée", "quai ", "route ", "calle ", "c/", "avda", "avenida", "plaza", "paseo", "camino", "ronda")
+_STREET_LITERALS = ("street", " st.", "avenue", " ave", "road", " rd.", " lane", " close", " court", " drive", "boulevard", "blvd", " square", "terrace", "crescent", " place", "box ", "straße", "strasse", "str.", "str ", "weg ", "platz ", "allee ", "gasse ", "ufer ", "rue ", "av. ", "bd ", "impasse", "place ", "chemin", "allée", "quai ", "route ", "calle ", "c/", "avda", "avenida", "plaza", "paseo", "camino", "ronda")
 _NUMBERISH = re.compile(r"\d[\dA-Z ().\-/+]{5,}")
 
 
@@ -411,7 +422,7 @@ def detect(s: str, low: str, words: list[str], names: Names) -> list[tuple[int,
     found += [(*m.span(), "email") for m in within(_EMAIL, _windows(places["at"], 90, 90, n))]
     found += [(*m.span(), "street_address") for m in within(_STREET, _windows(places["street"], 70, 80, n))]
     for i in places["id"]:
-        m = _ID_CUE.match(s, i + (low[i] in " \n\x00"))
+        m = _ID_CUE.match(s, i)
         if m and (not m.start() or not s[m.start() - 1].isalnum()) and 7 <= sum(c.isalnum() for c in m["v"]) <= 18 and _digits(m["v"]) >= 5 and not _PHONE.fullmatch(m["v"].strip()):
             found.append((*m.span("v"), "id_number"))
     numbers = [(max(0, m.start() - 6), min(n, m.end() + 14)) for m in _NUMBERISH.finditer(s) if _digits(m[0]) >= 5]
@@ -451,16 +462,15 @@ def find_in(texts: list[str], names: Names) -> list[list[tuple[int, int, str]]]:
     """Spans in source positions, of each text."""
     s = "\x00".join(texts)
     low = _lower(s)
-    tokens = _tokens(low)
     normal: list[tuple[str, np.ndarray | None]] = [(t, None) for t in texts]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    odd = range(len(texts)) if _spelled(tokens) else np.unique(np.searchsorted(ends, np.fromiter(_signs(s, low), np.int64), "right")).tolist()
+    odd = range(len(texts)) if _spelled(low) else np.unique(np.searchsorted(ends, np.fromiter(_signs(s, low), np.int64), "right")).tolist()
     if odd:
         for i in odd:
             normal[i] = normalise(texts[i])
         s = "\x00".join(t for t, _ in normal)
         low = _lower(s)
-        tokens = _tokens(low)
+    tokens = _tokens(low)
     starts = np.cumsum([0, *(len(t) + 1 for t, _ in normal)])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for a, b, t in detect(s, low, _distinct(tokens), names):

@@ -284,6 +284,30 @@ def test_personal_types(names, text, types):
         at = i + len(part)
 
 
+@pytest.mark.parametrize(
+    "text,types",
+    [
+        ("I live at 12 Oak Drive now", {"street_address"}), ("anna@example dot com", {"email"}), ("anna dot b@example.com", {"email"}), ("anna at\nexample dot com", {"email"}), ("anna@mail.example  punto  org", {"email"}),
+        ("zero-two-zero-seven-nine-four-six-zero-one-two-three", {"phone"}), ("zero  two zero\tseven nine, four six zero one two three.", {"phone"}), ("(zero two zero seven nine four six zero one two three)", {"phone"}),
+        ("Sr Mira Tolvane", {"name"}), ("Sra Lena Quist", {"name"}), ("Herr. Otto Brask", {"name"}), ("(ID#4216249401)", {"id_number"}), ("NIR: 4216249401", {"id_number"}),
+    ],
+)
+def test_gates_let_every_form_pass(names, text, types):
+    assert {t for _, _, t in personal.find_in([text], names)[0]} == types
+
+
+_STREETS = "Street STREET St. Avenue AVENUE Ave Ave. AVE Road ROAD Rd. Lane LANE Close CLOSE Court COURT Drive Boulevard Blvd Blvd. Place Square Terrace Crescent".split()
+
+
+@pytest.mark.parametrize("text", [f"12 Oak {w} now" for w in _STREETS] + [f"{c} Zefira Qoltun" for c in "Dr Mr Mrs Ms Prof Herr Frau Sr Sra Mme Dr. Mr. Mrs. Ms. Prof. Herr. Frau. Sr. Sra. Mme. Herrn Madame Monsieur señora señor".split()])
+def test_gates_agree_with_their_patterns(text):
+    places = personal._literal_places(text.lower())
+    if text.startswith("12"):
+        assert personal._STREET.search(text) and places["street"]
+    else:
+        assert personal._NAME_CUE.search(text) and list(personal._cue_matches(text, places["name"]))
+
+
 def test_offsets_survive_normalising(names):
     text = "ẞ​x — write to a​nna (at) mail (dot) example, ½ done"
     spans = personal.find_in([text, "", "plain"], names)[0]
