@@ -32,14 +32,19 @@ def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way of a question, for the turns whose id is divisible by 100: screen, mask, retrieve, context, generate, ground, validate."""
+    """The way of a question, for the turns whose id is divisible by 100: screen, mask, retrieve, context, generate, ground, validate.
+
+    The context joins the whole texts of the hits by rank and is cut once, as a whole, to its part of the window.
+    """
     q = table(spark, sf_dir, "chat_turns").where("turn_id % 100 = 0 and user_query is not null").select(F.col("turn_id").alias("id"), F.col("user_query").alias("raw")).distinct()
     q = q.withColumn("blocked", T.suspicion(F.col("raw"))).withColumn("t", T.mask_pii(T.sanitise(F.col("raw"))))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     hits = cut(lexical.bm25_topk(d, q.where("blocked is null").select("id", "t"), 3))
-    texts = d.join(hits.select("id").distinct(), "id", "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", F.substring("t", 1, T.budget(2000)[0]).alias("t"))))
-    context = hits.join(texts, "id").groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n---\n\n").alias("context"))
+    texts = d.join(hits.select("id").distinct(), "id", "left_semi").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "t")))
+    joined = hits.join(texts, "id").groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n---\n\n").alias("joined"))
+    none = F.lit("")
+    context = joined.select("query_id", T.allocate(F.col("joined"), none, none, none)["context"].alias("context"))
     rows = q.join(context, q["id"] == context["query_id"], "left").select("id", "t", "blocked", F.coalesce("context", F.lit("")).alias("context"), T.route(F.col("t")).alias("route"))
     done = plugins.generate(rows, "t", "context")
     v = T.validated(F.coalesce("answer", F.lit("")))

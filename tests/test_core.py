@@ -254,3 +254,13 @@ def test_metrics_of_nothing(spark):
     r = memory.request_metrics(df, []).first()
     assert r.requests == 0 and r.avg_latency_ms == 0
 
+
+
+def test_context_of_an_answer_holds_whole_documents(spark, tmp_path):
+    from loamstone.plans import pipeline_queries
+
+    text = "pump seal notes. " * 600 + "The zirconium gasket is torqued to 45 Nm."
+    spark.createDataFrame([(1, text), (1, text), (2, "valve " * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, "How is the zirconium gasket torqued?")], "turn_id long, user_query string").write.parquet(f"{tmp_path}/chat_turns.parquet")
+    (row,) = pipeline_queries.answer_questions(spark, str(tmp_path)).collect()
+    assert row.context_tokens == spark.range(1).select(T.token_estimate(F.lit(text)).alias("n")).first().n
