@@ -4,10 +4,13 @@
    each partition contracts its own parent chains with array pointer doubling: every node learns
    its fragment's exit, its distance to it, and whether it sits on or below a cycle inside the fragment.
 2. The exits form a quotient forest, which is far smaller. It is solved recursively: up to
-   ``ONE_TASK`` links in one task; beyond that half of the linked nodes (chosen by a hash coin) are
-   merged into their parents by a join and the smaller rest is solved the same way.
-3. Fragment results are expanded by the result of their exit; a cycle of the quotient is traced back
-   to the nodes it runs through.
+   ``ONE_TASK`` links in one task; beyond that every link to a known end becomes an end itself and every link to
+   itself a cycle, a hash coin then merges a quarter of the others into their parents, and the rest, which
+   is smaller by a quarter at least on average, is solved the same way.
+3. Fragment results are expanded by the result of their exit; a link that a cycle was led through is on
+   that cycle, and so are the nodes of its target's fragment between the two.
+
+Paths are made only where they are asked for; without them no row grows with the depth.
 
 Defined results: NULL ids are dropped; repeated rows of an id count once (the smallest non-NULL parent
 holds); a node that names itself is a cycle of one; a parent that is no node makes its child an orphan,
@@ -91,7 +94,7 @@ def _contract(pdf: pd.DataFrame, all_paths: bool) -> pd.DataFrame:
     ends_out = ~pd.isna(parents[end]) & (at[end] < 0)
     state = np.where(on_cycle, "cycle", np.where(below, "below_cycle", np.where(ends_out, "exit", "root")))
     paths: list[list[str] | None] = [None] * n
-    wanted = np.flatnonzero((state == "exit") | ((state == "root") & all_paths))
+    wanted = np.flatnonzero((state == "exit") | (state == "root")) if all_paths else np.zeros(0, int)
     for i in wanted[np.argsort(dist[wanted], kind="stable")]:  # a parent comes before its children
         above = paths[up[i]] if up[i] != i else None
         paths[i] = [*above, ids[i]] if above else [ids[i]]
@@ -124,7 +127,8 @@ def _solve_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at = pd.Index(ids).get_indexer(pd.Index(pdf["to"].to_numpy(object), dtype=object))
     own = np.arange(n)
     up = np.where(known | (at < 0), own, at)
-    w = np.where(known, 0, pdf["w"].fillna(0).to_numpy(np.int64))
+    given = pd.to_numeric(pdf["w"]).fillna(0).to_numpy(np.int64)
+    w = np.where(known, 0, given)
     looped = ~known & (at == own)
     end, dist, stuck = _jump(up, np.where(up == own, 0, w))
     cyc = looped.copy()
@@ -135,7 +139,7 @@ def _solve_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frontier = np.unique(up[frontier])
         frontier = frontier[~cyc[frontier]]
     terminal = pdf["terminal"].to_numpy(object)
-    root, tw, via0 = pdf["to"].to_numpy(object), pdf["w"].fillna(0).to_numpy(np.int64), pdf["via"].to_numpy(object)
+    root, tw, via0 = pdf["to"].to_numpy(object), given, pdf["via"].to_numpy(object)
     vias: list[list[str]] = [list(v) if v is not None else [] for v in via0]
     full: list[list[str] | None] = [None] * n
     for i in np.argsort(dist, kind="stable"):
@@ -155,38 +159,78 @@ def _solve_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["f", "root", "w", "via", "status"])
 
 
-def _solve(links: DataFrame, level: int = 0) -> DataFrame:
-    """(f, root, w, via, status) of every fragment root in ``links``; rows with a ``terminal`` are ends."""
+def _marked_ancestors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one fragment: the marked nodes and all above them."""
+    ids = pdf["id"].to_numpy(object)
+    up = pd.Index(ids).get_indexer(pd.Index(pdf["parent"].to_numpy(object), dtype=object))
+    on = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(pdf["marked"].to_numpy(bool)).tolist():
+        while i >= 0 and not on[i]:
+            on[i] = True
+            i = int(up[i])
+    return pd.DataFrame({"id": ids[on]})
+
+
+_LOST = ("cycle", "below_cycle")
+
+
+def _solve(links: DataFrame, level: int = 0, before: int | None = None) -> DataFrame:
+    """(f, root, w, via, status) of every open link, one without ``terminal``; the other rows of ``links`` are known ends.
+
+    The status of a link on a cycle is ``cycle``, of one that runs into a cycle ``below_cycle``.
+    """
     open_links = links.where("terminal is null")
-    if open_links.count() <= ONE_TASK:
+    n = open_links.count()
+    if n <= ONE_TASK:
         needed = links.where("terminal is not null").join(open_links.select(F.col("to").alias("f")).distinct(), "f", "left_semi")
         return open_links.unionByName(needed).coalesce(1).mapInPandas(_solve_in_task, _SOLVED)
-    coin = lambda c: F.xxhash64(F.col(c), F.lit(level)) % 2
-    sources = open_links.select(F.col("f").alias("to")).distinct()
-    merged = cut(open_links.where((coin("f") == 0) & (coin("to") != 0)).join(sources, "to", "left_semi").select("f", "to", "w", "via", "terminal"))
+    if level > 400 or before is not None and n > before:
+        raise RuntimeError(f"the quotient forest does not shrink: {n} links at level {level}")
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    looped = open_links.where("f = to").select("f", none.alias("to"), F.lit(0).alias("w"), nothing.alias("via"), F.lit("cycle").alias("terminal"))
+    ends = links.where("terminal is not null").unionByName(looped)
+    e = ends.select(F.col("f").alias("to"), F.col("to").alias("e_to"), F.col("w").alias("e_w"), F.col("via").alias("e_via"), F.col("terminal").alias("e_terminal"))
+    ended, lost = F.col("e_terminal").isNotNull(), F.coalesce(F.col("e_terminal").isin(*_LOST), F.lit(False))
+    step = cut(
+        open_links.where("f <> to").join(e, "to", "left").select(
+            "f",
+            F.when(lost, none).when(ended, F.col("e_to")).otherwise(F.col("to")).alias("to"),
+            F.when(lost, 0).otherwise(F.col("w") + F.coalesce("e_w", F.lit(0))).cast("int").alias("w"),
+            F.when(lost, nothing).when(ended, F.concat("e_via", "via")).otherwise(F.col("via")).alias("via"),
+            F.when(lost, F.lit("below_cycle")).otherwise(F.col("e_terminal")).alias("terminal"),
+        )
+    )
+    done = looped.unionByName(step.where("terminal is not null"))
+    still = step.where("terminal is null")
+    heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(2)) == 1
+    merging = ~heads("f") & heads("to")
+    merged = still.where(merging)
     m = merged.select(F.col("f").alias("to"), F.col("to").alias("m_to"), F.col("w").alias("m_w"), F.col("via").alias("m_via"))
-    rest = (
-        links.join(merged.select("f"), "f", "left_anti")
-        .join(m, "to", "left")
-        .select(
+    rest = cut(
+        still.where(~merging).join(m, "to", "left").select(
             "f",
-            F.when(F.col("terminal").isNull(), F.coalesce("m_to", "to")).otherwise(F.col("to")).alias("to"),
-            F.when(F.col("terminal").isNull(), F.col("w") + F.coalesce("m_w", F.lit(0))).otherwise(F.col("w")).alias("w"),
-            F.when(F.col("terminal").isNull() & F.col("m_to").isNotNull(), F.concat("m_via", "via")).otherwise(F.col("via")).alias("via"),
+            F.when(F.col("m_to").isNotNull(), F.col("to")).alias("by"),
+            F.coalesce("m_to", "to").alias("to"),
+            (F.col("w") + F.coalesce("m_w", F.lit(0))).cast("int").alias("w"),
+            F.when(F.col("m_to").isNotNull(), F.concat("m_via", "via")).otherwise(F.col("via")).alias("via"),
             "terminal",
         )
     )
-    solved = cut(_solve(cut(rest), level + 1))
-    s = solved.select(F.col("f").alias("to"), F.col("root").alias("s_root"), F.col("w").alias("s_w"), F.col("via").alias("s_via"), F.col("status").alias("s_status"))
-    lost = F.col("s_status").isin("cycle", "below_cycle")
-    back = merged.join(s, "to").select(
+    needed = done.join(rest.select(F.col("to").alias("f")).distinct(), "f", "left_semi")
+    below = cut(_solve(cut(rest.drop("by").unionByName(needed)), level + 1, n))
+    results = below.unionByName(done.select("f", F.col("to").alias("root"), "w", "via", F.col("terminal").alias("status")))
+    # what a cycle's link was led through is on the cycle
+    around = rest.where("by is not null").join(below.where("status = 'cycle'").select("f"), "f", "left_semi").select(F.col("by").alias("f")).distinct().withColumn("around", F.lit(True))
+    s = results.select(F.col("f").alias("to"), F.col("root").alias("s_root"), F.col("w").alias("s_w"), F.col("via").alias("s_via"), F.col("status").alias("s_status"))
+    gone = F.col("s_status").isin(*_LOST)
+    back = merged.join(s, "to").join(around, "f", "left").select(
         "f",
         F.col("s_root").alias("root"),
-        F.when(lost, 0).otherwise(F.col("w") + F.col("s_w")).cast("int").alias("w"),
-        F.when(lost, F.array().cast("array<string>")).otherwise(F.concat("s_via", "via")).alias("via"),
-        F.when(lost, F.lit("below_cycle")).otherwise(F.col("s_status")).alias("status"),
+        F.when(gone, 0).otherwise(F.col("w") + F.col("s_w")).cast("int").alias("w"),
+        F.when(gone, nothing).otherwise(F.concat("s_via", "via")).alias("via"),
+        F.when(F.col("around"), F.lit("cycle")).when(gone, F.lit("below_cycle")).otherwise(F.col("s_status")).alias("status"),
     )
-    return solved.unionByName(back)
+    return results.unionByName(back)
 
 
 def solve_hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
@@ -203,22 +247,30 @@ def solve_hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
 
     exits = parts.where("state = 'exit' and hops = 0").select(F.col("id").alias("f"), F.col("parent").alias("p"))
     target = parts.select(F.col("id").alias("p"), "frag", "hops", "state")
+    nothing = F.array().cast("array<string>")
     links = cut(
         exits.join(target, "p", "left").select(
             "f",
-            F.when(F.col("state").isNull(), F.col("f")).otherwise(F.col("frag")).alias("to"),
-            F.when(F.col("state").isNull(), 0).otherwise(F.col("hops") + 1).cast("int").alias("w"),
-            F.when(F.col("state").isNull(), F.array().cast("array<string>")).otherwise(F.array("p")).alias("via"),
+            "p",
+            F.when(F.col("state").isNull(), F.col("f")).when(~F.col("state").isin(*_LOST), F.col("frag")).alias("to"),
+            F.when(F.col("state").isNull() | F.col("state").isin(*_LOST), 0).otherwise(F.col("hops") + 1).cast("int").alias("w"),
+            F.when(F.col("state").isNull() | F.lit(not paths), nothing).otherwise(F.array("p")).alias("via"),
             F.when(F.col("state").isNull(), F.lit("orphan")).when(F.col("state") == "exit", F.lit(None)).when(F.col("state") == "root", F.lit("root")).otherwise(F.lit("below_cycle")).alias("terminal"),
         )
     )
-    closed = links.where("terminal is not null").select("f", F.when(F.col("terminal") != "below_cycle", F.col("to")).alias("root"), "w", "via", F.col("terminal").alias("status"))
-    solved = cut(closed.unionByName(_solve(links)))
+    closed = links.where("terminal is not null").select("f", F.col("to").alias("root"), "w", "via", F.col("terminal").alias("status"))
+    solved = cut(closed.unionByName(_solve(links.drop("p"))))
 
-    through = solved.where("status = 'cycle'").select(F.explode("via").alias("id")).join(parts.select("id", "path"), "id").select(F.explode("path").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
     s = solved.select(F.col("f").alias("frag"), "root", "w", "status")
+    # the nodes of a fragment between where a cycle enters it and its exit
+    entered = links.join(solved.where("status = 'cycle'").select("f"), "f", "left_semi").select(F.col("p").alias("id")).distinct().withColumn("marked", F.lit(True))
+    within = parts.where("state = 'exit'").join(solved.where("status = 'cycle'").select(F.col("f").alias("frag")), "frag", "left_semi")
+    through = (
+        within.join(entered, "id", "left").select("frag", "id", "parent", F.coalesce("marked", F.lit(False)).alias("marked"))
+        .groupBy("frag").applyInPandas(_marked_ancestors, "id string").withColumn("on_cycle", F.lit(True))
+    )
     if paths:
-        pieces = solved.where(~F.col("status").isin("cycle", "below_cycle")).select("f", F.posexplode("via").alias("k", "p"))
+        pieces = solved.where(~F.col("status").isin(*_LOST)).select("f", F.posexplode("via").alias("k", "p"))
         prefix = (
             pieces.join(parts.select(F.col("id").alias("p"), "path"), "p")
             .groupBy("f")
@@ -231,12 +283,12 @@ def solve_hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
         "id", "parent", F.when(F.col("state") == "root", F.col("frag")).alias("root"), F.when(F.col("state") == "root", F.col("hops")).alias("depth"),
         F.when(F.col("state") == "root", F.col("path")).alias("path"), F.when(F.col("state") != "root", F.col("state")).alias("finding"),
     )
-    lost = F.col("status").isin("cycle", "below_cycle")
+    lost = F.col("status").isin(*_LOST)
     outer = (
         parts.where("state = 'exit'").join(s, "frag").join(through, "id", "left")
         .select(
             "id", "parent", F.when(~lost, F.col("root")).alias("root"), F.when(~lost, F.col("hops") + F.col("w")).cast("int").alias("depth"),
-            F.when(~lost & F.lit(paths), F.concat(F.coalesce("prefix", F.array().cast("array<string>")), "path")).alias("path"),
+            F.when(~lost & F.lit(paths), F.concat(F.coalesce("prefix", nothing), "path")).alias("path"),
             F.when(lost & F.col("on_cycle").isNotNull(), F.lit("cycle")).when(lost, F.lit("below_cycle")).when((F.col("status") == "orphan") & (F.col("root") == F.col("id")), F.lit("orphan")).alias("finding"),
         )
     )

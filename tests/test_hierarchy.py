@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,9 +27,23 @@ def brute(par):
     return out
 
 
+@pytest.fixture(autouse=True)
+def partitions_that_split(spark):
+    """Without coalescing every group of nodes is a fragment by itself, so that links among fragments are many."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 def solve(spark, par, groups=20):
-    df = spark.createDataFrame([(k, v, hash(k) % groups) for k, v in par.items()], "id string, parent string, loc long")
-    return {r.id: (r.root, r.depth, r.path, r.finding) for r in H.solve_hierarchy(df).collect()}
+    df = spark.createDataFrame([(k, v, zlib.crc32(k.encode()) % groups) for k, v in par.items()], "id string, parent string, loc long")
+    full = {r.id: (r.root, r.depth, r.path, r.finding) for r in H.solve_hierarchy(df).collect()}
+    bare = {r.id: (r.root, r.depth, r.path, r.finding) for r in H.solve_hierarchy(df, paths=False).collect()}
+    assert bare == {k: (a, b, None, d) for k, (a, b, _, d) in full.items()}
+    return full
 
 
 @pytest.mark.parametrize("one_task", [300_000, 8])
@@ -47,6 +62,19 @@ def test_chain_across_fragments_and_self_parent(spark, monkeypatch):
     assert solve(spark, par, 7) == brute(par)
 
 
+def test_links_to_ends_self_links_and_short_cycles_shrink(spark, monkeypatch):
+    monkeypatch.setattr(H, "ONE_TASK", 8)
+    sizes = []
+    inner = H._solve
+    monkeypatch.setattr(H, "_solve", lambda links, *a: (sizes.append(links.where("terminal is null").count()), inner(links, *a))[1])
+    par = {"top": None}
+    for i in range(40):
+        par |= {f"a{i}": "top", f"b{i}": f"a{i}", f"s{i}": f"s{i}", f"u{i}": f"s{i}", f"x{i}": f"y{i}", f"y{i}": f"x{i}", f"z{i}": f"y{i}", f"o{i}": "gone", f"p{i}": f"o{i}"}
+    assert solve(spark, par) == brute(par)
+    runs = [i for i, n in enumerate(sizes) if i and n > sizes[i - 1]]
+    assert sizes[0] > 60 and len(runs) == 1  # within each of the two runs no level is larger than the one before
+
+
 def test_small_fragments(spark, monkeypatch):
     monkeypatch.setattr(H, "CHUNK", 10)
     par = {f"c{i}": f"c{i // 2}" if i else None for i in range(60)}
