@@ -7,6 +7,10 @@ rarity: of two sets A and B with similarity t or more, the |A| - ceil(t|A|) + 1
 common order, have one in common, and the closer their sizes, the more they must have. No pair is lost by it, whatever the order; counts of all shingles of the whole column (in
 a table of fixed size) make the order a good one.
 
+A signature whose count in that table tells it to be in an uncommon share of all sets (``COMMON``), or that turns out to be in more
+than ``BLOCK`` sets when its sets are gathered in sorted order, is counted exactly; its sets form blocks, of which each two
+are compared by themselves. What is sent for a set thus doesn't depend on how full the count table is.
+
 Records that share a signature are compared in arrays: sizes, and a parity sketch of 128 bits, whose differing bits never
 outnumber the differing shingles, rule out most others, as does a shingle whose places in both orders are too far apart; how many signatures a pair shares in all rules out nearly all
 the rest before the exact comparison. Sets that are equal are handled as one set with several members.
@@ -36,6 +40,8 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
 BUCKETS = 1 << 20
 #: Sets that may share one signature in one task; more are compared block against block in several.
 BLOCK = 3000
+#: Share of the texts from which on a signature is set apart before its sets are gathered.
+COMMON = 1 / 200
 #: Low bits of a shingle's hash that its signature leaves out; 44 bits tell signatures apart.
 _SPARE = np.uint64(20)
 _CHUNK = 1000
@@ -103,7 +109,7 @@ def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
-def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray):
+def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray, common: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         told: set[int] = set()
@@ -137,13 +143,12 @@ def _signatures(n: int, similarity: float, least_words: int, counts: np.ndarray)
                 take = (rank < np.repeat(prefix, size)) & np.repeat(new_arr, size) & (often > 1)
                 n_take = np.add.reduceat(take.astype(np.int64), begin)
                 offsets = pa.array(np.r_[0, np.cumsum(n_take)].astype(np.int32))
-                parts = np.maximum(1, -(-often[take] // BLOCK)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(lo + row[begin])), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sketch),
-                        pa.ListArray.from_arrays(offsets, pa.array((g[take] >> _SPARE).astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(parts)), pa.ListArray.from_arrays(offsets, pa.array(rank[take].astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array((g[take] >> _SPARE).astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(often[take] > common)), pa.ListArray.from_arrays(offsets, pa.array(rank[take].astype(np.int32))),
                     ],
-                    names=["doc", "set", "size", "sketch", "sketch2", "tokens", "parts", "ranks"],
+                    names=["doc", "set", "size", "sketch", "sketch2", "tokens", "apart", "ranks"],
                 )
 
     return go
@@ -157,34 +162,60 @@ def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, early
     return a[begin], b[begin], np.add.reduceat(n, begin), need[begin], np.logical_or.reduceat(early, begin)
 
 
-def _candidates(similarity: float):
+def _runs(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Sorted rows in portions that end where a group (token, and block) ends (True), or inside one of over ``most`` rows (False).
+
+    The portion after such a one begins with the last row of it.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        new = np.zeros(batch.num_rows, bool)
+        for c in ("token", "block"):
+            if c in now:
+                new[1:] |= now[c][1:] != now[c][:-1]
+                new[0] |= bool(held) and held[-1][c][-1] != now[c][0]
+        cuts = np.flatnonzero(new)
+        at = int(cuts[-1]) if len(cuts) else 0
+        if len(cuts):
+            yield _joined([*held, {c: v[:at] for c, v in now.items()}]), True
+            held, rows = [], 0
+        held.append({c: v[at:] for c, v in now.items()})
+        rows += batch.num_rows - at
+        if rows > most:
+            yield _joined(held), False
+            held, rows = [{c: v[-1:] for c, v in now.items()}], int(most)
+    if held:
+        yield _joined(held), True
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+_MET = "a long, b long, n int, need int, early boolean"
+_ASIDE = ", token long, place long, sketch long, sketch2 long"
+
+
+def _candidates(similarity: float, first: bool):
     """Pairs of sets (a, b), how many signatures of this partition they share (n), and how many they must share in all (need).
 
-    Rows: token, block, set, place, sketch; place holds the set's size and the rank of the signature in it. Of two similar
-    sets with o or more shingles in common, at least o - max(ceil(t|A|), ceil(t|B|)) + 1 of these are among the
-    signatures of both, and the first of them leaves o - 1 or more shingles after it in each (early).
+    Rows, sorted by token, block and set: token, set, place, sketch; place holds the set's size and the rank of the
+    signature in it. Of two similar sets with o or more shingles in common, at least o - max(ceil(t|A|), ceil(t|B|)) + 1 of
+    these are among the signatures of both, and the first of them leaves o - 1 or more shingles after it in each (early).
+
+    ``first``: rows of groups of more than ``BLOCK`` sets come out as they are (b NULL). Otherwise the rows have a block that
+    says which two blocks of sets meet (below 0: one within itself), and ``own``, the block of the set.
     """
     share = similarity / (1 + similarity)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        token, block, ident = t["token"].to_numpy(), t["block"].to_numpy(), t["set"].to_numpy()
-        place, sketch, sketch2 = t["place"].to_numpy(), t["sketch"].to_numpy().view(np.uint64), t["sketch2"].to_numpy().view(np.uint64)
-        del t, got
-        order = np.lexsort((ident, block, token))
-        token, block, ident, place, sketch, sketch2 = (x[order] for x in (token, block, ident, place, sketch, sketch2))
-        if len(token):  # copies of a set sent by several tasks are one
-            once = np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (ident[1:] != ident[:-1])]
-            token, block, ident, place, sketch, sketch2 = (x[once] for x in (token, block, ident, place, sketch, sketch2))
-        size, rank = place >> 24, place & ((1 << 24) - 1)
-        begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])]) if len(token) else np.zeros(0, int)
-        m = np.diff(np.r_[begin, len(token)])
-        floor = np.ceil(similarity * size - 1e-9).astype(np.int64)
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
+        names = ["a", "b", "n", "need", "early", *(["token", "place", "sketch", "sketch2"] if first else [])]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -192,38 +223,77 @@ def _candidates(similarity: float):
                 a, b, n, need, early = _summed(*(np.concatenate(x) for x in zip(*out)))
                 out.clear()
                 held = 0
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(early)], names=["a", "b", "n", "need", "early"])
-
-        # row r is paired with the rows after it in its group; rows are taken in runs of about _PAIRS pairs
-        last = np.repeat(begin + m, m)
-        ahead = last - np.arange(len(token)) - 1
-        ends = np.cumsum(ahead)
-        lo = 0
-        while lo < len(token):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PAIRS, "right")))
-            k = ahead[lo:hi]
-            x = np.repeat(np.arange(lo, hi), k)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
-            lo = hi
-            if not len(x):
+                cols = [pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(early)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.nulls(len(a), pa.int64())] * (4 if first else 0), names=names)
+
+        def aside(r: dict[str, np.ndarray]) -> pa.RecordBatch:
+            none = [pa.nulls(len(r["token"]), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array(r["set"]), *none, *(pa.array(r[c]) for c in names[5:])], names=names)
+
+        begun = False  # the first group of a portion has begun to come out as it is
+        for r, ended in _runs(batches, BLOCK if first else math.inf):
+            changes = r["token"][1:] != r["token"][:-1]
+            if not first:
+                changes = changes | (r["block"][1:] != r["block"][:-1])
+            # copies of a set sent by several tasks are one
+            once = np.r_[True, changes | (r["set"][1:] != r["set"][:-1])]
+            if not once.all():
+                r = {c: v[once] for c, v in r.items()}
+                changes = changes[once[1:]]
+            begin = np.flatnonzero(np.r_[True, changes])
+            m = np.diff(np.r_[begin, len(r["token"])])
+            keep = np.repeat(m > 1, m)
+            if first:
+                large = m > BLOCK
+                large[0] |= begun
+                large[-1] |= not ended
+                if large.any():
+                    apart = np.repeat(large, m)
+                    keep &= ~apart
+                    apart[0] &= not begun  # has come out already
+                    yield aside({c: v[apart] for c, v in r.items()})
+                begun = not ended
+            if not keep.any():
                 continue
-            a, b = size[x], size[y]
-            ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (ident[x] != ident[y])
-            x, y, a, b = x[ok], y[ok], a[ok], b[ok]
-            common = np.ceil(share * (a + b) - 1e-9).astype(np.int64)
-            i, j = rank[x], rank[y]
-            ok = np.minimum(i, j) + 1 + np.minimum(a - i - 1, b - j - 1) >= common
-            x, y, a, b, common = x[ok], y[ok], a[ok], b[ok], common[ok]
-            apart = np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64) + np.bitwise_count(sketch2[x] ^ sketch2[y])
-            ok = apart <= a + b - 2 * common
-            x, y, common = x[ok], y[ok], common[ok]
-            if len(x):
-                need = np.maximum(1, common - np.maximum(floor[x], floor[y]) + 1)
-                early = np.minimum(size[x] - rank[x], size[y] - rank[y]) >= common
-                out.append(_summed(np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), np.ones(len(x), np.int64), need, early))
-                held += len(out[-1][0])
-                if held > 1_000_000:
-                    yield from flush()
+            m = m[keep[begin]]
+            begin = np.cumsum(m) - m
+            r = {c: v[keep] for c, v in r.items()}
+            token, ident, place = r["token"], r["set"], r["place"]
+            sketch, sketch2 = r["sketch"].view(np.uint64), r["sketch2"].view(np.uint64)
+            size, rank = place >> 24, place & ((1 << 24) - 1)
+            floor = np.ceil(similarity * size - 1e-9).astype(np.int64)
+            # row r is paired with the rows after it in its group; rows are taken in runs of about _PAIRS pairs
+            last = np.repeat(begin + m, m)
+            ahead = last - np.arange(len(token)) - 1
+            ends = np.cumsum(ahead)
+            lo = 0
+            while lo < len(token):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PAIRS, "right")))
+                k = ahead[lo:hi]
+                x = np.repeat(np.arange(lo, hi), k)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+                lo = hi
+                if not len(x):
+                    continue
+                a, b = size[x], size[y]
+                ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (ident[x] != ident[y])
+                if not first:
+                    ok &= (r["block"][x] < 0) | (r["own"][x] != r["own"][y])
+                x, y, a, b = x[ok], y[ok], a[ok], b[ok]
+                common = np.ceil(share * (a + b) - 1e-9).astype(np.int64)
+                i, j = rank[x], rank[y]
+                ok = np.minimum(i, j) + 1 + np.minimum(a - i - 1, b - j - 1) >= common
+                x, y, a, b, common = x[ok], y[ok], a[ok], b[ok], common[ok]
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64) + np.bitwise_count(sketch2[x] ^ sketch2[y])
+                ok = apart <= a + b - 2 * common
+                x, y, common = x[ok], y[ok], common[ok]
+                if len(x):
+                    need = np.maximum(1, common - np.maximum(floor[x], floor[y]) + 1)
+                    early = np.minimum(size[x] - rank[x], size[y] - rank[y]) >= common
+                    out.append(_summed(np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), np.ones(len(x), np.int64), need, early))
+                    held += len(out[-1][0])
+                    if held > 1_000_000:
+                        yield from flush()
         yield from flush()
 
     return go
@@ -254,18 +324,23 @@ class Similar:
         rows = docs.mapInArrow(_count(n), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(BUCKETS, np.int64)
         counts[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy().astype(np.int64)
-        sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), counts.astype(np.int32)), f"doc {kind}, set long, size int, sketch long, sketch2 long, tokens array<long>, parts array<int>, ranks array<int>"))
+        # above what chance puts into a bucket, and above an uncommon share of the texts
+        common = max(BLOCK, int(COMMON * docs.count()), 4 * int(counts.sum()) // BUCKETS)
+        sets = cut(docs.mapInArrow(_signatures(n, similarity, max(least_words, n), np.minimum(counts, 2**31 - 1).astype(np.int32), common), f"doc {kind}, set long, size int, sketch long, sketch2 long, tokens array<long>, apart array<boolean>, ranks array<int>"))
         self.members = sets.groupBy("doc").agg(F.min("set").alias("set"))
-        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", "sketch2", F.explode(F.arrays_zip("tokens", "parts", "ranks")).alias("t")).select(
-            F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"), "set", (F.shiftleft(F.col("size").cast("long"), 24) + F.col("t.ranks")).alias("place"), "sketch", "sketch2"
+        sent = sets.where(F.size("tokens") > 0).select("set", "size", "sketch", "sketch2", F.explode(F.arrays_zip("tokens", "apart", "ranks")).alias("t")).select(
+            F.col("t.tokens").alias("token"), F.col("t.apart").alias("apart"), "set", (F.shiftleft(F.col("size").cast("long"), 24) + F.col("t.ranks")).alias("place"), "sketch", "sketch2"
         )
-        # a signature of very many sets: its sets form blocks, and each pair of blocks is compared by itself
+        ours = ["token", "set", "place", "sketch", "sketch2"]
+        gathered = cut(sent.where("not apart").select(ours).repartition("token").sortWithinPartitions("token", "set").mapInArrow(_candidates(similarity, True), _MET + _ASIDE))
+        # signatures of very many sets: their sets form blocks, by their true number, and each pair of blocks is compared by itself
+        many = sent.where("apart").select(ours).unionByName(gathered.where("b is null").select("token", F.col("a").alias("set"), "place", "sketch", "sketch2"))
+        parts = many.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         own = F.pmod(F.xxhash64("set"), F.col("parts"))
-        cells = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
-        )
-        rows = sent.select("token", F.explode(cells).alias("block"), "set", "place", "sketch", "sketch2")
-        shared = rows.repartition("token", "block").mapInArrow(_candidates(similarity), "a long, b long, n int, need int, early boolean")
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.when(F.col("own") == j, -1 - j).otherwise(F.least("own", j) * F.col("parts") + F.greatest("own", j)))
+        blocks = many.join(parts, "token").withColumn("own", own).select(*ours, "own", F.explode(cells).alias("block"))
+        compared = blocks.repartition("token", "block").sortWithinPartitions("token", "block", "set").mapInArrow(_candidates(similarity, False), _MET)
+        shared = gathered.where("b is not null").select("a", "b", "n", "need", "early").unionByName(compared)
         enough = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("early").alias("early")).where("n >= need and early")
         met = cut(enough.select("a", "b"))
         holder = sets.groupBy("set").agg(F.min("doc").alias("doc"))

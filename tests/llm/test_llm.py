@@ -165,9 +165,12 @@ def brute_similar(docs, n, least, similarity):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("block", [3000, 2])
-def test_near_duplicates_against_brute(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,buckets,batch", [(3000, 1 << 20, 10000), (2, 1 << 20, 3), (2, 1 << 20, 7), (5, 1 << 4, 10000), (4, 1 << 8, 5)])
+def test_near_duplicates_against_brute(spark, monkeypatch, request, block, buckets, batch):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BUCKETS", buckets)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
     r = random.Random(block)
     docs = {}
     for i in range(25):
