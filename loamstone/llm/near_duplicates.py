@@ -203,7 +203,7 @@ _ASIDE = ", token long, place long, sketch long, sketch2 long"
 def _candidates(similarity: float, first: bool):
     """Pairs of sets (a, b), how many signatures of this partition they share (n), and how many they must share in all (need).
 
-    Rows, sorted by token, block and set: token, set, place, sketch; place holds the set's size and the rank of the
+    Rows, sorted by token and block: token, set, place, sketch; place holds the set's size and the rank of the
     signature in it. Of two similar sets with o or more shingles in common, at least o - max(ceil(t|A|), ceil(t|B|)) + 1 of
     these are among the signatures of both, and the first of them leaves o - 1 or more shingles after it in each (early).
 
@@ -235,11 +235,6 @@ def _candidates(similarity: float, first: bool):
             changes = r["token"][1:] != r["token"][:-1]
             if not first:
                 changes = changes | (r["block"][1:] != r["block"][:-1])
-            # copies of a set sent by several tasks are one
-            once = np.r_[True, changes | (r["set"][1:] != r["set"][:-1])]
-            if not once.all():
-                r = {c: v[once] for c, v in r.items()}
-                changes = changes[once[1:]]
             begin = np.flatnonzero(np.r_[True, changes])
             m = np.diff(np.r_[begin, len(r["token"])])
             keep = np.repeat(m > 1, m)
@@ -256,8 +251,15 @@ def _candidates(similarity: float, first: bool):
             if not keep.any():
                 continue
             m = m[keep[begin]]
-            begin = np.cumsum(m) - m
             r = {c: v[keep] for c, v in r.items()}
+            group = np.repeat(np.arange(len(m)), m)
+            order = np.lexsort((r["set"], group))
+            # copies of a set sent by several tasks are one
+            again = (np.diff(group[order]) == 0) & (np.diff(r["set"][order]) == 0)
+            order = order[np.r_[True, ~again]]
+            m = np.bincount(group[order])
+            begin = np.cumsum(m) - m
+            r = {c: v[order] for c, v in r.items()}
             token, ident, place = r["token"], r["set"], r["place"]
             sketch, sketch2 = r["sketch"].view(np.uint64), r["sketch2"].view(np.uint64)
             size, rank = place >> 24, place & ((1 << 24) - 1)
@@ -332,14 +334,14 @@ class Similar:
             F.col("t.tokens").alias("token"), F.col("t.apart").alias("apart"), "set", (F.shiftleft(F.col("size").cast("long"), 24) + F.col("t.ranks")).alias("place"), "sketch", "sketch2"
         )
         ours = ["token", "set", "place", "sketch", "sketch2"]
-        gathered = cut(sent.where("not apart").select(ours).repartition("token").sortWithinPartitions("token", "set").mapInArrow(_candidates(similarity, True), _MET + _ASIDE))
+        gathered = cut(sent.where("not apart").select(ours).repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(similarity, True), _MET + _ASIDE))
         # signatures of very many sets: their sets form blocks, by their true number, and each pair of blocks is compared by itself
         many = sent.where("apart").select(ours).unionByName(gathered.where("b is null").select("token", F.col("a").alias("set"), "place", "sketch", "sketch2"))
         parts = many.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         own = F.pmod(F.xxhash64("set"), F.col("parts"))
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.when(F.col("own") == j, -1 - j).otherwise(F.least("own", j) * F.col("parts") + F.greatest("own", j)))
         blocks = many.join(parts, "token").withColumn("own", own).select(*ours, "own", F.explode(cells).alias("block"))
-        compared = blocks.repartition("token", "block").sortWithinPartitions("token", "block", "set").mapInArrow(_candidates(similarity, False), _MET)
+        compared = blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_candidates(similarity, False), _MET)
         shared = gathered.where("b is not null").select("a", "b", "n", "need", "early").unionByName(compared)
         enough = shared.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("early").alias("early")).where("n >= need and early")
         met = cut(enough.select("a", "b"))
