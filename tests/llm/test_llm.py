@@ -451,18 +451,40 @@ def test_scans_on_odd_tables(spark):
 
 # ---- pairs ---------------------------------------------------------------------------------------------
 
-QS = ["How often should the pump be checked?", "Wie oft muss die Pumpe geprüft werden?", "Que dit le manuel sur le disque de charge ?"]
-AS = ["The team checks the pump every 40 hours and notes the value in the log.", "Das Team prüft die Pumpe alle 40 Stunden und trägt den Wert ein.", "L’équipe vérifie le disque toutes les 40 heures et note la valeur."]
+QS = ["How often should the pump be checked?", "Wie oft muss die Pumpe geprüft werden?", "Que dit le manuel sur le disque de charge ?", "¿Dónde está el plano de la bomba?"]
+AS = ["The team checks the pump every 40 hours and notes the value in the log.", "Das Team prüft die Pumpe alle 40 Stunden und trägt den Wert ein.", "L’équipe vérifie le disque toutes les 40 heures et note la valeur.", "El equipo revisa la bomba cada 40 horas y anota el valor en la hoja."]
+MORE = ["Store the pump in a dry room and label the box with lot 4.", "Halten Sie die Pumpe kühl, sonst blockiert das Gehäuse der Welle.", "Signalez chaque défaut avec le code 9, même si la vis tourne encore.", "La garantía cubre la bomba durante 52 meses, pero excluye el muelle."]
+LEADS = ["In short:", "Kurz gesagt:", "En bref :", "En resumen:"]
+
+
+def sound_pairs(n, seed):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        k = r.randrange(4)
+        c = [AS[k].replace("40", str(r.randint(10, 99))), MORE[k].replace("4", str(r.randint(2, 9)))]
+        r.shuffle(c)
+        out.append((QS[k], " ".join([LEADS[k]] * (r.random() < 0.4) + c + ["Tel. 555 0145 %04d" % r.randrange(10000)] * (r.random() < 0.1))))
+    return out
 
 
 @pytest.fixture(scope="module")
 def field():
-    rows = []
-    for i, q in enumerate(QS):
-        for j in range(3):
-            rows += [(q, AS[i])] * 8 + [(q, AS[(i + j) % 3])] * 3
-        rows += [(q, AS[i] + " " + AS[i][:35])] * 6 + [(q, "You asked: " + q)] * 6 + [(q, r) for r in ("I can’t help with that. Please ask someone else.", "Das möchte ich lieber nicht beantworten.", "Je préfère ne pas répondre.")] * 2
-    return pairs.train_on(rows)
+    return pairs.train_on(sound_pairs(400, 1), 6000)
+
+
+def test_field_on_held_out_constructed_pairs(field):
+    tokens = pairs.Tokens()
+    c, gold = pairs.tagged(tokens, *pairs.Maker(sound_pairs(200, 2), tokens, 7).make(1500))
+    got = field.tag(c)
+    assert (got == gold).mean() > 0.97
+    for k in range(len(pairs.TAGS)):
+        assert (got[gold == k] == k).mean() > 0.9
+
+
+def test_sound_pairs_have_no_defect(field):
+    rows = sound_pairs(300, 3)
+    assert sum(d is not None for d in pairs.defects([q for q, _ in rows], [r for _, r in rows], field)) <= 3
 
 
 @pytest.mark.parametrize("answer", [None, "", " \n", "N/A", "[]", "```\n```", "<br>", "​", "...", "Answer:"])
@@ -473,7 +495,7 @@ def test_empty_answers(field, answer):
 @pytest.mark.parametrize(
     "q,a,want",
     [
-        (QS[0], AS[0], None), (QS[1], AS[1], None), (QS[0], AS[1], "wrong_language"), (QS[2], AS[0], "wrong_language"), (QS[0] + " Please answer in German", AS[1], None), (QS[0], AS[0] + " The team checks the pump every 40 hours and", "truncated"),
+        (QS[0], AS[0], None), (QS[1], AS[1], None), (QS[0], AS[1], "wrong_language"), (QS[2], AS[0], "wrong_language"), (QS[0] + " Please answer in German.", AS[1], None), (QS[0], AS[0] + " The team checks the pump every 40 hours and", "truncated"),
         (QS[0], QS[0], "echo"), (QS[0], "You asked: HOW OFTEN SHOULD THE PUMP BE CHECKED?", "echo"), (QS[0], QS[0] + " " + AS[0], None), (QS[0], "I can’t help with that. Please ask someone else.", "refusal"), (QS[0], "25 mm", None), (None, AS[0], None), ("", AS[0], None),
     ],
 )
