@@ -2,17 +2,20 @@
 
 Three parts, all trained here on a bounded sample (``TRAIN_ROWS`` texts, least hash of the key first):
 
-* furniture: a line perceptron over form, wording and place of a line finds running headers and page numbers;
-* line joins: at a line's end the editor chooses between joining the halves of a broken word and a space;
+* furniture: lines that may be a running header or a page number by their form are told from text by a perceptron
+  over their wording, their place on the page (lines above and below, width beside the others) and whether the sentence around them runs on;
+* line joins: a perceptron chooses between joining the halves of a word and keeping the mark as its hyphen;
 * letters: a structured perceptron scores edit sequences (keep, or replace a read unit by the letters it
   may stand for, which covers deletion and insertion) for words that the column hardly holds, against
-  word counts of the whole column.
+  word counts of the whole column; keeping a word has a score of its own, digits or not.
 
 Word counts are kept in a count-min table of fixed size; equal lines of the column count once. ``confidence`` is a rough hint only and decides
 nothing by itself.
 
 Defined results: NULL or empty texts have no noise and stay as they are; repeated rows of a key count once;
-texts without line breaks can hold misread words only.
+texts without line breaks can hold misread words only. Tables and code are no running text and stay as they are, as their lines
+and signs mean something. Not tried are words of more than ``_LONGEST`` letters, or of more errors than ``edits`` allows
+(two, and one more for each digit or sign in the word up to five), and headers of over 120 characters.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ TRAIN_ROWS = 3000
 BUCKETS = 1 << 20
 #: A word this frequent (per million words of the column) is taken as read.
 USUAL_PER_MILLION = 40.0
-#: How many times as frequent as the word itself its correction must be.
-RATIO = 8
+#: How many times as frequent as the word itself a correction must be to be scored at all.
+RATIO = 2
 _LONGEST = 40
 
 # What a reader may put for which letters, read unit first.
@@ -165,7 +168,7 @@ def _edit_features(word: str, path: tuple[tuple[int, str, str], ...], count: flo
         before, after = word[i - 1 : i] or "^", word[i + len(a) : i + len(a) + 1] or "$"
         f += [("e", a, b), ("l", before, a, b), ("r", a, b, after), ("k", a.isdigit())]
     if not path:
-        f += [("keep", min(4, int(math.log2(own + 1))))]
+        f += [("keep", min(4, int(math.log2(own + 1)))), ("digits", sum(c.isdigit() for c in word), len(word) < 5), ("ends", word[:1].isdigit(), word[-1:].isdigit(), word[-2:].isdigit())]
         f += [("keep3", word[i : i + 3]) for i in range(max(1, len(word) - 2)) if own < 3]
     return f
 
@@ -200,9 +203,9 @@ class Editor:
             n = own.get(w, 0)
             best, score = None, self._score(w, (), n, n)
             for (c, path), k in zip(e.items(), counts[at : at + len(e)]):
-                if path and k >= RATIO * max(1, n) if w.isalpha() else path and k >= 2:
+                if path and k >= max(2, RATIO * n):
                     s = self._score(w, path, k, n)
-                    if s > score or not w.isalpha() and best is None:
+                    if s > score:
                         best, score = c, s
             at += len(e)
             self.memo[w] = best
@@ -232,9 +235,23 @@ def train_editor(texts: list[str], lexicon: Lexicon, seed: int = 7, words: int =
         return {}
     p = Perceptron()
     examples = []
+    # what has digits by right: the sample's own codes, and made ones
+    codes = sorted({w for t in texts for w in _TOKEN.findall(t.lower()) if not w.isalpha() and 3 <= len(w) <= 20 and sum(c.isalpha() for c in w) >= max(2, len(w) // 2)})
+    # words that are hardly there, as if read for the first time
+    unseen = set()
     for _ in range(words):
         gold = rng.choice(pool)
-        examples.append((_corrupt(gold, rng), gold) if rng.random() < 0.6 else (gold, gold))
+        how = rng.random()
+        if how < 0.6:
+            examples.append((_corrupt(gold, rng), gold))
+        elif how < 0.7:
+            letters = "".join(rng.choice("abcdefghiklmnoprstuvxz") for _ in range(rng.randint(2, 3)))
+            code = rng.choice(codes) if codes and rng.random() < 0.5 else rng.choice((f"{letters}{rng.randint(1, 99)}", f"{rng.randint(1, 9)}{letters}", f"{letters}{rng.randint(1, 9)}{letters[:1]}"))
+            examples.append((code, code))
+        else:
+            if how > 0.85:
+                unseen.add(len(examples))
+            examples.append((gold, gold))
     made = [edits(noisy, 2) for noisy, _ in examples]
     counts = lexicon.counts([c for e in made for c in e])
     own = lexicon.counts([noisy for noisy, _ in examples])
@@ -251,15 +268,63 @@ def train_editor(texts: list[str], lexicon: Lexicon, seed: int = 7, words: int =
             if gold not in e:
                 continue
             n = float(own[i]) if noisy.isalpha() else 0.0
-            if noisy == gold:
-                n = max(n, 1.0)
-            options = [(c, _edit_features(noisy, path, t[c], n)) for c, path in e.items() if c == gold or c == noisy or t[c] >= 2]
+            if noisy == gold and noisy.isalpha():
+                n = float(rng.randint(1, 3)) if i in unseen else max(n, 1.0)
+            options = [(c, _edit_features(noisy, path, t[c], n)) for c, path in e.items() if c == gold or c == noisy or t[c] >= max(2, RATIO * n)]
             best = max(options, key=lambda o: p.score(o[1]))
             if best[0] != gold:
                 p.update(_edit_features(noisy, e[gold], t[gold], n), best[1])
     return p.averaged()
 
 
+# ---- line joins ----------------------------------------------------------------------------------------
+
+
+def join_features(mark: str, left: str, right: str, whole: int, kept: int, a: int, b: int, usual: float) -> list[object]:
+    size = lambda n: min(8, int(math.log2(n + 1)))
+    often = lambda n: int(n > usual / 20) + int(n > usual / 4) + int(n > 4 * usual)
+    return [
+        "bias", ("mark", mark if mark in "-‐" else "soft"), ("left", min(len(left), 6)), ("right", min(len(right), 6)), ("whole", size(whole)), ("kept", size(kept)),
+        ("more", (whole > kept) - (kept > whole)), ("halves", often(a), often(b)), ("new", whole == 0 and kept == 0, often(a), often(b)), ("case", right[:1].isupper(), left[-1:].isupper()),
+    ]
+
+
+def train_joins(texts: list[str], lexicon: Lexicon, seed: int = 7, examples: int = 3000) -> dict[object, float]:
+    """Words of the sample broken anywhere, and words with a hyphen broken there, some as if never seen before."""
+    rng = random.Random(seed)
+    seen = Counter(w for t in texts for w in _LETTERS.findall(t.lower()) if len(w) >= 4)
+    plain = sorted(w for w, n in seen.items() if "-" not in w and (n >= 2 or len(seen) < 50))
+    hyphened = sorted(w for w in seen if "-" in w.strip("-"))
+    if not plain:
+        return {}
+    made = []
+    for _ in range(examples):
+        if rng.random() < 0.6:
+            w = rng.choice(plain)
+            k = rng.randint(1, len(w) - 1)
+            made.append((rng.choice("---‐¬\xad"), w[:k], w[k:], "join", rng.random() < 0.25))
+        elif hyphened and rng.random() < 0.5:
+            left, _, right = rng.choice(hyphened).partition("-")
+            if left and right:
+                made.append((rng.choice("--‐"), left, right, "keep", rng.random() < 0.25))
+        else:
+            made.append((rng.choice("--‐"), rng.choice(plain), rng.choice(plain), "keep", True))
+    counts = lexicon.counts([x for _, a, b, _, _ in made for x in (a + b, f"{a}-{b}", a, b)]).reshape(-1, 4).tolist()
+    p = Perceptron()
+    for _ in range(3):
+        order = list(range(len(made)))
+        rng.shuffle(order)
+        for i in order:
+            mark, a, b, gold, new = made[i]
+            whole, kept, na, nb = counts[i]
+            f = join_features(mark, a, b, 0 if new else whole, 0 if new else kept, na, nb, lexicon.usual)
+            p.tick()
+            best = max(("join", "keep"), key=lambda c: p.score((c, x) for x in f))
+            if best != gold:
+                p.update([(gold, x) for x in f], [(best, x) for x in f])
+    return p.averaged()
+
+
 # ---- furniture -----------------------------------------------------------------------------------------
 
 _ROMAN = r"(?=[ivxl])(?:x{0,3})(?:ix|iv|v?i{0,3})"
@@ -301,9 +366,14 @@ def line_features(lines: list[str], i: int) -> list[object]:
     m = _issue(t)
     # a reader's digits in a word are folded, so that the wording counts
     word = _folded(m["word"]) if m else ""
-    place = "only" if len(lines) == 1 else "first" if i == 0 else "last" if i == len(lines) - 1 else "in"
+    above, below = lines[i - 1].strip() if i else "", lines[i + 1].strip() if i + 1 < len(lines) else ""
+    others = [len(x) for k, x in enumerate(lines) if k != i]
+    width = n / max(1, sorted(others)[len(others) // 2]) if others else 1
+    # whether the sentence runs on over the line, or through it
+    open_above, lower_below = bool(above) and above[-1] not in ".!?:", below[:1].islower()
+    place = ("only" if len(lines) == 1 else "first" if i == 0 else "last" if i == len(lines) - 1 else "in", min(i, 3), min(len(lines) - 1 - i, 3))
     shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", t))[:12] if n <= 24 else "long"
-    f: list[object] = ["bias", ("place", place), ("size", min(8, n // 10)), ("number", _page_number(t)), ("shape", shape), ("issue", word), ("has issue", bool(m))]
+    f: list[object] = ["bias", ("place", place[0]), ("from top", place[1]), ("from end", place[2]), ("width", min(6, int(width * 4))), ("column", page := min(6, max(map(len, lines)) // 8), n and place[0]), ("number in column", page, t.isdigit(), open_above), ("runs on", open_above, lower_below, place[0]), ("number runs on", _page_number(t), t.isdigit(), open_above, lower_below, place[0]), ("size", min(8, n // 10)), ("number", _page_number(t)), ("shape", shape), ("issue", word), ("has issue", bool(m))]
     if m:
         rest = (m["rest"] or "").strip()
         f += [("title words", min(8, len(m["title"].split()))), ("rest", "none" if not rest else "number" if _page_number(rest) else "text"), ("caps", t.upper() == t), ("stop", bool(re.search(r"[.;!?]\s", m["title"]))), ("first", _folded(words[0]))]
@@ -346,16 +416,19 @@ def train_furniture(texts: list[str], titles: list[str], seed: int = 7, rounds:
     for _ in range(rounds):
         for _ in range(1200):
             body = rng.choice(bodies)
-            width = rng.randint(38, 72)
+            # in narrow columns numbers of the sentence stand on lines of their own
+            width = rng.randint(38, 72) if rng.random() < 0.9 else rng.randint(5, 16)
             lines, gold = [], []
             line = ""
             for w in body.split()[:120]:
+                w = str(rng.randint(1, 999)) if width < 20 and rng.random() < 0.15 else w
                 if line and len(line) + len(w) + 1 > width:
                     lines.append(line)
                     line = w
                 else:
                     line = f"{line} {w}".strip()
-            lines.append(line)
+            if line:
+                lines.append(line)
             gold = ["text"] * len(lines)
             n = rng.randint(1, 60)
             number = rng.choice(numbers).format(n=n, m=n + rng.randint(0, 30), r=rng.choice(romans))
@@ -393,10 +466,11 @@ def train_furniture(texts: list[str], titles: list[str], seed: int = 7, rounds:
 
 
 class Repairer:
-    def __init__(self, lexicon: Lexicon, editor: dict[object, float], furniture: dict[object, float]):
+    def __init__(self, lexicon: Lexicon, editor: dict[object, float], furniture: dict[object, float], joins: dict[object, float]):
         self.lexicon = lexicon
         self.editor = Editor(lexicon, editor)
         self.furniture = Furniture(furniture)
+        self.joins = joins
         self._broken: dict[tuple[str, str, str], bool] = {}
 
     def _is_broken(self, left: str, mark: str, right: str) -> bool:
@@ -408,8 +482,13 @@ class Repairer:
             if len(self._broken) > 200_000:
                 self._broken.clear()
             a, b = left.lower(), right.lower()
-            whole, kept = self.lexicon.counts([a + b, f"{a}-{b}"]).tolist()
-            self._broken[k] = not kept > whole
+            whole, kept, na, nb = self.lexicon.counts([a + b, f"{a}-{b}", a, b]).tolist()
+            if not whole and not kept:  # the word may be misread as well
+                self.editor.learn({a + b})
+                if (c := self.editor.memo[a + b]) is not None:
+                    whole = int(self.lexicon.counts([c])[0])
+            f = join_features(mark, left, right, whole, kept, na, nb, self.lexicon.usual)
+            self._broken[k] = sum(self.joins.get(("join", x), 0.0) - self.joins.get(("keep", x), 0.0) for x in f) >= 0
         return self._broken[k]
 
     def layout(self, text: str) -> tuple[str, set[str]]:
@@ -477,9 +556,9 @@ class Repairer:
         return out
 
 
-def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[object, float]):
+def _repair(table: np.ndarray, editor: dict[object, float], furniture: dict[object, float], joins: dict[object, float]):
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Repairer(Lexicon(table), editor, furniture)
+        r = Repairer(Lexicon(table), editor, furniture, joins)
         for pdf in batches:
             keys, texts, kinds = pdf["k"].tolist(), pdf["t"].tolist(), pdf["kind"].tolist()
             out = []
@@ -515,8 +594,9 @@ def repair_scans(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     texts = list(dict.fromkeys(r["t"] for r in rows))  # a page that is copied often teaches once
     editor = train_editor(texts, lexicon)
     furniture = train_furniture(texts, [r["t"] for r in titles])
+    joins = train_joins(texts, lexicon)
     todo = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(kind), F.lit("")).alias("kind"))
     return (
-        spread(todo).mapInPandas(_repair(table, editor, furniture), f"k {dict(todo.dtypes)['k']}, noise array<string>, text string, repaired_text string")
+        spread(todo).mapInPandas(_repair(table, editor, furniture, joins), f"k {dict(todo.dtypes)['k']}, noise array<string>, text string, repaired_text string")
         .dropDuplicates(["k"]).withColumnRenamed("k", key)
     )

@@ -396,7 +396,7 @@ def repairer():
     table = np.zeros(2 * scans.BUCKETS, np.int64)
     table[t["bucket"]] = t["n"]
     lex = scans.Lexicon(table)
-    return scans.Repairer(lex, scans.train_editor(texts, lex, words=800), scans.train_furniture(texts, ["Safety sheet heating spring", "Operating handbook drive unit"]))
+    return scans.Repairer(lex, scans.train_editor(texts, lex, words=800), scans.train_furniture(texts, ["Safety sheet heating spring", "Operating handbook drive unit"]), scans.train_joins(texts, lex))
 
 
 def test_scan_page(repairer):
@@ -431,6 +431,29 @@ def test_editor_on_held_out_words(repairer):
     assert hit >= 0.9 * total > 0
 
 
+def test_perceptrons_differ_from_their_gates_and_are_right(repairer):
+    """The form of a page number, the more frequent spelling, the most frequent candidate: none of them decides alone."""
+    lex = repairer.lexicon
+    # a number of the sentence in a narrow column, and a page number
+    narrow = "The\nbearing\ngets\nnumber\n70\nand the\nlabel\nof the\nspring."
+    assert scans._page_number("70") and "page_number" not in repairer.run([narrow], [False])[0][1]
+    assert "page_number" in repairer.run([f"{PAGE[1][:40]}\n70\n{PAGE[1][40:]}"], [False])[0][1]
+    # neither spelling is known: two usual words keep their hyphen, halves of a word don't
+    assert lex.counts(["boxlabel", "box-label"]).tolist() == [0, 0]
+    assert repairer.run(["Open the valve with the box-\nlabel today"], [False])[0][0] == "Open the valve with the box-label today"
+    assert repairer.run(["Open the valve with the quar-\nvitz today"], [False])[0][0] == "Open the valve with the quarvitz today"
+    # codes with digits stay, though letters could be read for them
+    r = random.Random(4)
+    kept = total = 0
+    for _ in range(200):
+        code = "".join(r.choice("abdeglos") for _ in range(2)) + str(r.choice((0, 1, 5, 8, 9)))
+        if lex.counts(list(scans.edits(code))).max() >= 2:
+            repairer.editor.learn({code})
+            total += 1
+            kept += repairer.editor.memo[code] is None
+    assert kept >= 0.9 * total
+
+
 def test_copied_page_of_a_third(spark):
     r = random.Random(12)
     vocab = [w for p in PAGE for w in p.split()] + ["the modern pump"] * 6
