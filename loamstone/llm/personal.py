@@ -9,7 +9,9 @@ Names are learnt from the column itself: words after cues such as a signature or
 against all their occurrences, over the whole data, in count-min tables of fixed size.
 
 Defined results: NULL and empty texts hold nothing and come out unchanged; repeated rows of a key count
-once; where matches overlap, the earlier type in ``TYPES`` holds.
+once; where matches overlap, the earlier type in ``TYPES`` holds. A street address is looked for in the seven words before
+and the eight after a word that tells one, an e-mail address in the whole word around its sign; phone numbers have 9 to 16 digits, or 7 on
+with a plus sign or a cue, as have spelled ones. A word must follow ``CUED`` cues to be learnt as a name.
 """
 
 from __future__ import annotations
@@ -77,11 +79,39 @@ def _signs(s: str, low: str) -> Iterator[int]:
                 i = low.find(a + w + b, i + 1)
     i = low.find("@")
     while i >= 0:
-        if _DOT_AFTER.match(s, i) or _DOT_BEFORE.search(s[max(0, i - 80) : i]):
+        if _DOT_AFTER.match(s, i) or _DOT_BEFORE.search(s[_back(s, i, 3) : i]):
             yield i
         i = low.find("@", i + 1)
 
 
+def _back(s: str, i: int, words: int) -> int:
+    """Where the ``words`` words before place ``i`` begin; a NUL ends a text."""
+    first = s.rfind("\x00", 0, i) + 1
+    for _ in range(words):
+        while i > first and s[i - 1].isspace():
+            i -= 1
+        j = max(s.rfind(" ", first, i), s.rfind("\n", first, i), s.rfind("\t", first, i))
+        if j < 0:
+            return first
+        i = j
+    return i
+
+
+def _ahead(s: str, i: int, words: int) -> int:
+    """Where the ``words`` words from place ``i`` on end."""
+    last = s.find("\x00", i)
+    last = len(s) if last < 0 else last
+    for _ in range(words):
+        m = _WORD_AHEAD.match(s, i, last)
+        if not m:
+            return last
+        i = m.end()
+    return i
+
+
+_WORD_AHEAD = re.compile(r"\s*[^\s\x00]+")
+
+
 _DIGIT_WORDS = frozenset(_SPELLED)
 
 
@@ -137,9 +167,13 @@ def normalise(text: str) -> tuple[str, np.ndarray | None]:
 
     def digits(m: re.Match[str]) -> list[tuple[int, int, str]]:
         found = list(re.finditer(r"\w+", m[0]))
-        # numbers of the usual lengths are set in the usual groups
-        gaps = {11: {2: " ", 6: " "}, 10: {2: "-", 5: "-"}}.get(len(found), {})
-        return [(m.start() + w.start(), m.start() + w.end(), _SPELLED[w[0].lower()] + gaps.get(i, "")) for i, w in enumerate(found)]
+        n = len(found)
+        # numbers of the usual lengths are set in the usual groups, others as international ones, unless they are said to be an identity
+        gaps = {11: {2: " ", 6: " "}, 10: {2: "-", 5: "-"}}.get(n, {}) if n != 11 or _SPELLED[found[0][0].lower()] == "0" else {}
+        sign = ""
+        if 7 <= n <= 15 and not gaps and not any(_ID_CUE.match(f"{x.group()} 12345678") for x in re.finditer(r"[^\W\d_][^\d\x00]*$", s[_back(s, m.start(), 4) : m.start()].rstrip(" :=#.-"))):
+            sign, gaps = "+", {i: " " for i in range(1, n - 2, 4)}
+        return [(m.start() + w.start(), m.start() + w.end(), (sign if not i else "") + _SPELLED[w[0].lower()] + gaps.get(i, "")) for i, w in enumerate(found)]
 
     def mail(m: re.Match[str]) -> list[tuple[int, int, str]]:
         pieces, at = [], m.start()
@@ -216,7 +250,7 @@ _NAME_LITERALS = ("signed", "signé", "firmado", "gez.", "gezeichnet", "unterzei
 _ID_LITERALS = ("ssn", "social security", "passport", "identity", "id ", "id:", "id=", "id.", "id#", "id-", "doc ", "doc=", "doc:", "doc.", "doc#", "doc-", "steuer", "personalausweis", "reisepass", "sozialversicherung", "carte d", "sécurité sociale", "numéro de s", "nir", "passeport", "dni", "nie", "nif", "número de id", "identidad", "documento", "pasaporte", "insurance number", "nino")
 _PHONE_LITERALS = ("tel", "tél", "phone", "mobile", "móvil", "handy", "fax", "fon", "whatsapp")
 _STREET_LITERALS = ("street", " st.", "avenue", " ave", "road", " rd.", " lane", " close", " court", " drive", "boulevard", "blvd", " square", "terrace", "crescent", " place", "box ", "straße", "strasse", "str.", "str ", "weg ", "platz ", "allee ", "gasse ", "ufer ", "rue ", "av. ", "bd ", "impasse", "place ", "chemin", "allée", "quai ", "route ", "calle ", "c/", "avda", "avenida", "plaza", "paseo", "camino", "ronda")
-_NUMBERISH = re.compile(r"\d[\dA-Z ().\-/+]{5,}")
+_NUMBERISH = re.compile(r"\d[\dA-Z\s().\-/+]{5,}")
 
 
 def _lower(s: str) -> str:
@@ -263,15 +297,18 @@ def _literal_places(low: str) -> dict[str, list[int]]:
     return {g: sorted(x) for g, x in out.items()}
 
 
-def _windows(places: list[int], before: int, after: int, n: int) -> list[tuple[int, int]]:
+def _windows(s: str, places: list[int], before: int, after: int) -> list[tuple[int, int]]:
+    """Stretches of whole words around the places: so many before it and after it."""
     out: list[list[int]] = []
     for i in places:
-        a, b = max(0, i - before), min(n, i + after)
+        if out and i < out[-1][2]:
+            continue  # in the same word as the place before
+        a, b = _back(s, i, before), _ahead(s, i, after)
         if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
+            out[-1][1], out[-1][2] = max(b, out[-1][1]), _ahead(s, i, 1)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, b, _ahead(s, i, 1)])
+    return [(a, b) for a, b, _ in out]
 
 
 def _cue_matches(s: str, places: list[int]) -> Iterator[re.Match[str]]:
@@ -388,8 +425,8 @@ def _names(s: str, low: str, words: list[str], names: Names, cues: list[int]) ->
             m = _GIVEN_INITIAL.match(s, i)
             if m and m.end("g") == e and s[i].isupper():
                 yield m.span()
-            m = _FAMILY_BEFORE.search(s, max(0, i - 40), i)
-            if m and m.end() == i and s[e : e + 2] not in (".a",) and family_like(m["b"]) or m and names.family(m["b"].lower()):
+            m = _FAMILY_BEFORE.search(s, _back(s, i, 1), i) if s[i - 2 : i] == ", " else None
+            if m and m.end() == i and (family_like(m["b"]) or names.family(m["b"].lower())):
                 yield m.start("b"), e
     for f in (w for w in words if names.family(w)):
         for i in _places(low, [f], True):
@@ -419,15 +456,15 @@ def detect(s: str, low: str, words: list[str], names: Names) -> list[tuple[int,
         for a, b in windows:
             yield from pattern.finditer(s, a, b)
 
-    found += [(*m.span(), "email") for m in within(_EMAIL, _windows(places["at"], 90, 90, n))]
-    found += [(*m.span(), "street_address") for m in within(_STREET, _windows(places["street"], 70, 80, n))]
+    found += [(*m.span(), "email") for m in within(_EMAIL, _windows(s, places["at"], 1, 1))]
+    found += [(*m.span(), "street_address") for m in within(_STREET, _windows(s, places["street"], 7, 8))]
     for i in places["id"]:
         m = _ID_CUE.match(s, i)
         if m and (not m.start() or not s[m.start() - 1].isalnum()) and 7 <= sum(c.isalnum() for c in m["v"]) <= 18 and _digits(m["v"]) >= 5 and not _PHONE.fullmatch(m["v"].strip()):
             found.append((*m.span("v"), "id_number"))
-    numbers = [(max(0, m.start() - 6), min(n, m.end() + 14)) for m in _NUMBERISH.finditer(s) if _digits(m[0]) >= 5]
+    numbers = [(max(0, m.start() - 6), min(n, m.end() + 20)) for m in _NUMBERISH.finditer(s) if _digits(m[0]) >= 5]
     for m in within(_PHONE, numbers):
-        if 9 <= _digits(m[0]) <= 16:
+        if (7 if m[0][0] == "+" else 9) <= _digits(m[0]) <= 16:
             a, b = m.span()
             if m[0].count(")") > m[0].count("("):
                 b = a + m[0].rindex(")")

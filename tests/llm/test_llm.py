@@ -287,6 +287,28 @@ def test_personal_types(names, text, types):
         at = i + len(part)
 
 
+def test_long_items_are_found_whole(names):
+    left, right = "a" * 95, "b" * 120 + "." + "c" * 95
+    text = f"write to {left}@{right}.example now, or {'Long' * 30} Street"
+    assert [text[a:b] for a, b, t in personal.find_in([text], names)[0] if t == "email"] == [f"{left}@{right}.example"]
+    street = f"12 {'Long' * 30}ville Oak Street, Flat 2"
+    assert [(a, b) for a, b, t in personal.find_in([street], names)[0]] == [(0, len(street))]
+    family = "T" + "o" * 60
+    table = personal.Names(names.table)
+    table.learn(["mira", family.lower()])
+    assert [(a, b) for a, b, _ in personal.find_in([f"{family}, Mira"], table)[0]] == [(0, 67)]
+
+
+@pytest.mark.parametrize("n", [7, 8, 9, 10, 11, 12, 13, 15])
+@pytest.mark.parametrize("ws", ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve"])
+def test_spelled_numbers_of_any_length(names, n, ws):
+    w = ws.split()
+    number = " ".join(w[(3 * i + 1) % 10] for i in range(n))
+    text = f"call {number} today"
+    assert [(text[a:b], t) for a, b, t in personal.find_in([text], names)[0]] == [(number, "phone")]
+    assert personal.find_in([f"from {' '.join(w[:5])} to six"], names)[0] == []
+
+
 @pytest.mark.parametrize(
     "text,types",
     [
