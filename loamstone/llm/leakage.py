@@ -4,7 +4,8 @@ The test items form an inverted index with BM25 weights. Every passage of every
 words, each ``STRIDE`` words, so that any ``run`` successive words lie within one passage) is a query to
 it. Per item the threshold is the least score that ``run`` successive words of that item can have, so
 retrieval of all items above their threshold loses no passage that holds such words. Retrieved candidates
-are then verified word by word, and the overlap with the item's question and answer parts is reported.
+are then verified word by word, and the shares of the item's question and of its answer in the verified runs are reported. The
+question is what comes up to the last question mark (all of an item without one), the answer what follows.
 
 WAND runs in two levels: a bound from the words' largest weights, taken for all passages of a batch
 at once, drops those that can reach no threshold; the others walk the postings in item blocks, whose
@@ -45,8 +46,10 @@ def words(text: str) -> list[str]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[object, list[str]]], run: int = RUN):
+    def __init__(self, items: list[tuple[object, list[str]]], run: int = RUN, asked: list[int] | None = None):
         self.run = run
+        #: Words of each item's question.
+        self.asked = asked or [len(w) for _, w in items]
         self.keys = [k for k, _ in items]
         self.words = [w for _, w in items]
         self.vocab: dict[str, int] = {}
@@ -77,12 +80,12 @@ class Index:
         weight_of = [dict(zip(d.tolist(), w.tolist())) for d, w in zip(self.items, self.weights)]
         self.threshold = np.full(n, np.inf)
         self.ids: list[list[int]] = []
-        self.starts: dict[tuple[int, ...], list[int]] = {}
+        self.starts: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for d, w in enumerate(self.words):
             ids = [self.vocab[x] for x in w]
             self.ids.append(ids)
             for i in range(len(ids) - run + 1):
-                self.starts.setdefault(tuple(ids[i : i + run]), []).append(d)
+                self.starts.setdefault(tuple(ids[i : i + run]), []).append((d, i))
                 self.threshold[d] = min(self.threshold[d], sum(weight_of[x][d] for x in set(ids[i : i + run])))
         self.threshold -= 1e-9
         self.weight_of = weight_of
@@ -115,24 +118,24 @@ class Index:
         return found
 
     def verify(self, ids: list[int], candidates: list[int]) -> dict[int, tuple[int, int, int]]:
-        """Of the candidate items, those with ``run`` successive words in ``ids``: words shared, first and last position."""
-        wanted, seen = set(candidates), {}
+        """Of the candidate items, those with ``run`` successive words in ``ids``: words of its question and of its answer in such runs, and where the first begins."""
+        wanted, first, found = set(candidates), {}, {}
         for i in range(len(ids) - self.run + 1):
-            for d in self.starts.get(tuple(ids[i : i + self.run]), ()):
+            for d, j in self.starts.get(tuple(ids[i : i + self.run]), ()):
                 if d in wanted:
-                    n, a, e = seen.get(d, (0, i, i))
-                    seen[d] = (n + min(self.run, i + self.run - e if n else self.run), a, i + self.run)
-        return seen
+                    first.setdefault(d, i)
+                    found.setdefault(d, bytearray(len(self.ids[d])))[j : j + self.run] = b"\x01" * self.run
+        return {d: (f[: self.asked[d]].count(1), f[self.asked[d] :].count(1), first[d]) for d, f in found.items()}
 
 
 def _search(items: list[tuple[object, str]], run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index([(k, words(t)) for k, t in items], run)
+        index = Index([(k, words(t)) for k, t in items], run, [len(words(t[: t.rindex("?") + 1] if "?" in t else t)) for _, t in items])
         unknown = len(index.vocab)
         get = index.vocab.get
         passage, stride = 2 * run, run
         for batch in batches:
-            found: list[tuple[object, object, int, float, int]] = []
+            found: list[tuple[object, ...]] = []
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in portions(pc.binary_length(texts).to_pylist(), 500):
                 ids: list[int] = []
@@ -160,13 +163,11 @@ def _search(items: list[tuple[object, str]], run: int):
                         if hits:
                             by_doc.setdefault(int(owner[p]), set()).update(hits)
                 for o, cand in by_doc.items():
-                    for d, (n, a, e) in index.verify(arr[off[o] : off[o + 1]].tolist(), list(cand)).items():
-                        found.append((keys[lo + o], index.keys[d], n, n / len(index.words[d]), a))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], batch.column(0).type), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()),
-                 pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.int32())],
-                names=["doc", "item", "shared_words", "item_share", "at_word"],
-            )
+                    for d, (q, a, at) in index.verify(arr[off[o] : off[o + 1]].tolist(), list(cand)).items():
+                        n, asked = len(index.words[d]), index.asked[d]
+                        found.append((keys[lo + o], index.keys[d], q + a, (q + a) / n, q / asked if asked else None, a / (n - asked) if n > asked else None, at))
+            types = (batch.column(0).type, pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=["doc", "item", "shared_words", "item_share", "question_share", "answer_share", "at_word"])
 
     return go
 
@@ -186,10 +187,13 @@ def item_groups(items: DataFrame, key: str, text: str, shipped: int = SHIPPED) -
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN) -> DataFrame:
-    """(doc, item, shared_words, item_share, at_word): documents that hold ``run`` successive words of an item."""
+    """(doc, item, shared_words, item_share, question_share, answer_share, at_word): documents that hold ``run`` successive words of an item.
+
+    Shares are of the words of the item, its question and its answer that lie in such runs; a part without words has none (NULL).
+    """
     d = spread(docs.where(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("t")))
     out = None
     for group in item_groups(items, item_key, item_text):
-        part = d.mapInArrow(_search(group, run), f"doc {dict(d.dtypes)['doc']}, item long, shared_words int, item_share double, at_word int")
+        part = d.mapInArrow(_search(group, run), f"doc {dict(d.dtypes)['doc']}, item long, shared_words int, item_share double, question_share double, answer_share double, at_word int")
         out = part if out is None else out.unionByName(part)
     return out.dropDuplicates(["doc", "item"])

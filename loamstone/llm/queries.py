@@ -86,7 +86,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and leaked item: the item's words found in runs, their share of the item, and where they begin."""
+    """Per document and leaked item: the item's words found in runs, their share of the item, its question and its answer, and where they begin."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
@@ -120,8 +120,22 @@ b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{
 dg AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
 bg AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
+    "p9_leaks": r"""WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, CASE WHEN contains(text, '?') THEN len(list_filter(regexp_split_to_array(lower(regexp_extract(text, '(?s)^(.*)\?', 1)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) END AS asked FROM benchmark),
+dg AS (SELECT doc_id, i, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+bg AS (SELECT item_id, j, len(w) AS n, coalesce(asked, len(w)) AS q, hash(array_to_string(w[j:j+11], ' ')) AS g FROM (SELECT item_id, w, asked, unnest(range(1, len(w) - 10)) AS j FROM b WHERE len(w) >= 12)),
+m AS (SELECT doc_id, item_id, i, j, n, q FROM dg JOIN bg USING (g)),
+p AS (SELECT DISTINCT doc_id, item_id, n, q, unnest(range(j, j + 12)) AS k FROM m)
+SELECT doc_id, item_id, count(*)::INT AS shared_words, count(*) / n AS item_share, count(*) FILTER (k <= q) / nullif(q, 0) AS question_share, count(*) FILTER (k > q) / nullif(n - q, 0) AS answer_share, any_value(f)::INT AS at_word
+FROM p JOIN (SELECT doc_id, item_id, min(i) - 1 AS f FROM m GROUP BY ALL) USING (doc_id, item_id) GROUP BY doc_id, item_id, n, q""",
+    "p2_groups": None,
     "p10_found": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
 w AS (SELECT DISTINCT doc_id, hash(substring(text, i, 300)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
 o AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT * FROM w SEMI JOIN o USING (g)) a JOIN (SELECT * FROM w SEMI JOIN o USING (g)) b USING (g) WHERE a.doc_id < b.doc_id""",
 }
+# groups are the components of the pairs
+SQL["p2_groups"] = f"""WITH RECURSIVE pairs AS MATERIALIZED ({SQL["p2_found"]}),
+e AS (SELECT element_id_a AS u, element_id_b AS v FROM pairs UNION ALL SELECT element_id_b, element_id_a FROM pairs),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT g.u AS element_id, least(g.u, min(g.v)) AS group_id, any_value(n) AS n_links FROM r g JOIN (SELECT u, count(*) AS n FROM e GROUP BY u) c ON c.u = g.u GROUP BY g.u"""
