@@ -26,6 +26,40 @@ def portions(sizes: Sequence[int], most: int, at_once: int = AT_ONCE) -> Iterato
         yield lo, len(sizes)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: float) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Sorted rows in portions that end where a group (equal ``keys``) ends (True), or inside one of over ``most`` rows (False).
+
+    The portion after such a one begins with the last row of it. No more than a batch, and a group up to ``most``, is held.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    rows = 0
+
+    def joined() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([p[c] for p in held]) for c in held[0]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        new = np.zeros(batch.num_rows, bool)
+        for c in keys:
+            new[1:] |= now[c][1:] != now[c][:-1]
+            new[0] |= bool(held) and held[-1][c][-1] != now[c][0]
+        cuts = np.flatnonzero(new)
+        at = int(cuts[-1]) if len(cuts) else 0
+        if len(cuts):
+            held.append({c: v[:at] for c, v in now.items()})
+            yield joined(), True
+            held, rows = [], 0
+        held.append({c: v[at:] for c, v in now.items()})
+        rows += batch.num_rows - at
+        if rows > most:
+            yield joined(), False
+            held, rows = [{c: v[-1:] for c, v in now.items()}], int(most)
+    if held:
+        yield joined(), True
+
+
 #: Bits of the filter that keeps the records whose texts are needed; 1 MB, whatever the data.
 FILTER_BITS = 1 << 23
 

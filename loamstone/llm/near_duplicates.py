@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.lookup import portions, with_texts
+from loamstone.llm.lookup import portions, sorted_groups, with_texts
 from loamstone.llm.winnow import mix
 from loamstone.plans.tables import cut, spread
 
@@ -162,40 +162,6 @@ def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, early
     return a[begin], b[begin], np.add.reduceat(n, begin), need[begin], np.logical_or.reduceat(early, begin)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
-    """Sorted rows in portions that end where a group (token, and block) ends (True), or inside one of over ``most`` rows (False).
-
-    The portion after such a one begins with the last row of it.
-    """
-    held: list[dict[str, np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-        new = np.zeros(batch.num_rows, bool)
-        for c in ("token", "block"):
-            if c in now:
-                new[1:] |= now[c][1:] != now[c][:-1]
-                new[0] |= bool(held) and held[-1][c][-1] != now[c][0]
-        cuts = np.flatnonzero(new)
-        at = int(cuts[-1]) if len(cuts) else 0
-        if len(cuts):
-            yield _joined([*held, {c: v[:at] for c, v in now.items()}]), True
-            held, rows = [], 0
-        held.append({c: v[at:] for c, v in now.items()})
-        rows += batch.num_rows - at
-        if rows > most:
-            yield _joined(held), False
-            held, rows = [{c: v[-1:] for c, v in now.items()}], int(most)
-    if held:
-        yield _joined(held), True
-
-
-def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-
-
 _MET = "a long, b long, n int, need int, early boolean"
 _ASIDE = ", token long, place long, sketch long, sketch2 long"
 
@@ -231,7 +197,7 @@ def _candidates(similarity: float, first: bool):
             return pa.RecordBatch.from_arrays([pa.array(r["set"]), *none, *(pa.array(r[c]) for c in names[5:])], names=names)
 
         begun = False  # the first group of a portion has begun to come out as it is
-        for r, ended in _runs(batches, BLOCK if first else math.inf):
+        for r, ended in sorted_groups(batches, ("token",) if first else ("token", "block"), BLOCK if first else math.inf):
             changes = r["token"][1:] != r["token"][:-1]
             if not first:
                 changes = changes | (r["block"][1:] != r["block"][:-1])

@@ -96,10 +96,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnsRenamed({"doc": "doc_id", "other": "other_doc_id"})
+    """The spans, and the documents that hold each, with its place in them."""
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the portion of it that others hold."""
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -129,6 +131,17 @@ p AS (SELECT DISTINCT doc_id, item_id, n, q, unnest(range(j, j + 12)) AS k FROM
 SELECT doc_id, item_id, count(*)::INT AS shared_words, count(*) / n AS item_share, count(*) FILTER (k <= q) / nullif(q, 0) AS question_share, count(*) FILTER (k > q) / nullif(n - q, 0) AS answer_share, any_value(f)::INT AS at_word
 FROM p JOIN (SELECT doc_id, item_id, min(i) - 1 AS f FROM m GROUP BY ALL) USING (doc_id, item_id) GROUP BY doc_id, item_id, n, q""",
     "p2_groups": None,
+    "p10_shared": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
+o AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, i, first FROM w JOIN o USING (g)),
+s AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM c),
+k AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM c WHERE first < doc_id),
+sa AS (SELECT doc_id, sum(least(coalesce(gap, 300), 300)) AS chars, count(*) FILTER (gap IS NULL OR gap > 300) AS n FROM s GROUP BY doc_id),
+ka AS (SELECT doc_id, sum(least(coalesce(gap, 300), 300)) AS chars FROM k GROUP BY doc_id),
+d AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(sa.chars, 0)::BIGINT AS shared_chars, coalesce(sa.n, 0) AS n_stretches, coalesce(ka.chars, 0)::BIGINT AS kept_elsewhere, round(coalesce(sa.chars, 0) / greatest(n_chars, 1), 6) AS shared_fraction
+FROM d LEFT JOIN sa USING (doc_id) LEFT JOIN ka USING (doc_id)""",
     "p10_found": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
 w AS (SELECT DISTINCT doc_id, hash(substring(text, i, 300)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
 o AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1)

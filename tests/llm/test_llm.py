@@ -72,14 +72,73 @@ def test_hot_passage_quoted_before(spark):
     assert got == brute_spans(docs, 300) == set(itertools.combinations(range(80), 2))
 
 
+def brute_portion(docs, run):
+    at = {}
+    for k, t in docs.items():
+        for i in range(len(t or "") - run + 1):
+            at.setdefault(t[i : i + run], {}).setdefault(k, []).append(i)
+    out = {k: (set(), set()) for k in docs}
+    for holders in at.values():
+        if len(holders) > 1:
+            for k, places in holders.items():
+                for i in places:
+                    out[k][0].update(range(i, i + run))
+                    if min(holders) < k:
+                        out[k][1].update(range(i, i + run))
+    return {k: (len(a), len(b)) for k, (a, b) in out.items()}
+
+
 def test_shared_portion(spark):
     p = "".join(random.Random(1).choice(string.ascii_letters) for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 100 + p), (2, p + "y" * 50), (3, "short"), (4, None)], "id long, text string")
-    got = {r.id: (r.shared_chars, r.kept_elsewhere, r.n_records) for r in shared_spans.shared_portion(df, "id", "text").collect()}
+    got = {r.id: (r.shared_chars, r.kept_elsewhere, r.n_stretches) for r in shared_spans.shared_portion(df, "id", "text").collect()}
     assert got == {1: (400, 0, 1), 2: (400, 400, 1), 3: (0, 0, 0), 4: (0, 0, 0)}
+    assert {(r.doc, r.start, r.stop, r.n_docs) for r in shared_spans.shared_spans(df, "id", "text").collect()} == {(1, 100, 500, 2), (2, 0, 400, 2)}
     assert shared_spans.shared_pairs(df.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("hot,local,batch", [(64, 32, 10000), (2, 1000, 5), (5, 4, 7), (1, 1, 3)])
+def test_runs_around_later_places_of_hot_units(spark, monkeypatch, request, hot, local, batch):
+    """120 records with one passage; runs around its second place are shared by few."""
+    monkeypatch.setattr(shared_spans, "HOT", hot)
+    monkeypatch.setattr(shared_spans, "LOCAL_HOT", local)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice(string.ascii_letters) for _ in range(n))
+    passage = letters(220)
+    around = [(letters(50), letters(60)) for _ in range(12)]
+    docs = {}
+    for i in range(120):
+        left, right = around[i // 2] if i < 24 else (letters(50), letters(60))
+        docs[i] = letters(40) + passage + letters(90) + left + passage + right + (letters(20) if i % 3 else "é")
+    df = spark.createDataFrame([*docs.items(), (5, docs[5])], "id long, text string")
+    want = brute_spans(docs, 300)
+    assert len(want) == 12
+    assert {tuple(x) for x in shared_spans.shared_pairs(df, "id", "text").collect()} == want
+    got = {x.id: (x.shared_chars, x.kept_elsewhere) for x in shared_spans.shared_portion(df, "id", "text").collect()}
+    assert got == brute_portion(docs, 300)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_spans_of_many_holders(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared_spans, "HOT", hot)
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choice(string.ascii_letters + "ü") for _ in range(n))
+    p, q = letters(500), letters(350)
+    docs = {i: letters(30) + (p if i % 2 else p[40:480]) + letters(30) + (q if i % 5 == 0 else "") for i in range(20)}
+    df = spark.createDataFrame(list(docs.items()), "id long, text string")
+    got = {x.id: (x.shared_chars, x.kept_elsewhere) for x in shared_spans.shared_portion(df, "id", "text").collect()}
+    assert got == brute_portion(docs, 300)
+    spans = shared_spans.shared_spans(df, "id", "text").collect()
+    by = {}
+    for x in spans:
+        by.setdefault(x.span_id, set()).add(docs[x.doc][x.start : x.stop])
+        assert x.n_docs > 1 and x.stop - x.start >= 300
+    assert all(len(v) == 1 for v in by.values())
+    assert len(spans) < 20 * 6
+
+
 @given(st.lists(st.text(alphabet="ab", max_size=60), max_size=6))
 @settings(max_examples=40, deadline=None)
 def test_every_shared_run_has_a_common_unit(texts):
