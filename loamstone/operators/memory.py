@@ -50,6 +50,30 @@ def cache_hits(requests: DataFrame, ttl_s: int) -> DataFrame:
     return b.withColumn("source", F.when(fresh, F.col("source"))).drop("at")
 
 
+def cache_lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """(id, source_id, how, score) of requests (id, session, query, v) found among entries of the same form.
+
+    An entry of the session with the same question comes first (the one with the greatest id); failing that the most similar of
+    the session's, if it reaches ``threshold``. A request isn't its own source. Requests found nowhere are left out.
+    """
+    from loamstone.operators import vectors
+    from loamstone.plans.tables import cut
+
+    e = entries.where("session is not null")
+    last = e.select(F.col("id").alias("source_id"), "session", "query")
+    exact = cut(requests.join(last, ["session", "query"]).where("source_id <> id").groupBy("id").agg(F.max("source_id").alias("source_id")).select("id", "source_id", F.lit("exact").alias("how"), F.lit(1.0).alias("score")))
+    left = requests.join(exact.select("id"), "id", "left_anti")
+    near = vectors.cosine_topk(e.select("id", "v", "session"), left.select("id", "v", "session"), 1, same="session", min_score=threshold)
+    return exact.unionByName(near.select(F.col("query_id").alias("id"), F.col("id").alias("source_id"), F.lit("semantic").alias("how"), "score"))
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """Turns (session, turn, ts) with their index in the session (from 0), a UTC stamp, and the milliseconds since the turn before."""
+    w = Window.partitionBy("session").orderBy("turn")
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    return turns.withColumn("turn_index", F.row_number().over(w) - 1).withColumn("stamp", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("since_ms", ms(F.col("ts")) - ms(F.lag("ts").over(w)))
+
+
 def rank_in_day(events: DataFrame, key: str, ts: str, order: Column) -> DataFrame:
     """Place of each event among its key's of the same day."""
     w = Window.partitionBy(key, F.to_date(ts)).orderBy(ts, order)

@@ -45,13 +45,60 @@ def badges(items: DataFrame) -> DataFrame:
     return rows.groupBy("id", "n", "category").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("`"), x["item"], F.lit("`"))), " ").alias("badges"))
 
 
+def _runs(marks: Column, n: Column) -> Column:
+    """Stretches from each marked line to the next; what comes before the first is one as well, from -1 on."""
+    starts = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(marks, i)))
+    return F.transform(starts, lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get(starts, k + 1), n).alias("stop")))
+
+
+def _badge_lines(line: Column) -> Column:
+    """The lines that take the place of a list of three or more: one a category, in order of appearance. NULL for other lines."""
+    t = strip(line)
+    raw = F.filter(F.transform(F.split(t, r"[,:\-*]"), strip), lambda x: x != "")
+    items = F.filter(F.transform(raw, lambda x: F.regexp_replace(x, r"^[,.*\-]+|[,.*\-]+$", "")), lambda x: x != "")
+    known = F.transform(items, lambda x: F.struct(category(x).alias("c"), x.alias("x")))
+    cats = F.array_distinct(F.transform(known, lambda k: k["c"]))
+    pills = lambda c: F.array_join(F.transform(F.filter(known, lambda k: k["c"] == c), lambda k: F.concat(F.lit("`"), k["x"], F.lit("`"))), " ")
+    listed = (t.startswith("- ") | t.contains(",") | t.contains(":")) & (F.size(raw) >= 3)
+    return F.when(listed, F.transform(cats, lambda c: F.concat(F.lit("- **"), c, F.lit("**: "), pills(c))))
+
+
+def with_badges(df: DataFrame) -> DataFrame:
+    """(id, lines, ...) of (id, lines, ...): lists under a skills header written as badges. A text is one row, so nothing is shuffled."""
+    opens = F.transform("lines", lambda x: contains_any(F.lower(strip(x)), SKILL_HEADS))
+    heads = F.transform("lines", lambda x: contains_any(F.lower(strip(x)), SKILL_HEADS) | strip(x).startswith("### ") | strip(x).startswith("## "))
+    d = df.withColumn("opens", opens).withColumn("heads", heads).withColumn("n", F.size("lines"))
+    first = lambda s: (s["start"] < 0) & (s["stop"] == 0)
+    runs = F.filter(_runs(F.col("heads"), F.col("n")), lambda s: ~first(s))
+    made = F.transform(runs, lambda s: F.flatten(F.transform(
+        F.sequence(F.greatest(s["start"], F.lit(0)), s["stop"] - 1),
+        lambda i: F.when((i > s["start"]) & (s["start"] >= 0) & F.coalesce(F.get("opens", s["start"]), F.lit(False)), F.coalesce(_badge_lines(F.get("lines", i)), F.array(F.get("lines", i)))).otherwise(F.array(F.get("lines", i))),
+    )))
+    return d.withColumn("lines", F.flatten(made)).drop("opens", "heads", "n")
+
+
+def with_rhythm(df: DataFrame) -> DataFrame:
+    """(id, lines, ...): a blank line in long runs of bullets, so that no more than five follow each other."""
+    plain = F.transform("lines", lambda x: ~(strip(x).startswith("- ") | strip(x).startswith("* ")))
+    d = df.withColumn("plain", plain).withColumn("n", F.size("lines"))
+    runs = F.filter(_runs(F.col("plain"), F.col("n")), lambda s: ~((s["start"] < 0) & (s["stop"] == 0)))
+    out = F.transform(
+        runs,
+        lambda s: F.transform(
+            F.sequence(F.greatest(s["start"], F.lit(0)), s["stop"] - 1),
+            lambda i: F.when((i - s["start"] > 1) & (F.pmod(i - s["start"] - 1, F.lit(5)) == 0), F.concat(F.lit("\n"), F.get("lines", i))).otherwise(F.get("lines", i)),
+        ),
+    )
+    return d.withColumn("lines", F.flatten(out)).drop("plain", "n")
+
+
 def present(df: DataFrame) -> DataFrame:
-    """(id, presented): headers repaired, then a blank line in long runs of bullets."""
+    """(id, presented) of (id, t, render_header): headers repaired, skill lists as badges, long runs of bullets broken; the first H3 goes on a continued topic."""
     from loamstone.functions.text import repair_headers
 
-    rows = spaced_bullets(df.select("id", repair_headers(F.col("t")).alias("t")))
-    ordered = F.array_sort(F.collect_list(F.struct("n", F.when(F.col("gap"), F.concat(F.lit("\n"), "line")).otherwise(F.col("line")).alias("line"))))
-    return rows.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("presented"))
+    lines = df.select("id", "render_header", F.split(repair_headers(F.col("t")), "\n").alias("lines"))
+    done = with_rhythm(with_badges(lines)).select("id", "render_header", strip(F.array_join("lines", "\n")).alias("p"))
+    return done.select("id", F.when(F.col("render_header"), F.col("p")).otherwise(strip(F.regexp_replace("p", r"^###\s+[^\n]+\n+", ""))).alias("presented"))
 
 
 STAGES = ("stage", "retrieved_chunks", "block_commit", "final_transformed", "error")

@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors sent to the tasks at once; more queries make more passes over the rows.
+from loamstone.plans.tables import cut
+
+#: Bytes of query vectors sent to the tasks at once; more queries make more passes over the rows.
+SHIPPED = 64_000_000
+#: Query vectors that a batch of rows is compared with in one product.
 BLOCK = 2048
 
 
@@ -24,7 +28,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
-def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, same: str | None = None, min_score: float | None = None, keep_self: bool = False, after: str | None = None) -> DataFrame:
+def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, same: str | None = None, min_score: float | None = None, keep_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of ``rows`` (id, v, ...) for each of ``queries`` (id, v, ...).
 
     ``same``: a column in which row and query must agree, checked before the ranking. Each batch of rows keeps its own k best a
@@ -47,24 +51,28 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, same: str | None =
                 if not len(pdf):
                     continue
                 got = pdf["id"].to_numpy()
-                score = np.round(_unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)) @ mat.T, 6)
-                if same:
-                    score = np.where(pdf["mark"].to_numpy(object)[:, None] == marks[None, :], score, -np.inf)
-                if not keep_self:
-                    score = np.where(got[:, None] == ids[None, :], -np.inf, score)
-                if min_score is not None:
-                    score = np.where(score >= min_score, score, -np.inf)
-                for j in range(len(ids)):
-                    best = np.lexsort((got, -score[:, j]))[:k]
-                    best = best[np.isfinite(score[best, j])]
-                    yield pd.DataFrame({"query_id": ids[j], "id": got[best], "score": score[best, j]})
+                unit = _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+                for lo in range(0, len(ids), BLOCK):
+                    part = ids[lo : lo + BLOCK]
+                    score = np.round(unit @ mat[lo : lo + BLOCK].T, 6)
+                    if same:
+                        score = np.where(pdf["mark"].to_numpy(object)[:, None] == marks[None, lo : lo + BLOCK], score, -np.inf)
+                    if not keep_self:
+                        score = np.where(got[:, None] == part[None, :], -np.inf, score)
+                    if min_score is not None:
+                        score = np.where(score >= min_score, score, -np.inf)
+                    # all that reach the k-th best of the batch, ties with it too
+                    kth = np.partition(score, -k, axis=0)[-k] if len(got) > k else np.full(len(part), -np.inf)
+                    r, j = np.nonzero((score >= kth) & np.isfinite(score))
+                    yield pd.DataFrame({"query_id": part[j], "id": got[r], "score": score[r, j]})
 
         return rows.select("id", "v", *([F.col(same).alias("mark")] if same else [])).mapInPandas(search, f"query_id {kinds['id']}, id {kinds['id']}, score double")
 
     wanted = queries.where("v is not null").select("id", "v", (F.col(same) if same else F.lit(None).cast("int")).alias("mark")).orderBy("id")
     for q in wanted.toLocalIterator():
-        if block and (len(block) >= BLOCK or len(q["v"]) != len(block[0][1])):
-            out = one(block) if out is None else out.unionByName(one(block))
+        if block and (len(block) * len(block[0][1]) * 8 >= SHIPPED or len(q["v"]) != len(block[0][1])):
+            done = cut(one(block))  # one pass a block: the plan doesn't grow with the queries
+            out = done if out is None else out.unionByName(done)
             block = []
         block.append((q["id"], q["v"], q["mark"]))
     if block:

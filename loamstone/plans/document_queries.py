@@ -16,27 +16,73 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paragraphs(d, "\n")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
 def paragraph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _elements(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "HEADING").alias("headings"), F.sum(F.length("text")).alias("chars"), F.max("pos").alias("last"))
+    d = layout._parts(_texts(spark, sf_dir), "\n")
+    chars = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p["text"]))
+    return d.select("doc", F.size("parts").cast("long").alias("n"), F.size(F.filter("parts", lambda p: p["kind"] == "HEADING")).cast("long").alias("headings"), chars.alias("chars"), (F.size("parts") - 1).alias("last"))
 
 
 def layout_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.with_parents(_elements(spark, sf_dir)).select("doc", "pos", "kind", "parent_pos")
+    return layout.document_parents(_texts(spark, sf_dir), "\n")
 
 
 def section_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = layout.with_sections(_elements(spark, sf_dir))
-    return layout.section_texts(s).select("doc", F.col("section").cast("long").alias("section"), "breadcrumb", "n", "text")
+    return layout.document_sections(_texts(spark, sf_dir), "\n").withColumn("section", F.col("section").cast("long"))
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of the hybrid search's hits: the first section of each hit under its breadcrumb."""
+    """Context of the hybrid search's hits: all sections of each hit in order, each under its breadcrumb."""
     from loamstone.plans.search_queries import rrf_fusion
 
     hits = cut(rrf_fusion(spark, sf_dir))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(hits.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi")
-    s = layout.section_texts(layout.with_sections(layout.paragraphs(d, "\n"))).where("section = 1")
-    return layout.context(hits.join(s, hits["id"] == s["doc"]).select("query_id", "rank", "text", "breadcrumb"))
+    d = _texts(spark, sf_dir).join(hits.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi")
+    s = layout.document_sections(d, "\n")
+    return layout.context(hits.join(s, hits["id"] == s["doc"]).select("query_id", "rank", "section", "text", "breadcrumb"))
+
+
+FILES = ((-1, "blank.txt", "   \n \n"), (-2, "nothing.txt", ""), (-3, "marked.txt", "# Report\n\n first \nSKILLS\n- a\x07b\n\x01"), (-4, "gone.txt", None))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
+    return d.unionByName(spark.createDataFrame(FILES, "doc long, filename string, text string"))
+
+
+def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingestion from end to end: validation, parsing, cleaning, sections and parents, and a notice for a file without text."""
+    return layout.documents_of(layout.ingest(_files(spark, sf_dir), "\n"))
+
+
+def ingestion_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: why it was refused, its elements, those without a parent, and the characters kept."""
+    i = layout.ingest(_files(spark, sf_dir), "\n")
+    status = F.when(F.col("problem").isNotNull(), "REJECTED").when(F.size("elements") == 0, "LOW_CONFIDENCE").otherwise("SUCCESS")
+    return i.select(
+        "doc", "size", "problem", status.alias("status"), F.size("elements").alias("n_elements"), F.size(F.filter("elements", lambda e: e["parent_pos"].isNull())).alias("n_roots"),
+        F.aggregate("elements", F.lit(0).cast("long"), lambda n, e: n + F.length(e["text"])).alias("chars"),
+    )
+
+
+def turn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of each turn in its session, its UTC stamp, and the milliseconds since the turn before."""
+    return memory.numbered(_turns(spark, sf_dir)).select("turn_id", F.col("turn_index").cast("long").alias("turn_index"), "stamp", "since_ms")
+
+
+def memory_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt of each turn, with what is remembered before the context."""
+    t = memory.working_memory(_turns(spark, sf_dir))
+    return t.select("turn_id", T.prompt(F.coalesce("response", F.lit("")), F.col("memory"), F.coalesce("query", F.lit(""))).alias("prompt"))
+
+
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements whose metadata meet every one of several equalities."""
+    wanted = {"page": "1"}
+    e = table(spark, sf_dir, "document_elements").where(" and ".join(f"metadata['{k}'] = '{v}'" for k, v in wanted.items()) + " and element_type = 'PARAGRAPH'")
+    return e.select("element_id").distinct()
 
 
 def flattened_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,12 +223,15 @@ def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presented_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presentation.present(_markdown(spark, sf_dir))
+    """Answers as they are shown: headers, badges, rhythm, and no first header where the turn goes on with its topic."""
+    shown = memory.topics(_turns(spark, sf_dir)).select(F.col("turn_id").alias("id"), "shift")
+    m = _markdown(spark, sf_dir).join(shown, "id", "left")
+    return presentation.present(m.select("id", "t", F.coalesce("shift", F.col("id") % 2 == 0).alias("render_header")))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (event_stream, error_payloads, guard_verdicts, presented_answers, paragraph_elements, layout_parents, section_breadcrumbs, context_blocks, flattened_elements, highlighted, working_memory, episodic_summary, topic_shift, recent_turns, context_budget, cache_lookup, session_clear, request_metrics, session_metrics, upload_ranks, event_windows, parser_choice, tenant_files, header_repair, bullet_density, badge_groups, section_priority)
+    for q in (ingested_documents, ingestion_telemetry, turn_index, memory_prompts, metadata_filter, event_stream, error_payloads, guard_verdicts, presented_answers, paragraph_elements, layout_parents, section_breadcrumbs, context_blocks, flattened_elements, highlighted, working_memory, episodic_summary, topic_shift, recent_turns, context_budget, cache_lookup, session_clear, request_metrics, session_metrics, upload_ranks, event_windows, parser_choice, tenant_files, header_repair, bullet_density, badge_groups, section_priority)
 }
 
 # ---- the same in SQL -----------------------------------------------------------------------------------
@@ -205,6 +254,29 @@ _METRICS = """count(*) AS requests, count(*) FILTER (error IS NOT NULL OR coales
  round(count(*) FILTER (coalesce(cache_hit, false) AND NOT coalesce(blocked, false)) / count(*), 6) AS hit_rate, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, count(*) FILTER (coalesce(blocked, false)) AS blocks FROM requests"""
 
 
+_SHIFT = f"""sa AS (SELECT *, {_like("lower(coalesce(query, ''))", _bounded(T.CONTINUATION))} AS continuation, {_table_case("coalesce(query, '')", T.TOPICS, 'General Inquiry')} AS detected, row_number() OVER (PARTITION BY session ORDER BY turn) AS rn FROM t),
+sb AS (SELECT *, last_value(CASE WHEN NOT continuation OR rn = 1 THEN detected END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn) AS active FROM sa),
+sh AS (SELECT turn_id, coalesce(lag(active) OVER (PARTITION BY session ORDER BY turn) <> active, true) AS shift FROM sb)"""
+_HEAD_OF = _HEAD.replace("starts_with(text, '#')", f"starts_with({_STRIPPED('text')}, '#')").replace("(upper(text) = text AND lower(text) <> text)", "(upper(text) = text AND lower(text) <> text)")
+
+
+def _probe_text(s: str | None) -> str:
+    if s is None:
+        return "NULL"
+    return " || ".join([f"chr({ord(ch)})" if ord(ch) < 32 else quoted(ch) for ch in s]) or "''"
+
+
+_INGEST = f"""WITH fs AS (SELECT *, octet_length(encode(text)) AS size, CASE WHEN text IS NULL THEN 'missing' WHEN text = '' THEN 'empty' WHEN octet_length(encode(text)) > {layout.LARGEST_FILE} THEN 'too large' END AS problem
+ FROM (SELECT doc_id AS doc, CAST(doc_id AS VARCHAR) || '.txt' AS filename, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({d}, {quoted(n)}, {_probe_text(t)})" for d, n, t in FILES)}))),
+p AS (SELECT doc, unnest(range(len(ps))) AS pos, unnest(ps) AS p FROM (SELECT doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIPPED('x')}), lambda x: x <> '') AS ps FROM fs WHERE problem IS NULL)),
+el0 AS (SELECT doc, pos AS pos0, CASE WHEN length(p) < 80 AND NOT ends_with(p, '.') AND (starts_with(p, '#') OR pos = 0) THEN 'HEADING' ELSE 'PARAGRAPH' END AS kind, {_STRIPPED("regexp_replace(" + _STRIPPED("regexp_replace(p, '^#+', '')") + ", '[\\x00-\\x08\\x0b-\\x1f]', '', 'g')")} AS text FROM p),
+el AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos0) - 1 AS pos, kind, text FROM el0 WHERE text <> ''),
+s1 AS (SELECT *, {_HEAD_OF} AS h FROM el),
+s3 AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc ORDER BY pos) AS section, coalesce(last_value(CASE WHEN h THEN {_STRIPPED("regexp_replace(text, '^[# ]+|[# ]+$', '', 'g')")} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), 'General Document Content') AS breadcrumb,
+ CASE WHEN kind <> 'HEADING' THEN last_value(CASE WHEN kind = 'HEADING' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos) END AS parent_pos FROM s1)
+"""
+
+
 def _sql_text(s: str) -> str:
     return " || chr(10) || ".join(quoted(x) for x in s.split("\n"))
 
@@ -226,7 +298,7 @@ def _repair(c: str) -> str:
 def _context_sql() -> str:
     from loamstone.plans.search_queries import _FUSED
 
-    return _FUSED + f", {_P}, {_S}, hit AS (SELECT DISTINCT ON (query_id, text) query_id, rank, text, breadcrumb FROM (SELECT f.query_id, f.rank, sec.text, sec.breadcrumb FROM f JOIN sec ON sec.doc = f.id AND sec.section = 1) ORDER BY query_id, text, rank) SELECT query_id, string_agg(CASE WHEN breadcrumb <> '' THEN '[Category: ' || breadcrumb || ']' || chr(10) || text ELSE text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM hit GROUP BY query_id"
+    return _FUSED + f", {_P}, {_S}, hit AS (SELECT DISTINCT ON (query_id, text) query_id, rank, text, breadcrumb, section FROM (SELECT f.query_id, f.rank, sec.text, sec.breadcrumb, sec.section FROM f JOIN sec ON sec.doc = f.id) ORDER BY query_id, text, rank, section) SELECT query_id, string_agg(CASE WHEN breadcrumb <> '' THEN '[Category: ' || breadcrumb || ']' || chr(10) || text ELSE text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank, section) AS context FROM hit GROUP BY query_id"
 
 
 def _valued(rows: tuple[str, ...], name: str) -> str:
@@ -240,9 +312,23 @@ k AS (SELECT *, CASE {' '.join(f"WHEN starts_with(line, '{x}:') THEN '{x}'" for
 SELECT id, json_extract_string(j, '$.error') AS error, CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.message'), '') END AS message, CAST(coalesce(json_array_length(j, '$.actions'), 0) AS INT) AS n_actions FROM j""",
     "guard_verdicts": f"""WITH j AS (SELECT id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM {_valued(VERDICTS, 't')})
 SELECT id, coalesce(CAST(json_extract_string(j, '$.safe') AS BOOLEAN), false) AS safe, coalesce(json_extract_string(j, '$.reason'), 'unreadable') AS reason FROM j""",
-    "presented_answers": f"""WITH {_MD.replace('m AS (', 'raw AS (', 1)}, m AS (SELECT id, {_repair('t')} AS t FROM raw), {_LINES}, b AS (SELECT *, starts_with({_STRIPPED('line')}, '- ') OR starts_with({_STRIPPED('line')}, '* ') AS bullet FROM l), i AS (SELECT *, sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS island FROM b),
-p AS (SELECT *, row_number() OVER (PARTITION BY id, island, bullet ORDER BY n) AS place FROM i)
-SELECT id, string_agg(CASE WHEN bullet AND place > 1 AND (place - 1) % 5 = 0 THEN chr(10) || line ELSE line END, chr(10) ORDER BY n) AS presented FROM p GROUP BY id""",
+    "presented_answers": f"""WITH {_TURN}, {_SHIFT}, {_MD.replace('m AS (', 'raw AS (', 1)}, m AS (SELECT raw.id, coalesce(sh.shift, raw.id % 2 = 0) AS render, {_repair('t')} AS t FROM raw LEFT JOIN sh ON sh.turn_id = raw.id), {_LINES},
+o AS (SELECT *, {_STRIPPED('line')} AS t, {' OR '.join(f"contains(lower({_STRIPPED('line')}), '{h}')" for h in presentation.SKILL_HEADS)} AS opens FROM l), oc AS (SELECT *, starts_with(t, '### ') OR starts_with(t, '## ') AS closes FROM o),
+i AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN true WHEN closes THEN false END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n), false) AND NOT opens AND NOT closes AS inside FROM oc),
+x AS (SELECT *, CASE WHEN inside AND (starts_with(t, '- ') OR contains(t, ',') OR contains(t, ':')) THEN list_filter(list_transform(regexp_split_to_array(t, '[,:\\-*]'), lambda y: {_STRIPPED('y')}), lambda y: y <> '') ELSE [] END AS items FROM i),
+e AS (SELECT id, n, k, regexp_replace(raw, '^[,.*\\-]+|[,.*\\-]+$', '', 'g') AS item FROM (SELECT id, n, unnest(range(len(items))) AS k, unnest(items) AS raw FROM x WHERE len(items) >= 3)),
+c AS (SELECT id, n, category, min(k) AS sub, string_agg('`' || item || '`', ' ' ORDER BY k) AS pills FROM (SELECT *, {_table_case('item', T.TAXONOMY, 'General Details')} AS category FROM e WHERE item <> '') GROUP BY ALL),
+nl AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n, sub) AS n, line FROM (SELECT id, n, 0 AS sub, line FROM x WHERE len(items) < 3 UNION ALL SELECT id, n, sub, '- **' || category || '**: ' || pills FROM c)),
+b AS (SELECT *, starts_with({_STRIPPED('line')}, '- ') OR starts_with({_STRIPPED('line')}, '* ') AS bullet FROM nl), r AS (SELECT *, sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS island FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY id, island, bullet ORDER BY n) AS place FROM r),
+g AS (SELECT id, {_STRIPPED("string_agg(CASE WHEN bullet AND place > 1 AND (place - 1) % 5 = 0 THEN chr(10) || line ELSE line END, chr(10) ORDER BY n)")} AS p FROM p GROUP BY id)
+SELECT m.id, CASE WHEN render THEN coalesce(p, '') ELSE {_STRIPPED("regexp_replace(coalesce(p, ''), '^###[ \\t\\r\\n\\f\\x0b]+[^\\n]+\\n+', '')")} END AS presented FROM m LEFT JOIN g ON g.id = m.id""",
+    "turn_index": f"WITH {_TURN} SELECT turn_id, row_number() OVER w - 1 AS turn_index, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS since_ms FROM t WINDOW w AS (PARTITION BY session ORDER BY turn)",
+    "memory_prompts": f"WITH {_TURN}, a AS (SELECT turn_id, coalesce(query, '') AS q, coalesce(response, '') AS r, {_MEM} AS m FROM t) SELECT turn_id, 'Context:' || chr(10) || CASE WHEN m <> '' THEN 'Memory History:' || chr(10) || m || chr(10) || chr(10) || 'Document Context:' || chr(10) || r ELSE r END || chr(10) || chr(10) || 'Question:' || chr(10) || q AS prompt FROM a",
+    "metadata_filter": "SELECT DISTINCT element_id FROM document_elements WHERE metadata['page'] = '1' AND element_type = 'PARAGRAPH'",
+    "ingested_documents": _INGEST + f"""SELECT doc, CAST(doc AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS element_id, kind, CAST(section AS INT) AS section, breadcrumb, CASE WHEN parent_pos IS NOT NULL THEN CAST(doc AS VARCHAR) || ':' || CAST(parent_pos AS VARCHAR) END AS parent_id, text, false AS is_fallback FROM s3
+UNION ALL SELECT doc, filename, NULL, NULL, NULL, NULL, '[Document: ' || filename || ' - No extractable text content]', true FROM fs WHERE problem IS NULL AND doc NOT IN (SELECT doc FROM s3)""",
+    "ingestion_telemetry": _INGEST + """SELECT fs.doc, any_value(size) AS size, any_value(problem) AS problem, CASE WHEN any_value(problem) IS NOT NULL THEN 'REJECTED' WHEN count(s3.doc) = 0 THEN 'LOW_CONFIDENCE' ELSE 'SUCCESS' END AS status, CAST(count(s3.doc) AS INT) AS n_elements, CAST(count(s3.doc) FILTER (parent_pos IS NULL) AS INT) AS n_roots, CAST(coalesce(sum(length(s3.text)), 0) AS BIGINT) AS chars FROM fs LEFT JOIN s3 ON s3.doc = fs.doc GROUP BY fs.doc""",
     "paragraph_elements": f"WITH {_P} SELECT doc, count(*) AS n, count(*) FILTER (kind = 'HEADING') AS headings, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(pos) AS INT) AS last FROM el GROUP BY doc",
     "layout_parents": f"WITH {_P} SELECT doc, CAST(pos AS INT) AS pos, kind, CAST(CASE WHEN kind <> 'HEADING' THEN last_value(CASE WHEN kind = 'HEADING' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS INT) AS parent_pos FROM el",
     "section_breadcrumbs": f"WITH {_P}, {_S} SELECT * FROM sec",

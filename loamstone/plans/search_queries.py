@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamstone.operators import lexical, vectors
+from loamstone.functions import text as T
+from loamstone.operators import lexical, memory, plugins, vectors
 from loamstone.plans.tables import cut, table
+from loamstone.plans.text_queries import quoted
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +84,88 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, 5)
 
 
+def _fuse(d: DataFrame, v: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    ids = v.select("id").unionByName(b.select("id")).distinct()
+    texts = cut(d.join(ids, "id", "left_semi").withColumnRenamed("t", "text"))
+    return lexical.fuse([v.join(texts, "id"), b.join(texts, "id")], [0.5, 0.5], k)
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e = _docs(spark, sf_dir), _vectors(spark, sf_dir)
     v = cut(vectors.cosine_topk(e, e.where("id % 100 = 0"), 10, keep_self=True))
-    b = cut(_bm25(spark, sf_dir, 5).join(v.select("query_id").distinct(), "query_id", "left_semi"))
-    ids = v.select("id").unionByName(b.select("id")).distinct()
-    texts = cut(d.join(ids, "id", "left_semi").withColumnRenamed("t", "text"))
-    return lexical.fuse([v.join(texts, "id"), b.join(texts, "id")], [0.5, 0.5], 10)
+    # only what has a vector is asked for by terms
+    asked = _titles(d).join(v.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi")
+    return _fuse(d, v, cut(lexical.bm25_topk(d, asked, 5)))
+
+
+#: Hits a session's search is asked for, before its bounds.
+WISHED = 10
+
+
+def _in_session(e: DataFrame, b: DataFrame) -> DataFrame:
+    """Hits (query_id, id, ...) whose document is of the query's session (label)."""
+    return b.join(e.select("id", F.col("label").alias("ls")), "id").join(e.select(F.col("id").alias("query_id"), F.col("label").alias("lq")), "query_id").where("ls = lq").drop("ls", "lq")
+
+
+def _session_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, vectors with their session, and the vector hits: the session's filter comes before the vector ranking."""
+    d, e = _docs(spark, sf_dir), _vectors(spark, sf_dir)
+    return d, e, cut(vectors.cosine_topk(e, e.where("id % 100 = 0"), WISHED, same="label", keep_self=True))
+
+
+def session_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search within a session: vectors are filtered before their ranking, the best five by terms after theirs."""
+    d, e, v = _session_lists(spark, sf_dir)
+    asked = _titles(d).join(v.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi")
+    b = cut(_in_session(e, lexical.bm25_topk(d, asked, 5)))
+    fused = _fuse(d, v, b, 15).where(F.col("rank") <= T.clamp_k(F.lit(WISHED)))
+    return fused.select("query_id", "id", "score", "rank")
+
+
+# What is answered where there is too little context.
+LOW_CONTEXT = {
+    "error": "LowContextError",
+    "message": "I don't have enough context to answer accurately.",
+    "actions": [
+        {"label": "Search the web instead?", "action": "web_search"},
+        {"label": "Escalate to human support?", "action": "escalate"},
+        {"label": "Did you mean to ask a different question?", "action": "suggest"},
+    ],
+}
+
+
+def low_context_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: after which search there was context enough (first, rewritten), or none and the error that is answered.
+
+    A query with too little context is rewritten and searched once more; its vector stays, as the tables have no model for a new one.
+    """
+    d, e, v = _session_lists(spark, sf_dir)
+    near = cut(vectors.cosine_topk(e, e.where("id % 100 = 0"), 1, same="label").select("query_id", F.col("score").alias("top_vector")))
+    titles = _titles(d).join(v.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        of = queries.select(F.col("id").alias("query_id"))
+        b = cut(_in_session(e, lexical.bm25_topk(d, queries, 5)))
+        best = _fuse(d, v.join(of, "query_id", "left_semi"), b).groupBy("query_id").agg(F.max("score").alias("max_rrf"))
+        low = (F.coalesce("top_vector", F.lit(0.0)) < 0.25) | (F.coalesce("max_rrf", F.lit(0.0)) < 0.017)
+        return cut(of.join(best, "query_id", "left").join(near, "query_id", "left").select("query_id", "max_rrf", "top_vector", low.alias("low")))
+
+    first = searched(titles)
+    poor = titles.join(first.where("low").select(F.col("query_id").alias("id")), "id", "left_semi")
+    second = searched(cut(poor.select("id", plugins.rewritten(F.col("t")).alias("t"))))
+    rows = first.where("not low").withColumn("stage", F.lit("first")).unionByName(second.withColumn("stage", F.when(F.col("low"), "none").otherwise("rewritten")))
+    return rows.select("query_id", "stage", "max_rrf", "top_vector", F.when(F.col("low"), F.lit(json.dumps(LOW_CONTEXT))).alias("error"))
+
+
+#: Similarity asked of a stored question in ``cache_exact_then_semantic``: the vectors of the tables are at random, so the usual 0.95 would find none.
+ALIKE = 0.3
+
+
+def cache_exact_then_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored answers for questions (titles) of a session (label): the same question first, failing that the most similar."""
+    d, e = _docs(spark, sf_dir), _vectors(spark, sf_dir)
+    entries = cut(e.join(d.select("id", F.substring_index("t", "\n", 1).alias("query")), "id").select("id", F.col("label").alias("session"), "query", "v"))
+    return memory.cache_lookup(entries.where("id % 100 = 0"), entries, ALIKE)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +182,7 @@ def low_context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(v, "query_id", "left").select("query_id", "max_rrf", "top_vector", low.alias("low_context"))
 
 
-QUERIES = {q.__name__: q for q in (cosine_topk, filtered_cosine_topk, recall_then_filter, semantic_cache, vector_norms, semantic_breakpoints, pca_projection, bm25_statistics, bm25_topk, rrf_fusion, low_context_gate)}
+QUERIES = {q.__name__: q for q in (session_hybrid, low_context_answers, cache_exact_then_semantic, cosine_topk, filtered_cosine_topk, recall_then_filter, semantic_cache, vector_norms, semantic_breakpoints, pca_projection, bm25_statistics, bm25_topk, rrf_fusion, low_context_gate)}
 
 _E = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 
@@ -130,7 +209,36 @@ lists AS (SELECT query_id, id, rank, rank AS pos FROM v UNION ALL SELECT query_i
 fused AS (SELECT query_id, text, round(sum(0.5 / (60 + rank)), 9) AS score, min(id) AS id, min(pos) AS pos FROM lists JOIN documents ON doc_id = id GROUP BY query_id, text),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, id) AS rank FROM fused) WHERE rank <= 10)"""
 
+def _session_sql(title: str, k: int) -> str:
+    """The session's fused list for questions that are ``title`` of a document's first line."""
+    bm = _bm(5).replace("split_part(t, chr(10), 1)", title)
+    return f"""WITH {_E}, {bm}, v AS ({_top(WISHED, 'r.label = q.label', True)}),
+bs AS (SELECT bm.* FROM bm JOIN e a ON a.id = bm.id JOIN e b ON b.id = bm.query_id WHERE a.label = b.label),
+lists AS (SELECT query_id, id, rank, rank AS pos FROM v UNION ALL SELECT query_id, id, rank, 1000000 + rank FROM bs),
+fused AS (SELECT query_id, text, round(sum(0.5 / (60 + rank)), 9) AS score, min(id) AS id, min(pos) AS pos FROM lists JOIN documents ON doc_id = id GROUP BY query_id, text),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, id) AS rank FROM fused) WHERE rank <= {k})"""
+
+
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower(split_part(t, chr(10), 1)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_ASKED = "a AS (SELECT doc_id AS query_id FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0)"
+_LOW = "coalesce(top_vector, 0) < 0.25 OR coalesce(max_rrf, 0) < 0.017"
+
+
+def _low_sql() -> str:
+    best = "SELECT query_id, max(score) AS max_rrf FROM ({}) GROUP BY query_id"
+    return f"""WITH {_E}, {_ASKED}, t AS (SELECT query_id, score AS top_vector FROM ({_top(1, 'r.label = q.label')})),
+one AS ({best.format(_session_sql('split_part(t, chr(10), 1)', 10) + ' SELECT * FROM f')}), two AS ({best.format(_session_sql(_PLAIN, 10) + ' SELECT * FROM f')}),
+x AS (SELECT a.query_id, one.max_rrf AS m1, two.max_rrf AS m2, top_vector, {_LOW.replace('max_rrf', 'one.max_rrf')} AS low1, {_LOW.replace('max_rrf', 'two.max_rrf')} AS low2 FROM a LEFT JOIN one USING (query_id) LEFT JOIN two USING (query_id) LEFT JOIN t USING (query_id))
+SELECT query_id, CASE WHEN NOT low1 THEN 'first' WHEN low2 THEN 'none' ELSE 'rewritten' END AS stage, CASE WHEN low1 THEN m2 ELSE m1 END AS max_rrf, top_vector, CASE WHEN low1 AND low2 THEN {quoted(json.dumps(LOW_CONTEXT))} END AS error FROM x"""
+
+
 SQL = {
+    "session_hybrid": _session_sql("split_part(t, chr(10), 1)", 10) + " SELECT query_id, id, score, rank FROM f",
+    "low_context_answers": _low_sql(),
+    "cache_exact_then_semantic": f"""WITH {_E}, n AS (SELECT e.id, label, v, split_part(text, chr(10), 1) AS q FROM e JOIN documents ON doc_id = e.id),
+x AS (SELECT a.id, max(b.id) AS source_id, 'exact' AS how, 1.0::DOUBLE AS score FROM n a JOIN n b ON a.label = b.label AND a.q = b.q AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY a.id),
+s AS (SELECT * FROM (SELECT a.id, b.id AS source_id, 'semantic' AS how, round(list_cosine_similarity(b.v, a.v), 6) AS score FROM n a JOIN n b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0 AND a.id NOT IN (SELECT id FROM x)) WHERE score >= {ALIKE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, source_id) = 1)
+SELECT * FROM x UNION ALL SELECT * FROM s""",
     "cosine_topk": f"WITH {_E} {_top(10)}",
     "filtered_cosine_topk": f"WITH {_E} {_top(10, 'r.label = q.label')}",
     "recall_then_filter": f"WITH {_E} SELECT * FROM ({_top(2)}) WHERE id IN (SELECT id FROM e WHERE label = 0)",

@@ -71,7 +71,7 @@ def token_estimate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def injection_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _with_probes(spark, _turns(spark, sf_dir, "user_query"))
-    return r.select("id", T.suspicion(F.col("t")).alias("reason"), T.suspicion_short(F.col("t")).alias("short_reason")).where("reason is not null or short_reason is not null or id < 0")
+    return r.select("id", T.suspicion(F.col("t")).alias("reason"), T.suspicion_pattern(F.col("t")).alias("pattern"), T.suspicion_short(F.col("t")).alias("short_reason")).where("reason is not null or short_reason is not null or id < 0")
 
 
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,12 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(T.pii_kind(F.col("v")).alias("kind")).agg(F.count("*").alias("n_values"), F.countDistinct("id").alias("n_texts"))
 
 
+def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per text and kind the distinct values found, in the order of their first place."""
+    r = _with_probes(spark, _turns(spark, sf_dir, "user_query"))
+    return r.select("id", F.explode(T.pii_findings(F.col("t"))).alias("kind", "found")).select("id", "kind", F.array_join("found", " | ").alias("found"))
+
+
 def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _with_probes(spark, _turns(spark, sf_dir, "ai_response")).where("t is not null")
     return r.select("id", T.validated(F.col("t")).alias("v")).select("id", "v.valid", "v.text", "v.reason")
@@ -148,7 +154,7 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (sanitize_documents, token_estimate_by_lang, injection_screen, pii_mask, pii_mask_short, pii_counts, output_validation, route_intent, document_scrub, corruption_ratio, element_quality, post_process, file_policy, file_validation, backoff_schedule)
+    for q in (sanitize_documents, token_estimate_by_lang, injection_screen, pii_mask, pii_mask_short, pii_counts, pii_findings, output_validation, route_intent, document_scrub, corruption_ratio, element_quality, post_process, file_policy, file_validation, backoff_schedule)
 }
 
 # ---- the same in SQL -----------------------------------------------------------------------------------
@@ -254,10 +260,13 @@ SQL = {
     "sanitize_documents": f"SELECT id, {_sanitised()} AS sanitized FROM {_D}",
     "token_estimate_by_lang": f"SELECT coalesce(lang, '?') AS lang, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS most FROM (SELECT lang, (len({_WORDS.format(c='text')}) * 4) // 3 AS n FROM documents) GROUP BY 1",
     "injection_screen": f"""SELECT * FROM (SELECT id, CASE WHEN length({_NORM.format(c='t')}) > {T.MAX_INPUT} THEN 'too long' {_chain(_NORM.format(c='t'), T.INJECTION)} WHEN {_like(_NORM.format(c='t'), T.any_of(T.SCRIPT))} THEN 'script' END AS reason,
+ CASE WHEN length({_NORM.format(c='t')}) > {T.MAX_INPUT} THEN NULL {' '.join(f"WHEN {_like(_NORM.format(c='t'), p)} THEN {quoted(p)}" for p in T.INJECTION)} END AS pattern,
  CASE {_chain('t', T.INJECTION_SHORT)} END AS short_reason FROM {_T.replace('{c}', 'user_query')}) WHERE reason IS NOT NULL OR short_reason IS NOT NULL OR id < 0""",
     "pii_mask": f"SELECT id, {_masked('t')} AS masked FROM {_D}",
     "pii_mask_short": f"SELECT id, {_masked_short('t')} AS masked FROM {_T.replace('{c}', 'ai_response')} WHERE t IS NOT NULL",
     "pii_counts": f"SELECT {_PII_KIND} AS kind, count(*) AS n_values, count(DISTINCT id) AS n_texts FROM (SELECT DISTINCT id, v FROM (SELECT id, unnest(regexp_extract_all(coalesce(t, ''), {quoted('(?i)(' + T.PII_COMBINED + ')')}, 1)) AS v FROM {_T.replace('{c}', 'user_query')})) GROUP BY 1",
+    "pii_findings": f"""WITH v AS (SELECT id, unnest(range(len(vs))) AS k, unnest(vs) AS v FROM (SELECT id, regexp_extract_all(coalesce(t, ''), {quoted('(?i)(' + T.PII_COMBINED + ')')}, 1) AS vs FROM {_T.replace('{c}', 'user_query')})),
+f AS (SELECT id, v, {_PII_KIND} AS kind, min(k) AS k FROM v GROUP BY ALL) SELECT id, kind, string_agg(v, ' | ' ORDER BY k) AS found FROM f GROUP BY id, kind""",
     "output_validation": f"""SELECT id, NOT leak AND NOT harm AS valid, CASE WHEN leak THEN masked WHEN harm THEN '[CONTENT BLOCKED]' ELSE t END AS text, CASE WHEN leak THEN 'personal data' WHEN harm THEN 'harm' END AS reason
  FROM (SELECT id, t, {_masked('t')} AS masked, {_like('t', T.PII_COMBINED)} AS leak, {_like('t', T.any_of(T.HARMFUL))} AS harm FROM {_T.replace('{c}', 'ai_response')} WHERE t IS NOT NULL)""",
     "route_intent": f"SELECT CASE WHEN {_like('lower(t)', _bounded(T.COGNITIVE))} THEN 'cognitive' ELSE 'primary' END AS route, {_table_case(chr(99) + 'oalesce(t, ' + chr(39) * 2 + ')', T.TOPICS, 'General Inquiry')} AS topic, {_like('lower(t)', _bounded(T.CONTINUATION))} AS continuation, count(*) AS n FROM {_T.replace('{c}', 'user_query')} GROUP BY ALL",

@@ -59,8 +59,11 @@ def fold_blocks(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("stream").applyInPandas(fold, OUT)
 
 
-def stream_blocks(tokens: DataFrame) -> DataFrame:
-    """The same over a streaming DataFrame: buffer and number of blocks are kept as state; a stream's NULL token ends it."""
+def stream_blocks(tokens: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """The same over a streaming DataFrame: buffer and number of blocks are kept as state.
+
+    A stream's NULL token ends it, as does ``idle_ms`` without a token: what is left is flushed and the state dropped.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -79,7 +82,8 @@ def stream_blocks(tokens: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((s.buffer, s.block, seen + len(rows)))
+            state.setTimeoutDuration(idle_ms)
         if events:
             yield _rows(key[0], events)
 
-    return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -19,6 +19,10 @@ class Breaker:
         self.failures, self.last, self.state = failures, last, state
         self.threshold, self.recovery, self.consecutive = threshold, recovery, consecutive
 
+    def allows(self, at: float) -> bool:
+        """Whether a call at time ``at`` would be let through."""
+        return self.state != "open" or at - self.last > self.recovery
+
     def call(self, at: float, ok: bool) -> bool:
         """Whether the call at time ``at`` is let through; its outcome counts only then."""
         if self.state == "open":
@@ -42,8 +46,23 @@ def _run(b: Breaker, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fold_breaker(calls: DataFrame) -> DataFrame:
-    """Calls (service, seq, at in seconds, ok) in the order of seq: whether each was let through and the state after it."""
-    return calls.groupBy("service").applyInPandas(lambda pdf: _run(Breaker(), pdf.sort_values("seq")), OUT)
+    """Calls (service, seq, at in seconds, ok) in the order of seq: whether each was let through and the state after it.
+
+    The calls of a service are read in sorted batches and only the breaker is kept between them, so a service may have any number.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, b = None, Breaker()
+        for pdf in batches:
+            out = []
+            for s, q, t, ok in zip(pdf["service"], pdf["seq"], pdf["at"], pdf["ok"]):
+                if s != now:
+                    now, b = s, Breaker()
+                out.append((s, q, b.call(t, bool(ok)), b.state))
+            yield pd.DataFrame(out, columns=["service", "seq", "allowed", "state"])
+
+    ordered = calls.select("service", "seq", "at", "ok").repartition("service").sortWithinPartitions("service", "seq")
+    return ordered.mapInPandas(fold, OUT)
 
 
 def stream_breaker(calls: DataFrame) -> DataFrame:
