@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,34 +24,91 @@ def terms(c: Column) -> Column:
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bits of the filter that keeps the postings of terms asked for; 1 MB, whatever the data.
+FILTER_BITS = 1 << 23
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(words) % np.uint64(FILTER_BITS)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Counter[str]]]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            words: list[str] = []
-            tf: list[int] = []
-            sizes, lengths = [], []
+            counts = []
             for t in part.column(1).to_pylist():
                 n = Counter(_SPACE.split(t))
                 n.pop("", None)
-                words += n
-                tf += n.values()
-                sizes.append(len(n))
-                lengths.append(sum(n.values()))
-            row = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(words, pa.string()), pa.array(tf, pa.int32()), pa.array(np.repeat(lengths, sizes), pa.int32())], names=["id", "term", "tf", "dl"])
+                counts.append(n)
+            yield part, counts
+
+
+def _postings(asked: np.ndarray | None):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, counts in _texts(batches):
+            words = np.array([w for n in counts for w in n], dtype=object)
+            tf = np.array([k for n in counts for k in n.values()], np.int32)
+            row, length = np.repeat(np.arange(len(counts)), [len(n) for n in counts]), np.array([sum(n.values()) for n in counts], np.int32)
+            if asked is not None and len(words):
+                b = _bits(words)
+                keep = ((asked[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
+                words, tf, row = words[keep], tf[keep], row[keep]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(words, pa.string()), pa.array(tf), pa.array(length[row], pa.int32())], names=["id", "term", "tf", "dl"])
+
+    return go
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df: Counter[str] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
+        df.clear()
+        return out
+
+    for _, counts in _texts(batches):
+        for n in counts:
+            df.update(n.keys())
+        if len(df) > 500_000:
+            yield flush()
+    yield flush()
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of docs (id, t). A text's terms are counted where the text is, so nothing is shuffled for it."""
-    return spread(docs.where("t is not null").select("id", "t")).mapInArrow(_count_terms, f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
+def _read(docs: DataFrame) -> DataFrame:
+    return spread(docs.where("t is not null").select("id", "t"))
 
 
-def statistics(docs: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row (n, avgdl, mean_idf) and (term, df, idf); a negative idf becomes a share of the mean."""
-    length = post.select("id", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-    size = docs.agg(F.count("*").alias("n")).join(F.broadcast(length)).select("n", (F.col("dl") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    df = cut(post.groupBy("term").agg(F.count("*").alias("df")))
+def postings(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) of docs (id, t); with ``asked`` (term) only of those terms, and few others that a hash filter lets pass.
+
+    A text's terms are counted where the text is, so nothing is shuffled for it.
+    """
+    bits = None
+    if asked is not None:
+
+        def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words = np.zeros(FILTER_BITS // 64, np.uint64)
+            for pdf in batches:
+                if len(pdf):
+                    b = np.unique(_bits(pdf["term"].to_numpy(object)))
+                    np.bitwise_or.at(words, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+            at = np.flatnonzero(words)
+            yield pd.DataFrame({"word": at, "mask": words[at].view(np.int64)})
+
+        rows = asked.select("term").mapInPandas(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[rows["word"].to_numpy().astype(np.int64)] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    return _read(docs).mapInArrow(_postings(bits), f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
+
+
+def statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row (n, avgdl, mean_idf) and (term, df, idf) over all terms; a negative idf becomes a share of the mean.
+
+    Document frequencies are summed up in each task before they are shuffled.
+    """
+    size = docs.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size(terms(F.col("t")))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    df = cut(_read(docs).mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")))
     raw = df.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row on the small side
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -61,13 +119,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = Tru
     """(query_id, id, score, rank): the k best of docs (id, t) for queries (id, t).
 
     Terms are joined on their key; a term that occurs twice in a query counts twice. Documents that share no term with the query
-    aren't ranked. Scores are rounded to six places, ties go to the least id.
+    aren't ranked. Scores are rounded to six places, ties go to the least id. Only postings of terms asked for are kept.
     """
-    post = cut(postings(docs))  # the index: read for the statistics and for the hits
-    size, idf = statistics(docs, post)
-    q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = cut(queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    size, idf = statistics(docs)
     wanted = q.join(idf, "term")
-    hit = post.join(wanted, "term").join(F.broadcast(size))
+    hit = postings(docs, q).join(wanted, "term").join(F.broadcast(size))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     if not keep_self:
         hit = hit.where("id <> query_id")
@@ -76,6 +133,86 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = Tru
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+class _Block:
+    """Texts that are searched for in others, and others in them."""
+
+    GRAM = 8
+
+    def __init__(self, texts: list[str]):
+        import ahocorasick
+
+        self.joined = "\x00".join(texts)
+        self.automaton = ahocorasick.Automaton()
+        for t in texts:
+            self.automaton.add_word(t, t)
+        self.automaton.make_automaton()
+        self.hashes = self._grams(self.joined)
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.hashes = self.hashes[self.order]
+        self._short: dict[str, bool] = {}
+
+    def _grams(self, s: str) -> np.ndarray:
+        c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(c) - self.GRAM + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(self.GRAM):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
+        return h
+
+    def within(self, t: str) -> bool:
+        """Whether one of the block's texts holds ``t``."""
+        if len(t) < self.GRAM:
+            if t not in self._short:
+                if len(self._short) > 100_000:
+                    self._short.clear()
+                self._short[t] = t in self.joined
+            return self._short[t]
+        g = self._grams(t)
+        # the rarest of its grams tells where it may stand
+        lo, hi = np.searchsorted(self.hashes, g), np.searchsorted(self.hashes, g, "right")
+        k = int((hi - lo).argmin())
+        return any(self.joined.startswith(t, int(p) - k) for p in self.order[lo[k] : hi[k]] if p >= k)
+
+    def holds_one(self, t: str) -> bool:
+        """Whether ``t`` holds one of the block's texts."""
+        return next(self.automaton.iter(t), None) is not None
+
+
+#: Characters of texts searched for that are sent to the tasks at once; more make more passes.
+SEARCHED = 4_000_000
+
+
+def highlights(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ids of rows (id, t) whose text holds, or lies in, the text of one of ``chunks`` (t), whatever the case.
+
+    Empty and NULL texts meet nothing. The chunks are searched for in blocks of bounded size.
+    """
+    out, block, size = None, [], 0
+    rows = rows.where("t <> ''").select("id", F.lower("t").alias("t"))
+    kind = dict(rows.dtypes)["id"]
+
+    def one(texts: list[str]) -> DataFrame:
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b = _Block(texts)
+            for pdf in batches:
+                yield pdf.loc[[b.holds_one(t) or b.within(t) for t in pdf["t"]], ["id"]]
+
+        return rows.mapInPandas(go, f"id {kind}")
+
+    for r in chunks.where("t <> ''").select(F.lower("t").alias("t")).distinct().orderBy("t").toLocalIterator():
+        if block and size + len(r["t"]) > SEARCHED:
+            done = cut(one(block))
+            out, block, size = done if out is None else out.unionByName(done), [], 0
+        block.append(r["t"])
+        size += len(r["t"])
+    if block:
+        out = one(block) if out is None else out.unionByName(one(block))
+    return out.distinct() if out is not None else rows.select("id").limit(0)
+
+
 def fuse(lists: list[DataFrame], weights: list[float], k: int, rrf_k: int = 60, text: str = "text") -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (query_id, id, text, rank): (query_id, id, text, score, rank).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
-from loamstone.operators import ingest, layout, memory, presentation
+from loamstone.operators import ingest, layout, lexical, memory, presentation
 from loamstone.plans.tables import cut, table
 from loamstone.plans.text_queries import _PII_KIND, _STRIP, _WORDS, _bounded, _like, _table_case, quoted
 
@@ -95,10 +95,10 @@ def flattened_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements whose text holds, or lies in, the text of their parent: joined on the parent's key."""
-    e = table(spark, sf_dir, "document_elements").select("element_id", "parent_id", F.lower("text").alias("t")).where("text <> ''").distinct()
-    p = e.select(F.col("element_id").alias("parent_id"), F.col("t").alias("pt"))
-    return e.join(p, "parent_id").where(F.col("t").contains(F.col("pt")) | F.col("pt").contains(F.col("t"))).select("element_id", "parent_id")
+    """Elements whose text holds, or lies in, a retrieved chunk: those of the elements whose id, by its last eight hexadecimal digits, is divisible by 100."""
+    e = table(spark, sf_dir, "document_elements").select(F.col("element_id").alias("id"), F.col("text").alias("t"))
+    asked = e.where(F.conv(F.right("id", F.lit(8)), 16, 10).cast("long") % 100 == 0)
+    return lexical.highlights(e, asked).withColumnRenamed("id", "element_id")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,7 @@ UNION ALL SELECT doc, filename, NULL, NULL, NULL, NULL, '[Document: ' || filenam
     "context_blocks": _context_sql(),
     "flattened_elements": """SELECT DISTINCT element_id, provenance.parser_name AS parser, coalesce(metadata['page'], CAST(provenance.page AS VARCHAR)) AS page, coalesce(metadata['parser_version'], provenance.parser_version) AS parser_version,
  CAST(coalesce(cardinality(metadata), 0) + CASE WHEN provenance.page IS NOT NULL AND metadata['page'] IS NULL THEN 1 ELSE 0 END + CASE WHEN provenance.parser_version IS NOT NULL AND metadata['parser_version'] IS NULL THEN 1 ELSE 0 END AS INT) AS n_keys, CAST(coalesce(len(child_ids), 0) AS INT) AS n_children FROM document_elements""",
-    "highlighted": "WITH e AS (SELECT DISTINCT element_id, parent_id, lower(text) AS t FROM document_elements WHERE text <> '') SELECT e.element_id, e.parent_id FROM e JOIN e p ON p.element_id = e.parent_id WHERE contains(e.t, p.t) OR contains(p.t, e.t)",
+    "highlighted": "WITH e AS (SELECT DISTINCT element_id, lower(text) AS t FROM document_elements WHERE text <> ''), c AS (SELECT DISTINCT t FROM e WHERE CAST('0x' || right(element_id, 8) AS BIGINT) % 100 = 0) SELECT DISTINCT element_id FROM e WHERE EXISTS (SELECT 1 FROM c WHERE contains(e.t, c.t) OR contains(c.t, e.t))",
     "working_memory": f"WITH {_TURN} SELECT turn_id, {_MEM} AS memory FROM t",
     "episodic_summary": f"WITH {_TURN} SELECT turn_id, {_SUM} AS summary FROM t",
     "topic_shift": f"""WITH {_TURN}, a AS (SELECT *, {_like("lower(coalesce(query, ''))", _bounded(T.CONTINUATION))} AS continuation, {_table_case("coalesce(query, '')", T.TOPICS, 'General Inquiry')} AS detected, row_number() OVER (PARTITION BY session ORDER BY turn) AS rn FROM t),

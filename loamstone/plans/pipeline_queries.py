@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
-from loamstone.operators import chunking, lexical, plugins
-from loamstone.plans.tables import cut, table
+from loamstone.operators import chunking, layout, lexical, memory, plugins, presentation, vectors
+from loamstone.plans.search_queries import LOW_CONTEXT
+from loamstone.plans.tables import cut, spread, table
 from loamstone.streaming import blocks, breaker
 
 
@@ -31,25 +34,55 @@ def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaker.fold_breaker(r.where("service is not null"))
 
 
+def _searched(d: DataFrame, dv: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fused hits (query_id, id, rank) of questions (id, t), and per question the best scores and whether they are too low."""
+    v = cut(vectors.cosine_topk(dv, q.select("id", plugins.embed(F.col("t")).alias("v")), 10))
+    b = cut(lexical.bm25_topk(d, q.select("id", "t"), 5))
+    # equal texts are one entry: told by their digest, so that no text is shuffled for it
+    hit = v.select("id").unionByName(b.select("id")).distinct()
+    digest = cut(d.join(hit, "id", "left_semi").select("id", F.md5("t").alias("text")).distinct())
+    fused = cut(lexical.fuse([v.join(digest, "id"), b.join(digest, "id")], [0.5, 0.5], 10))
+    best = fused.groupBy("query_id").agg(F.max("score").alias("max_rrf"))
+    top = v.groupBy("query_id").agg(F.max("score").alias("top_vector"))
+    scores = q.select(F.col("id").alias("query_id")).join(best, "query_id", "left").join(top, "query_id", "left")
+    low = (F.coalesce("top_vector", F.lit(0.0)) < 0.25) | (F.coalesce("max_rrf", F.lit(0.0)) < 0.008)
+    return fused.select("query_id", "id", "rank"), cut(scores.withColumn("low", low))
+
+
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way of a question, for the turns whose id is divisible by 100: screen, mask, retrieve, context, generate, ground, validate.
+    """The whole way of a question, for the turns whose id is divisible by 100.
 
-    The context joins the whole texts of the hits by rank and is cut once, as a whole, to its part of the window.
+    Screen and mask; search by vector and by terms and fuse; with too little context rewrite the question and search once more, or
+    answer with the error; put the hits' sections and what is remembered into their parts of the window; generate, and correct what isn't
+    grounded; validate and present. Vectors and answers are those of the stand-ins of ``plugins``.
     """
-    q = table(spark, sf_dir, "chat_turns").where("turn_id % 100 = 0 and user_query is not null").select(F.col("turn_id").alias("id"), F.col("user_query").alias("raw")).distinct()
-    q = q.withColumn("blocked", T.suspicion(F.col("raw"))).withColumn("t", T.mask_pii(T.sanitise(F.col("raw"))))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    hits = cut(lexical.bm25_topk(d, q.where("blocked is null").select("id", "t"), 3))
-    texts = d.join(hits.select("id").distinct(), "id", "left_semi").distinct()
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "t")))
-    joined = hits.join(texts, "id").groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n---\n\n").alias("joined"))
-    none = F.lit("")
-    context = joined.select("query_id", T.allocate(F.col("joined"), none, none, none)["context"].alias("context"))
-    rows = q.join(context, q["id"] == context["query_id"], "left").select("id", "t", "blocked", F.coalesce("context", F.lit("")).alias("context"), T.route(F.col("t")).alias("route"))
+    t = table(spark, sf_dir, "chat_turns").select("turn_id", F.col("session_id").alias("session"), "turn", F.col("user_query").alias("query"), F.col("ai_response").alias("response")).distinct()
+    known = memory.topics(memory.episodic_summary(memory.working_memory(t))).where("turn_id % 100 = 0 and query is not null")
+    q = cut(
+        known.select(F.col("turn_id").alias("id"), T.suspicion(F.col("query")).alias("blocked"), T.mask_pii(T.sanitise(F.col("query"))).alias("t"), "memory", "summary", F.col("shift").alias("render_header"))
+    )
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    dv = cut(spread(d).select("id", plugins.embed(F.col("t")).alias("v")).dropDuplicates(["id"]))
+    asked = q.where("blocked is null").select("id", "t")
+    first, scores = _searched(d, dv, asked)
+    poor = cut(asked.join(scores.where("low").select(F.col("query_id").alias("id")), "id", "left_semi").select("id", plugins.rewritten(F.col("t")).alias("t")))
+    second, again = _searched(d, dv, poor)
+    hits = cut(first.join(scores.where("low").select("query_id"), "query_id", "left_anti").unionByName(second.join(again.where("not low").select("query_id"), "query_id", "left_semi")))
+    texts = d.join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "doc").withColumnRenamed("t", "text")
+    sections = layout.document_sections(texts, "\n")
+    context = layout.context(hits.join(sections, hits["id"] == sections["doc"]).select("query_id", "rank", "section", "text", "breadcrumb"))
+    parts = q.join(context, q["id"] == context["query_id"], "left").select(
+        "id", "t", "blocked", "render_header", F.col("context").isNull().alias("low"), T.route(F.col("t")).alias("route"), T.allocate(F.col("context"), F.col("summary"), F.lit(""), F.col("memory")).alias("a")
+    )
+    rows = parts.select("id", "t", "blocked", "render_header", "low", "route", F.col("a.context").alias("context"), T.prompt(F.col("a.context"), F.col("a.memory"), F.col("t")).alias("told"))
     done = plugins.generate(rows, "t", "context")
-    v = T.validated(F.coalesce("answer", F.lit("")))
-    answer = F.when(F.col("blocked").isNotNull(), F.concat(F.lit("[BLOCKED: "), "blocked", F.lit("]"))).when(F.col("context") == "", "[LOW CONTEXT]").otherwise(T.repair_headers(v["text"]))
-    return done.select("id", "route", answer.alias("answer"), v["valid"].alias("valid"), plugins.grounded(F.col("answer"), F.col("context")).alias("grounded"), T.token_estimate(F.col("context")).alias("context_tokens"))
+    fit = plugins.grounded(F.col("answer"), F.col("context"))
+    done = done.withColumn("grounded", fit).withColumn("final", plugins.corrected(F.coalesce("answer", F.lit("")), F.col("context"), fit))
+    v = done.withColumn("v", T.validated(F.col("final"))).select("id", "blocked", "low", "route", "grounded", "render_header", F.col("v.valid").alias("valid"), F.col("v.text").alias("t"), T.token_estimate(F.col("told")).alias("prompt_tokens"))
+    v = cut(v)
+    shown = presentation.present(v.select("id", "t", "render_header"))
+    answer = F.when(F.col("blocked").isNotNull(), F.concat(F.lit("[BLOCKED: "), "blocked", F.lit("]"))).when(F.col("low"), F.lit(json.dumps(LOW_CONTEXT))).otherwise(F.col("presented"))
+    return v.join(shown, "id").select("id", "route", answer.alias("answer"), "valid", "grounded", "prompt_tokens")
 
 
 def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def _titles(docs: DataFrame) -> DataFrame:
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    size, idf = lexical.statistics(d, lexical.postings(d))
+    size, idf = lexical.statistics(d)
     return size.select("n", F.round("avgdl", 4).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf")).join(idf.agg(F.count("*").alias("n_terms"), F.max("df").alias("max_df")))
 
 
