@@ -27,14 +27,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
 from loamstone.plans.tables import cut, spread
 
 CAPACITY, GROUPS, SMALL_SHARE = 2048, 96, 8
 #: Parts into which the items of one size are ranked; no size is gathered in one task.
 RANK_PARTS = 64
+#: Rows of a plan (40 bytes each) that are sent to every task.
+PLAN_ROWS = 500_000
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -248,7 +252,7 @@ def _measure(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = load_tokenizer(path).encode_ordinary
         for batch in batches:
-            sizes = [None if t is None else len(count(t)) for lo in range(0, batch.num_rows, 200) for t in batch.column(1).slice(lo, 200).to_pylist()]
+            sizes = [None if t is None else len(count(t)) for lo, hi in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 200) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=["k", "tokens"])
 
     return go
@@ -269,10 +273,12 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer
     counts = cut(parts.groupBy("size", "part").agg(F.count("*").alias("n")))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("size").orderBy("part")) - F.col("n")).select("size", "part", "base")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    where = spark.createDataFrame(intervals(plan(histogram, capacity)), "size long, r0 long, r1 long, c0 long, position long")
+    planned = intervals(plan(histogram, capacity))
+    where = spark.createDataFrame(planned, "size long, r0 long, r1 long, c0 long, position long")
+    # the plan's size depends on the capacity and the number of groups; a larger one is joined by its key
+    where = F.broadcast(where) if len(planned) <= PLAN_ROWS else where
     ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("size", "part").orderBy("k", "piece_no")) - 1).join(base, ["size", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
-    # the plan's size depends on the capacity and the number of groups only
-    placed = ranked.join(F.broadcast(where), (ranked["size"] == where["size"]) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1"))).select(
+    placed = ranked.join(where, (ranked["size"] == where["size"]) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1"))).select(
         "k", "piece_no", "n_pieces", "token_start", ranked["size"].alias("n_tokens"), (F.col("c0") + F.col("rank") - F.col("r0")).alias("container_id"), F.col("position").cast("int").alias("position")
     )
     none = F.col("tokens").isNull()

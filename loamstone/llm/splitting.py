@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.llm.lookup import portions
+
 LIMIT, OVERLAP = 2000, 100
 
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
@@ -104,8 +106,8 @@ def pieces(df: DataFrame, key: str, text: str, page: Column, limit: int = LIMIT,
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo, hi in portions(list(map(len, pdf["t"])), 256):
+                part = pdf.iloc[lo:hi]
                 out = [
                     (k, p, i, len(cuts), s, e, t[s:e])
                     for k, p, t, cuts in zip(part["k"], part["page"], part["t"], split_texts(list(part["t"]), limit, overlap))
