@@ -103,6 +103,19 @@ def context(blocks: DataFrame) -> DataFrame:
     return once.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
+def within_budget(hits: DataFrame, sections: DataFrame, chars: int) -> DataFrame:
+    """Blocks for ``context``: of the sections (doc, section, breadcrumb, text) of hits (query_id, id, rank) those that begin within the first ``chars`` characters.
+
+    Places are found by lengths and digests alone, so that only texts that come into a context are moved.
+    """
+    meta = sections.select(F.col("doc").alias("id"), "section", F.md5("text").alias("digest"), (F.length("text") + F.when(F.col("breadcrumb") != "", F.length("breadcrumb") + len("[Category: ]\n")).otherwise(0) + len("\n\n---\n\n")).alias("n"))
+    placed = hits.join(meta, "id")
+    once = placed.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "digest").orderBy("rank", "section"))).where("rn = 1")
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("rank", "section").rowsBetween(Window.unboundedPreceding, -1))
+    kept = once.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars).select("query_id", "rank", F.col("id").alias("doc"), "section")
+    return kept.join(sections.select("doc", "section", "breadcrumb", "text"), ["doc", "section"]).select("query_id", "rank", "section", "text", "breadcrumb")
+
+
 #: Bytes above which a file isn't read.
 LARGEST_FILE = 100 * 1024 * 1024
 

@@ -70,7 +70,7 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = cut(first.join(scores.where("low").select("query_id"), "query_id", "left_anti").unionByName(second.join(again.where("not low").select("query_id"), "query_id", "left_semi")))
     texts = d.join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "doc").withColumnRenamed("t", "text")
     sections = layout.document_sections(texts, "\n")
-    context = layout.context(hits.join(sections, hits["id"] == sections["doc"]).select("query_id", "rank", "section", "text", "breadcrumb"))
+    context = layout.context(layout.within_budget(hits, sections, T.budget()[0]))
     parts = q.join(context, q["id"] == context["query_id"], "left").select(
         "id", "t", "blocked", "render_header", F.col("context").isNull().alias("low"), T.route(F.col("t")).alias("route"), T.allocate(F.col("context"), F.col("summary"), F.lit(""), F.col("memory")).alias("a")
     )

@@ -59,10 +59,11 @@ def fold_blocks(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("stream").applyInPandas(fold, OUT)
 
 
-def stream_blocks(tokens: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def stream_blocks(tokens: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
     """The same over a streaming DataFrame: buffer and number of blocks are kept as state.
 
-    A stream's NULL token ends it, as does ``idle_ms`` without a token: what is left is flushed and the state dropped.
+    A stream's NULL token ends it, as does ``idle_ms`` without a token: what is left is flushed and the state dropped. A query
+    over what is available now needs None, as waiting for the time to pass would keep it from ending.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -82,8 +83,9 @@ def stream_blocks(tokens: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             state.remove()
         else:
             state.update((s.buffer, s.block, seen + len(rows)))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if events:
             yield _rows(key[0], events)
 
-    return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -186,7 +186,7 @@ def test_blocks_in_batch_and_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "stream string, seq long, token string")
     want = {tuple(r) for r in fold_blocks(df).collect()}
     df.unionByName(spark.createDataFrame([("a", 99, None), ("b", 99, None)], "stream string, seq long, token string")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = stream_blocks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("blocks").outputMode("append").trigger(availableNow=True).start()
+    q = stream_blocks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle_ms=None).writeStream.format("memory").queryName("blocks").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from blocks").collect()} == want and len(want) == 6
 
