@@ -115,22 +115,46 @@ def statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return size.join(F.broadcast(mean)), idf
 
 
+#: Heaviest terms of a query that tell how good its k-th hit is at least.
+PROBES = 3
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the k best of docs (id, t) for queries (id, t).
 
-    Terms are joined on their key; a term that occurs twice in a query counts twice. Documents that share no term with the query
-    aren't ranked. Scores are rounded to six places, ties go to the least id. Only postings of terms asked for are kept.
+    A term that occurs twice in a query counts twice. Documents that share no term with the query aren't ranked. Scores are
+    rounded to six places, ties go to the least id.
+
+    Only postings of terms asked for are kept. The hits of a query's heaviest terms bound its k-th score from below; terms
+    that all together can't reach that bound bring in no document, and are looked up for the documents that the others brought in. So
+    frequent words aren't joined with all documents that have them, and no hit is lost.
     """
-    q = cut(queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = cut(q)
     size, idf = statistics(docs)
-    wanted = q.join(idf, "term")
-    hit = postings(docs, q).join(wanted, "term").join(F.broadcast(size))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    if not keep_self:
-        hit = hit.where("id <> query_id")
-    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    w = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "term")
+    most = F.col("weight") * (K1 + 1)
+    wanted = q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    # what a term and all lighter ones can add up to
+    wanted = cut(wanted.withColumn("place", F.row_number().over(w)).withColumn("reach", F.sum(most).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    post = cut(postings(docs, q).join(F.broadcast(size)).select("id", "term", part.alias("part")))
+
+    def scored(asked: DataFrame) -> DataFrame:
+        hit = post.join(asked.select("query_id", "term", "weight"), "term")
+        hit = hit if keep_self else hit.where("id <> query_id")
+        return hit.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
+
+    best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "id")
+    probed = scored(wanted.where(F.col("place") <= PROBES)).withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
+    split = cut(wanted.join(probed.select("query_id", F.col("s").alias("least")), "query_id", "left").withColumn("light", F.coalesce(F.col("reach") < F.col("least") - 1e-6, F.lit(False))))
+    light = split.where("light")
+    bounds = split.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("light"), F.col("reach"))), F.lit(0.0)).alias("more"), F.coalesce(F.max("least"), F.lit(0.0)).alias("least"))
+    found = cut(scored(split.where("not light")).join(bounds, "query_id").where("s + more >= least - 1e-6").select("query_id", "id", "s"))
+    added = found.join(light.select("query_id", "term", "weight"), "query_id").join(post, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("a"))
+    total = found.join(added, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("s") + F.coalesce("a", F.lit(0.0)), 6).alias("score"))
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return total.withColumn("rank", F.row_number().over(ranked).cast("long")).where(F.col("rank") <= k)
 
 
 class _Block:
