@@ -11,7 +11,8 @@ against all their occurrences, over the whole data, in count-min tables of fixed
 Defined results: NULL and empty texts hold nothing and come out unchanged; repeated rows of a key count
 once; where matches overlap, the earlier type in ``TYPES`` holds. A street address is looked for in the seven words before
 and the eight after a word that tells one, an e-mail address in the whole word around its sign; phone numbers have 9 to 16 digits, or 7 on
-with a plus sign or a cue, as have spelled ones. A word must follow ``CUED`` cues to be learnt as a name.
+with a plus sign or a cue, as have spelled ones. A name that no cue of the column
+goes before isn't learnt (``CUED``).
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ TYPES = ("email", "street_address", "phone", "id_number", "name")
 BUCKETS = 1 << 20
 _CHUNK = 400
 _ANY_WORD = re.compile(r"[^\W\d_]+")
-#: Times a word must follow a cue to count as a name, and the least share of its occurrences that do.
-CUED, CUED_SHARE = 3, 0.12
+#: Times a word must follow a cue to count as a name, and the least share of its occurrences that do; the fewer cues, the larger the share.
+CUED = ((3, 0.12), (2, 0.2), (1, 0.34))
 #: A word this frequent (per million words) is no unknown surname.
 COMMON_PER_MILLION = 12.0
 
@@ -383,8 +384,7 @@ class Names:
             new = words
         if new:
             n, g, f = (self._get(new, j) for j in range(3))
-            given = (g >= CUED) & (g >= CUED_SHARE * n)
-            family = (f >= CUED) & (f >= CUED_SHARE * n)
+            given, family = (np.logical_or.reduce([(c >= k) & (c >= share * n) for k, share in CUED]) for c in (g, f))
             for w, *x in zip(new, given.tolist(), family.tolist(), (n <= self.common).tolist()):
                 self._memo[w] = tuple(x)
 
