@@ -26,6 +26,16 @@ def block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.fold_blocks(tokens)
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def block_stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every answer's blocks, in order and without blanks: nothing may be lost on the way."""
+    b = block_stream(spark, sf_dir).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("block", "content"))).alias("bs"))
+    joined = F.regexp_replace(F.array_join(F.transform("bs", lambda x: x["content"]), ""), _BLANK, "")
+    return b.select(F.col("stream").cast("long").alias("turn_id"), F.md5(joined).alias("text_md5"))
+
+
 def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A breaker per session over its requests in order."""
     r = table(spark, sf_dir, "requests").where("ts is not null").select(
@@ -103,8 +113,9 @@ def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(named, "key", "t")
 
 
-QUERIES = {q.__name__: q for q in (recursive_chunks, block_stream, breaker_fold, answer_questions, smart_chunks)}
+QUERIES = {q.__name__: q for q in (recursive_chunks, block_stream, block_stream_text, breaker_fold, answer_questions, smart_chunks)}
 SQL = {
+    "block_stream_text": f"SELECT DISTINCT turn_id, md5(regexp_replace(ai_response, '{_BLANK}', '', 'g')) AS text_md5 FROM chat_turns WHERE regexp_replace(ai_response, '{_BLANK}', '', 'g') <> ''",
     "breaker_fold": f"""WITH RECURSIVE r AS (SELECT session_id AS service, request_id AS seq, epoch(ts) AS at_s, error IS NULL AS ok, row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS rn FROM requests WHERE ts IS NOT NULL AND session_id IS NOT NULL),
 f AS (
   SELECT DISTINCT service, CAST(0 AS BIGINT) AS rn, 0 AS failures, CAST(0 AS DOUBLE) AS last_s, 'closed' AS state, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS allowed FROM r
