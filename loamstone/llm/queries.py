@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.llm import encoding, leakage, near_duplicates, packing, pairs, personal, scans, shared_spans, splitting
-from loamstone.plans.tables import table
+from loamstone.plans.tables import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,31 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p8_containers(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, containers that hold too much, and pieces that lie over another or beyond the end."""
+    packed = cut(p8_containers(spark, sf_dir))
+    p = packed.where("container_id is not null and n_tokens > 0")
+    next_at = F.lead("position").over(Window.partitionBy("container_id").orderBy("position"))
+    wrong = F.col("position") + F.col("n_tokens") > F.coalesce(next_at, F.lit(packing.CAPACITY))
+    docs = packed.agg(F.countDistinct("doc_id").alias("docs"))
+    full = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"))
+    return docs.join(full).join(p.withColumn("wrong", wrong).agg(F.count_if("wrong").alias("misplaced")))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per element that is cut: its length, whether its pieces keep to the limit and the overlap, and give its text again."""
+    p = p7_pieces(spark, sf_dir)
+    ordered = F.array_sort(F.collect_list(F.struct("piece_no", "start", "stop", "text")))
+    g = p.groupBy("element_id").agg(ordered.alias("ps"))
+    fits = F.forall("ps", lambda x: (F.length(x["text"]) <= splitting.LIMIT) & (F.length(x["text"]) == x["stop"] - x["start"]))
+    joined = F.aggregate("ps", F.struct(F.lit("").alias("t"), F.lit(True).alias("ok")), lambda a, x: F.struct(
+        F.concat(a["t"], F.substring(x["text"], F.length(a["t"]) - x["start"] + 1, F.lit(2**30))).alias("t"),
+        (a["ok"] & (F.length(a["t"]) - x["start"]).between(0, splitting.OVERLAP)).alias("ok"),
+    ))
+    r = g.select("element_id", fits.alias("fits"), joined.alias("j"))
+    return r.select("element_id", F.length("j.t").cast("long").alias("chars"), F.md5("j.t").alias("text_md5"), (F.col("fits") & F.col("j.ok")).alias("sound"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -105,7 +130,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_portion(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_groups, p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_groups, p3_found, p3_masked, p5_found, p5_restored, p6_found, p6_repaired, p7_found, p7_pieces, p7_checks, p8_containers, p8_report, p8_checks, p9_found, p9_leaks, p10_found, p10_spans, p10_shared)}
 
 SQL = {
     "p2_found": r"""WITH t AS (SELECT DISTINCT element_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM document_elements),
@@ -117,6 +142,8 @@ c AS (SELECT DISTINCT a.element_id AS a, b.element_id AS b FROM p a JOIN p b USI
 o AS (SELECT c.a, c.b, count(*) AS common FROM c JOIN s x ON x.element_id = c.a JOIN s y ON y.element_id = c.b AND y.g = x.g GROUP BY ALL)
 SELECT a AS element_id_a, b AS element_id_b FROM o JOIN n x ON x.element_id = a JOIN n y ON y.element_id = b WHERE common >= 0.7 * (x.n + y.n - common) - 1e-9""",
     "p7_found": "SELECT DISTINCT element_id, provenance.page AS page FROM document_elements WHERE length(text) > 2000",
+    "p7_checks": "SELECT DISTINCT element_id, length(text) AS chars, md5(text) AS text_md5, true AS sound FROM document_elements WHERE length(text) > 2000",
+    "p8_checks": "SELECT count(DISTINCT doc_id) AS docs, 0 AS overfull, 0 AS misplaced FROM documents",
     "p9_found": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
@@ -130,7 +157,6 @@ m AS (SELECT doc_id, item_id, i, j, n, q FROM dg JOIN bg USING (g)),
 p AS (SELECT DISTINCT doc_id, item_id, n, q, unnest(range(j, j + 12)) AS k FROM m)
 SELECT doc_id, item_id, count(*)::INT AS shared_words, count(*) / n AS item_share, count(*) FILTER (k <= q) / nullif(q, 0) AS question_share, count(*) FILTER (k > q) / nullif(n - q, 0) AS answer_share, any_value(f)::INT AS at_word
 FROM p JOIN (SELECT doc_id, item_id, min(i) - 1 AS f FROM m GROUP BY ALL) USING (doc_id, item_id) GROUP BY doc_id, item_id, n, q""",
-    "p2_groups": None,
     "p10_shared": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
 w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
 o AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1),
