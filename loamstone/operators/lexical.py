@@ -24,14 +24,6 @@ def terms(c: Column) -> Column:
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-#: Bits of the filter that keeps the postings of terms asked for; 1 MB, whatever the data.
-FILTER_BITS = 1 << 23
-
-
-def _bits(words: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(words) % np.uint64(FILTER_BITS)
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Counter[str]]]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -44,19 +36,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, counts
 
 
-def _postings(asked: np.ndarray | None):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts in _texts(batches):
-            words = np.array([w for n in counts for w in n], dtype=object)
-            tf = np.array([k for n in counts for k in n.values()], np.int32)
-            row, length = np.repeat(np.arange(len(counts)), [len(n) for n in counts]), np.array([sum(n.values()) for n in counts], np.int32)
-            if asked is not None and len(words):
-                b = _bits(words)
-                keep = ((asked[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-                words, tf, row = words[keep], tf[keep], row[keep]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(words, pa.string()), pa.array(tf), pa.array(length[row], pa.int32())], names=["id", "term", "tf", "dl"])
-
-    return go
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, counts in _texts(batches):
+        row, length = np.repeat(np.arange(len(counts)), [len(n) for n in counts]), np.array([sum(n.values()) for n in counts], np.int32)
+        words, tf = pa.array([w for n in counts for w in n], pa.string()), pa.array([k for n in counts for k in n.values()], pa.int32())
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), words, tf, pa.array(length[row], pa.int32())], names=["id", "term", "tf", "dl"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,27 +63,9 @@ def _read(docs: DataFrame) -> DataFrame:
     return spread(docs.where("t is not null").select("id", "t"))
 
 
-def postings(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) of docs (id, t); with ``asked`` (term) only of those terms, and few others that a hash filter lets pass.
-
-    A text's terms are counted where the text is, so nothing is shuffled for it.
-    """
-    bits = None
-    if asked is not None:
-
-        def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words = np.zeros(FILTER_BITS // 64, np.uint64)
-            for pdf in batches:
-                if len(pdf):
-                    b = np.unique(_bits(pdf["term"].to_numpy(object)))
-                    np.bitwise_or.at(words, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-            at = np.flatnonzero(words)
-            yield pd.DataFrame({"word": at, "mask": words[at].view(np.int64)})
-
-        rows = asked.select("term").mapInPandas(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
-        bits[rows["word"].to_numpy().astype(np.int64)] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    return _read(docs).mapInArrow(_postings(bits), f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, term, tf, dl) of docs (id, t), as an index holds them. A text's terms are counted where the text is, so nothing is shuffled for it."""
+    return _read(docs).mapInArrow(_postings, f"id {dict(docs.dtypes)['id']}, term string, tf int, dl int")
 
 
 def statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +81,67 @@ def statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return size.join(F.broadcast(mean)), idf
 
 
-#: Heaviest terms of a query that tell how good its k-th hit is at least.
-PROBES = 3
+#: Terms of queries sent to the tasks at once (some 100 bytes each); more make more passes over the documents.
+SHIPPED_TERMS = 500_000
+#: Queries and documents whose scores are in memory at once.
+_QUERIES, _DOCS = 2048, 1000
+
+
+class _Asked:
+    """A block of weighted queries, and which of them ask for a term."""
+
+    def __init__(self, rows: list[tuple[object, str, float]]):
+        self.ids = list(dict.fromkeys(r[0] for r in rows))
+        at = {q: i for i, q in enumerate(self.ids)}
+        self.parts: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
+        for lo in range(0, len(self.ids), _QUERIES):
+            found: dict[str, list[tuple[int, float]]] = {}
+            for q, t, w in rows:
+                if lo <= at[q] < lo + _QUERIES:
+                    found.setdefault(t, []).append((at[q] - lo, w))
+            self.parts.append({t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in found.items()})
+        self.terms = {t for p in self.parts for t in p}
+        self.kind: pa.DataType = pa.int64()
+
+
+def _score(asked: _Asked, avgdl: float, k: int, keep_self: bool, kind: pa.DataType):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = np.array(asked.ids, dtype=object)
+        least = np.full(len(queries), -np.inf)  # the k-th best score that this task has met
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _DOCS):
+                part = batch.slice(lo, _DOCS)
+                ids = np.array(part.column(0).to_pylist(), dtype=object)
+                held: dict[str, tuple[list[int], list[float]]] = {}
+                for d, t in enumerate(part.column(1).to_pylist()):
+                    n = Counter(_SPACE.split(t))
+                    n.pop("", None)
+                    norm = K1 * (1 - B + B * sum(n.values()) / avgdl) if avgdl else K1
+                    for w in n.keys() & asked.terms:
+                        docs, parts = held.setdefault(w, ([], []))
+                        docs.append(d)
+                        parts.append(n[w] * (K1 + 1) / (n[w] + norm))
+                arrays = {w: (np.array(x), np.array(y)) for w, (x, y) in held.items()}
+                for j, mine in enumerate(asked.parts):
+                    base = j * _QUERIES
+                    names = queries[base : base + _QUERIES]
+                    score, met = np.zeros((len(names), len(ids))), np.zeros((len(names), len(ids)), bool)
+                    for w in mine.keys() & arrays.keys():
+                        (q, weight), (d, tf) = mine[w], arrays[w]
+                        cell = np.ix_(q, d)
+                        score[cell] += weight[:, None] * tf
+                        met[cell] = True
+                    if not keep_self:
+                        met &= names[:, None] != ids[None, :]
+                    score = np.where(met, np.round(score, 6), -np.inf)
+                    if len(ids) > k:
+                        least[base : base + len(names)] = np.maximum(least[base : base + len(names)], np.partition(score, -k, axis=1)[:, -k])
+                    # all that reach it, ties too
+                    q, d = np.nonzero((score >= least[base : base + len(names), None]) & met)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), asked.kind), pa.array(ids[d].tolist(), kind), pa.array(score[q, d])], names=["query_id", "id", "score"])
+
+    return go
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True) -> DataFrame:
@@ -125,36 +150,34 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, keep_self: bool = Tru
     A term that occurs twice in a query counts twice. Documents that share no term with the query aren't ranked. Scores are
     rounded to six places, ties go to the least id.
 
-    Only postings of terms asked for are kept. The hits of a query's heaviest terms bound its k-th score from below; terms
-    that all together can't reach that bound bring in no document, and are looked up for the documents that the others brought in. So
-    frequent words aren't joined with all documents that have them, and no hit is lost.
+    The queries are set against all documents in blocks of bounded size: each task scores its documents where their texts are and
+    gives only what may be among a query's k best, so that neither postings nor scores of frequent words are shuffled.
     """
     q = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("t"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    q = cut(q)
     size, idf = statistics(docs)
-    w = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "term")
-    most = F.col("weight") * (K1 + 1)
-    wanted = q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    # what a term and all lighter ones can add up to
-    wanted = cut(wanted.withColumn("place", F.row_number().over(w)).withColumn("reach", F.sum(most).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    post = cut(postings(docs, q).join(F.broadcast(size)).select("id", "term", part.alias("part")))
-
-    def scored(asked: DataFrame) -> DataFrame:
-        hit = post.join(asked.select("query_id", "term", "weight"), "term")
-        hit = hit if keep_self else hit.where("id <> query_id")
-        return hit.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
-
-    best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "id")
-    probed = scored(wanted.where(F.col("place") <= PROBES)).withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
-    split = cut(wanted.join(probed.select("query_id", F.col("s").alias("least")), "query_id", "left").withColumn("light", F.coalesce(F.col("reach") < F.col("least") - 1e-6, F.lit(False))))
-    light = split.where("light")
-    bounds = split.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("light"), F.col("reach"))), F.lit(0.0)).alias("more"), F.coalesce(F.max("least"), F.lit(0.0)).alias("least"))
-    found = cut(scored(split.where("not light")).join(bounds, "query_id").where("s + more >= least - 1e-6").select("query_id", "id", "s"))
-    added = found.join(light.select("query_id", "term", "weight"), "query_id").join(post, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("a"))
-    total = found.join(added, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("s") + F.coalesce("a", F.lit(0.0)), 6).alias("score"))
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return total.withColumn("rank", F.row_number().over(ranked).cast("long")).where(F.col("rank") <= k)
+    wanted = cut(q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    avgdl = float(size.first()["avgdl"])
+    kinds = {"id": dict(docs.dtypes)["id"], "query_id": dict(queries.dtypes)["id"]}
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    read, out = _read(docs), None
+
+    def one(rows: list[tuple[object, str, float]]) -> DataFrame:
+        asked = _Asked(rows)
+        asked.kind = arrow[kinds["query_id"]]
+        return read.mapInArrow(_score(asked, avgdl, k, keep_self, arrow[kinds["id"]]), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+    block: list[tuple[object, str, float]] = []
+    for r in wanted.orderBy("query_id", "term").toLocalIterator():
+        if len(block) >= SHIPPED_TERMS and r["query_id"] != block[-1][0]:
+            done = cut(one(block))
+            out, block = done if out is None else out.unionByName(done), []
+        block.append((r["query_id"], r["term"], r["weight"]))
+    if block:
+        out = one(block) if out is None else out.unionByName(one(block))
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, id {kinds['id']}, score double, rank long")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return out.distinct().withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 class _Block:

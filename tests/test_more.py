@@ -92,11 +92,9 @@ def test_highlights_in_both_directions(spark, monkeypatch):
     assert lexical.highlights(spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([], "t string")).count() == 0
 
 
-def test_postings_of_terms_asked_for(spark):
+def test_postings(spark):
     d = spark.createDataFrame([(1, "a b b c"), (2, None), (3, " ")], "id long, t string")
-    asked = lexical.postings(d, spark.createDataFrame([("b",)], "term string")).collect()
-    assert [(x.id, x.term, x.tf, x.dl) for x in asked] == [(1, "b", 2, 4)]
-    assert lexical.postings(d).count() == 3
+    assert sorted(tuple(x) for x in lexical.postings(d).collect()) == [(1, "a", 1, 4), (1, "b", 2, 4), (1, "c", 1, 4)]
 
 
 def test_pii_findings_prompts_and_bounds(spark):
