@@ -95,12 +95,12 @@ def _as_utf8(s: str) -> list[str]:
     return out
 
 
-def as_utf8(s: str, depth: int = 3) -> list[str]:
-    """What ``s`` says if it is UTF-8 read in a one-byte encoding, once or several times over."""
+def as_utf8(s: str) -> list[str]:
+    """What ``s`` says if it is UTF-8 read in a one-byte encoding, once or any number of times over; each reading is shorter than the one before."""
     out: dict[str, None] = {}
     level = [s]
-    for _ in range(depth):
-        level = [d for x in level for d in _as_utf8(x) if d not in out and d != s]
+    while level:
+        level = list(dict.fromkeys(d for x in level for d in _as_utf8(x) if d not in out and d != s))
         out.update(dict.fromkeys(level))
     return list(out)
 
@@ -354,8 +354,9 @@ def _runs(text: str, pairs: Pairs) -> list[tuple[int, int]]:
 
 def restore(text: str, pairs: Pairs) -> tuple[str, str | None]:
     """The text restored as far as it can be, and its status: restored, partly, lost or None for unaffected."""
-    now, known = text, None
-    for _ in range(4):
+    now, known, seen = text, None, set()
+    while now not in seen:
+        seen.add(now)
         changed: set[tuple[str, str]] | None = None
         for a, b in reversed(_runs(now, pairs)):
             better = repair_run(now, a, b, pairs, known)

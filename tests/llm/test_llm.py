@@ -426,6 +426,14 @@ def test_utf8_damage_is_restored(corpus, read, text):
     assert encoding.restore("Plain words before it. " + bad, corpus) == ("Plain words before it. " + text, "restored")
 
 
+@pytest.mark.parametrize("times", [4, 6])
+def test_damage_upon_damage(corpus, times):
+    bad = GOOD[0]
+    for _ in range(times):
+        bad = bad.encode().decode("latin-1")
+    assert encoding.restore(bad, corpus) == (GOOD[0], "restored")
+
+
 def test_other_damage(corpus):
     twice = GOOD[0].encode().decode("latin-1").encode().decode("latin-1")
     assert encoding.restore(twice, corpus)[0] == GOOD[0]
