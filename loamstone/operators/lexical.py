@@ -84,7 +84,7 @@ def statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: Terms of queries sent to the tasks at once (some 100 bytes each); more make more passes over the documents.
 SHIPPED_TERMS = 500_000
 #: Queries and documents whose scores are in memory at once.
-_QUERIES, _DOCS = 2048, 1000
+_QUERIES, _DOCS = 1024, 500
 
 
 class _Asked:

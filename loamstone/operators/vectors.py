@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from loamstone.plans.tables import cut
 
 #: Bytes of query vectors sent to the tasks at once; more queries make more passes over the rows.
 SHIPPED = 64_000_000
-#: Query vectors that a batch of rows is compared with in one product.
-BLOCK = 2048
+#: Query vectors, and rows, that are compared in one product: some matrices of its size (8 MB) are in memory.
+BLOCK = 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,25 +47,29 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, same: str | None =
         marks = np.array([q[2] for q in block], dtype=object)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            least = np.full(len(ids), -np.inf)
             for pdf in batches:
                 pdf = pdf[[v is not None and len(v) == dim for v in pdf["v"]]]
                 if not len(pdf):
                     continue
                 got = pdf["id"].to_numpy()
                 unit = _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
-                for lo in range(0, len(ids), BLOCK):
-                    part = ids[lo : lo + BLOCK]
-                    score = np.round(unit @ mat[lo : lo + BLOCK].T, 6)
+                mark = pdf["mark"].to_numpy(object) if same else None
+                for lo, at in itertools.product(range(0, len(ids), BLOCK), range(0, len(got), BLOCK)):
+                    part, here = ids[lo : lo + BLOCK], got[at : at + BLOCK]
+                    score = np.round(unit[at : at + BLOCK] @ mat[lo : lo + BLOCK].T, 6)
                     if same:
-                        score = np.where(pdf["mark"].to_numpy(object)[:, None] == marks[None, lo : lo + BLOCK], score, -np.inf)
+                        score[mark[at : at + BLOCK, None] != marks[None, lo : lo + BLOCK]] = -np.inf
                     if not keep_self:
-                        score = np.where(got[:, None] == part[None, :], -np.inf, score)
+                        score[here[:, None] == part[None, :]] = -np.inf
                     if min_score is not None:
-                        score = np.where(score >= min_score, score, -np.inf)
-                    # all that reach the k-th best of the batch, ties with it too
-                    kth = np.partition(score, -k, axis=0)[-k] if len(got) > k else np.full(len(part), -np.inf)
-                    r, j = np.nonzero((score >= kth) & np.isfinite(score))
-                    yield pd.DataFrame({"query_id": part[j], "id": got[r], "score": score[r, j]})
+                        score[score < min_score] = -np.inf
+                    # all that reach the k-th best that this task has met, ties with it too
+                    if len(here) > k:
+                        least[lo : lo + BLOCK] = np.maximum(least[lo : lo + BLOCK], np.partition(score, -k, axis=0)[-k])
+                    r, j = np.nonzero((score >= least[lo : lo + BLOCK]) & np.isfinite(score))
+                    if len(r):
+                        yield pd.DataFrame({"query_id": part[j], "id": here[r], "score": score[r, j]})
 
         return rows.select("id", "v", *([F.col(same).alias("mark")] if same else [])).mapInPandas(search, f"query_id {kinds['id']}, id {kinds['id']}, score double")
 
