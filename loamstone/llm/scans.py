@@ -58,6 +58,7 @@ _FOLD = str.maketrans("015983", "olsgbe")
 _TOKEN = re.compile(r"(?:[^\W_]|[^\x00-\x7f\s–—“”„‘’«»…°·•])+(?:[!|$][^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MARKED = re.compile(r"([^\W\d_](?:[^\W_]|[-’'])*|[^\W_])([-‐¬\xad]) ?$")
+_MARKS = frozenset("-‐¬\xad")
 _TAIL = re.compile(r"[^\W_]+(?:-[^\W_]+)*$")
 _HALF = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 
@@ -512,7 +513,7 @@ class Repairer:
             if not i:
                 out = s
                 continue
-            m = _MARKED.search(out, max(0, len(out) - 60)) if out else None
+            m = _MARKED.search(out, max(0, len(out) - 60)) if out[-2:].rstrip(" ")[-1:] in _MARKS else None
             right = _HALF.match(s.lstrip()) if m else None
             if m and right and (m[2] not in "-‐" or right[0][0].islower() or right[0].isdigit() is False and right[0][0].isalpha() and m[1][-1:].isupper()):
                 left = _TAIL.search(out, max(0, m.start(2) - 60), m.start(2))
@@ -539,9 +540,11 @@ class Repairer:
             lower |= s
         self.editor.learn({w.lower() for w in lower})
         memo = self.editor.memo
+        wrong = {w: c for w in lower if (c := memo.get(w.lower())) is not None}
+        names = set(wrong)
         out = []
         for (t, kinds), s in zip(laid, tokens):
-            bad = {w: c for w in s if (c := memo.get(w.lower())) is not None}
+            bad = {w: wrong[w] for w in s & names}
             if bad:
                 kinds.add("misread")
 
