@@ -84,11 +84,11 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = q.join(context, q["id"] == context["query_id"], "left").select(
         "id", "t", "blocked", "render_header", F.col("context").isNull().alias("low"), T.route(F.col("t")).alias("route"), T.allocate(F.col("context"), F.col("summary"), F.lit(""), F.col("memory")).alias("a")
     )
-    rows = parts.select("id", "t", "blocked", "render_header", "low", "route", F.col("a.context").alias("context"), T.prompt(F.col("a.context"), F.col("a.memory"), F.col("t")).alias("told"))
+    rows = parts.select("id", "t", "blocked", "render_header", "low", "route", F.col("a.context").alias("context"), T.token_estimate(T.prompt(F.col("a.context"), F.col("a.memory"), F.col("t"))).alias("prompt_tokens"))
     done = plugins.generate(rows, "t", "context")
     fit = plugins.grounded(F.col("answer"), F.col("context"))
     done = done.withColumn("grounded", fit).withColumn("final", plugins.corrected(F.coalesce("answer", F.lit("")), F.col("context"), fit))
-    v = done.withColumn("v", T.validated(F.col("final"))).select("id", "blocked", "low", "route", "grounded", "render_header", F.col("v.valid").alias("valid"), F.col("v.text").alias("t"), T.token_estimate(F.col("told")).alias("prompt_tokens"))
+    v = done.withColumn("v", T.validated(F.col("final"))).select("id", "blocked", "low", "route", "grounded", "render_header", F.col("v.valid").alias("valid"), F.col("v.text").alias("t"), "prompt_tokens")
     v = cut(v)
     shown = presentation.present(v.select("id", "t", "render_header"))
     answer = F.when(F.col("blocked").isNotNull(), F.concat(F.lit("[BLOCKED: "), "blocked", F.lit("]"))).when(F.col("low"), F.lit(json.dumps(LOW_CONTEXT))).otherwise(F.col("presented"))
