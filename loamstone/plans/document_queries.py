@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
 from loamstone.operators import ingest, layout, lexical, memory, presentation
-from loamstone.plans.tables import cut, table
+from loamstone.plans.tables import cut, spread, table
 from loamstone.plans.text_queries import _PII_KIND, _STRIP, _WORDS, _bounded, _like, _table_case, quoted
 
 
@@ -17,7 +17,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
 def paragraph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ FILES = ((-1, "blank.txt", "   \n \n"), (-2, "nothing.txt", ""), (-3, "marked.tx
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
-    return d.unionByName(spark.createDataFrame(FILES, "doc long, filename string, text string"))
+    return spread(d).unionByName(spark.createDataFrame(FILES, "doc long, filename string, text string"))
 
 
 def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

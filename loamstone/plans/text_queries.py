@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
-from loamstone.plans.tables import table
+from loamstone.plans.tables import spread, table
 
 # Inputs of every branch that the tables seldom or never hold; no accented letter stands next to an address, as the
 # two engines' word boundaries differ there.
@@ -57,7 +57,7 @@ def _turns(spark: SparkSession, sf_dir: str, col: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")))
 
 
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
