@@ -141,6 +141,8 @@ class Tokens:
         self.ids, self.lows = _Ids(), _Ids()
         self.kind, self.ends, self.short, self.low, self.hash, self.tongue = np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, len(_LANGS)), np.float32)
         self.content = np.zeros(0, bool)
+        #: Languages that a word names, by its number in lower case.
+        self.named: dict[int, list[int]] = {}
 
     def read(self, texts: list[str | None]) -> list[list[int]]:
         ids = self.ids
@@ -165,6 +167,8 @@ class Tokens:
             short.append(k in (_CAP, _UPPER) and len(x) <= 4 or k in (_LOWER, _NUMBER) and len(x) == 1)
             y = x.strip().lower()
             low.append(self.lows[y])
+            if k <= _UPPER and len(y) > 4 and (js := [j for j, p in _ASKS if p.fullmatch(y)]):
+                self.named[low[-1]] = js
             names.append(re.sub(r"\d", "0", y))
             said = [j for j, ws in enumerate(_FUNCTIONS) if y in ws]
             if said:
@@ -271,11 +275,8 @@ class Clauses:
         told = np.where((inside | fence)[:, None], 0, tokens.tongue[tok])
         self.language = _language(np.add.reduceat(told, begin) if m else np.zeros((0, len(_LANGS))), own)
         asked = np.zeros((len(q_size), len(_LANGS)), bool)
-        named = {i: [j for j, p in _ASKS if p.fullmatch(x)] for x, i in tokens.lows.items() if len(x) > 4} if not hasattr(tokens, "named") or tokens.named[0] != len(tokens.lows) else tokens.named[1]
-        tokens.named = (len(tokens.lows), named)
-        names = np.array([i for i, js in named.items() if js], np.int64)
-        for i in np.flatnonzero(np.isin(tokens.low[q_tok], names)):
-            asked[q_text[i], named[int(tokens.low[q_tok[i]])]] = True
+        for i in np.flatnonzero(np.isin(tokens.low[q_tok], np.array(list(tokens.named), np.int64))):
+            asked[q_text[i], tokens.named[int(tokens.low[q_tok[i]])]] = True
         ql = self.query_language[self.text]
         is_asked = (self.language >= 0) & asked[self.text, self.language]
         relation = np.where(self.language < 0, 0, np.where(is_asked, 1, np.where(ql < 0, 2, np.where(ql == self.language, 3, 4))))
