@@ -19,11 +19,28 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(e, "element_id", "text")
 
 
+def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer, word by word."""
+    t = table(spark, sf_dir, "chat_turns").select(F.col("turn_id").cast("string").alias("stream"), F.col("ai_response").alias("r")).distinct().where("r is not null")
+    return t.select("stream", F.posexplode(F.regexp_extract_all("r", F.lit(r"(\s*\S+\s?|\s+$)"), F.lit(1))).alias("seq", "token"))
+
+
 def block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every answer, fed word by word."""
-    t = table(spark, sf_dir, "chat_turns").select(F.col("turn_id").cast("string").alias("stream"), F.col("ai_response").alias("r")).distinct().where("r is not null")
-    tokens = t.select("stream", F.posexplode(F.regexp_extract_all("r", F.lit(r"(\s*\S+\s?|\s+$)"), F.lit(1))).alias("seq", "token"))
-    return blocks.fold_blocks(tokens)
+    return blocks.fold_blocks(_fed(spark, sf_dir))
+
+
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every answer as it is told: stages, tokens, finished blocks, the whole."""
+    return blocks.fold_events(_fed(spark, sf_dir))
+
+
+def answer_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per answer: its tokens, whether the events end as they should, and its text as the last event gives it."""
+    e = answer_events(spark, sf_dir)
+    last = F.get_json_object(F.max_by("payload", "seq"), "$.content")
+    g = e.groupBy("stream").agg(F.count_if(F.col("kind") == "token").alias("n_tokens"), (F.max_by("kind", "seq") == "final_transformed").alias("complete"), F.md5(F.regexp_replace(last, _BLANK, "")).alias("text_md5"))
+    return g.select(F.col("stream").cast("long").alias("turn_id"), "n_tokens", "complete", "text_md5")
 
 
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -113,8 +130,9 @@ def smart_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(named, "key", "t")
 
 
-QUERIES = {q.__name__: q for q in (recursive_chunks, block_stream, block_stream_text, breaker_fold, answer_questions, smart_chunks)}
+QUERIES = {q.__name__: q for q in (recursive_chunks, block_stream, block_stream_text, answer_events, answer_event_counts, breaker_fold, answer_questions, smart_chunks)}
 SQL = {
+    "answer_event_counts": f"SELECT DISTINCT turn_id, len(regexp_extract_all(ai_response, '(\\s*\\S+\\s?|\\s+$)', 1)) AS n_tokens, true AS complete, md5(regexp_replace(ai_response, '{_BLANK}', '', 'g')) AS text_md5 FROM chat_turns WHERE ai_response <> ''",
     "block_stream_text": f"SELECT DISTINCT turn_id, md5(regexp_replace(ai_response, '{_BLANK}', '', 'g')) AS text_md5 FROM chat_turns WHERE regexp_replace(ai_response, '{_BLANK}', '', 'g') <> ''",
     "breaker_fold": f"""WITH RECURSIVE r AS (SELECT session_id AS service, request_id AS seq, epoch(ts) AS at_s, error IS NULL AS ok, row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS rn FROM requests WHERE ts IS NOT NULL AND session_id IS NOT NULL),
 f AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -89,3 +90,69 @@ def stream_blocks(tokens: DataFrame, idle_ms: int | None = 600_000) -> DataFrame
             yield _rows(key[0], events)
 
     return tokens.groupBy("stream").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+EVENTS = "stream string, seq long, kind string, payload string"
+_EVENT_STATE = "buffer string, block int, seq long, said string"
+
+
+class AnswerEvents:
+    """The events of an answer as it is told: its stages, every token, every block that is finished, and the whole at the end."""
+
+    def __init__(self, buffer: str = "", block: int = 0, seq: int = 0, said: str = ""):
+        self.blocks, self.seq, self.said = BlockStreamer(buffer, block), seq, said
+
+    def _event(self, kind: str, payload: str) -> tuple[int, str, str]:
+        self.seq += 1
+        return self.seq, kind, payload
+
+    def _committed(self, done: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
+        return [self._event("block_commit", json.dumps({"id": b, "content": c}, ensure_ascii=False)) for b, c in done]
+
+    def feed(self, token: str) -> list[tuple[int, str, str]]:
+        first = [self._event("stage", "generating")] if not self.seq else []
+        self.said += token
+        return [*first, self._event("token", token), *self._committed(self.blocks.feed(token))]
+
+    def end(self) -> list[tuple[int, str, str]]:
+        return [*self._committed(self.blocks.flush()), self._event("stage", "done"), self._event("final_transformed", json.dumps({"content": self.said.strip()}, ensure_ascii=False))]
+
+
+def _events(stream: str, events: list[tuple[int, str, str]]) -> pd.DataFrame:
+    return pd.DataFrame([(stream, *e) for e in events], columns=["stream", "seq", "kind", "payload"])
+
+
+def fold_events(tokens: DataFrame) -> DataFrame:
+    """Events (stream, seq, kind, payload) of complete streams (stream, seq, token)."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = AnswerEvents()
+        return _events(pdf["stream"].iloc[0], [e for t in pdf.sort_values("seq")["token"] if t for e in a.feed(t)] + a.end())
+
+    return tokens.groupBy("stream").applyInPandas(fold, EVENTS)
+
+
+def stream_events(tokens: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
+    """The same over a streaming DataFrame; a NULL token, or ``idle_ms`` without one, ends a stream (see ``stream_blocks``)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        a = AnswerEvents(*state.get) if state.exists else AnswerEvents()
+        ended, events = state.hasTimedOut, []
+        rows = [] if ended else pd.concat(list(batches), ignore_index=True).sort_values("seq")["token"]
+        for t in rows:
+            if t is None or t != t:
+                ended = True
+            elif t:
+                events += a.feed(t)
+        if ended:
+            events += a.end()
+            state.remove()
+        else:
+            state.update((a.blocks.buffer, a.blocks.block, a.seq, a.said))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        if events:
+            yield _events(key[0], events)
+
+    return tokens.groupBy("stream").applyInPandasWithState(step, EVENTS, _EVENT_STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamstone.functions import text as T
 from loamstone.operators import layout, lexical, memory, plugins, presentation
 from loamstone.plans import tables
-from loamstone.streaming.blocks import stream_blocks
+from loamstone.streaming.blocks import fold_events, stream_blocks, stream_events
 from loamstone.streaming.breaker import Breaker, fold_breaker
 
 
@@ -176,6 +176,19 @@ def test_an_idle_stream_is_flushed(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select * from idle").collect()] == [("a", 1, "One para goes on")]
 
 
+def test_answer_events_in_batch_and_stream(spark, tmp_path):
+    rows = [(s, i, t) for s in ("a", "b") for i, t in enumerate(["One ", "para", "\n\n", "Two ", "more text", "\n\n", "Three é"])]
+    df = spark.createDataFrame(rows, "stream string, seq long, token string")
+    want = {tuple(r) for r in fold_events(df).collect()}
+    mine = [r[2:] for r in sorted(want) if r[0] == "a"]
+    assert [k for k, _ in mine].count("token") == 7 and [k for k, _ in mine].count("block_commit") == 3
+    assert mine[0] == ("stage", "generating") and mine[-1][0] == "final_transformed" and "Three é" in mine[-1][1]
+    df.unionByName(spark.createDataFrame([("a", 99, None), ("b", 99, None)], "stream string, seq long, token string")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = stream_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle_ms=None).writeStream.format("memory").queryName("events_told").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert {tuple(r) for r in spark.sql("select * from events_told").collect()} == want
+
+
 def test_turns_are_numbered(spark):
     df = spark.createDataFrame([("s", 5, "2025-01-01 00:00:00"), ("s", 7, "2025-01-01 00:00:02.5"), ("t", 1, None)], "session string, turn int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = sorted(tuple(r) for r in memory.numbered(df).select("session", "turn_index", "stamp", "since_ms").collect())
