@@ -2,9 +2,9 @@
 
 1. Counts of adjacent character pairs with a character beyond ASCII, over the whole column, into a table of
    fixed size. Runs that an inverse mapping turns into valid UTF-8 are left out of the counts, so that
-   damage does not teach the table that it is normal. One-byte misreadings show only against the counts: the column
-   is counted again without the words of texts that an inverse mapping makes likelier, at most ``PASSES`` times in all. A
-   misreading that most texts of its language share is taken for normal.
+   damage does not teach the table that it is normal. One-byte misreadings show only against the counts: the words of
+   texts that an inverse mapping makes likelier are taken out of them, found at most ``PASSES`` - 1 times, each time under the
+   counts before. A misreading that most texts of its language share is taken for normal.
 2. Each pair has its part in the corpus's mutual information, p(x,y)·log(p(x,y)/p(x)p(y)). A pair
    scores by how far that part lies below ``FLOOR``; the maximum-scoring segments of a text are its improbable runs.
 3. Only inside those runs inverse mappings are tried (written as A, read as B: encode in B, decode as A), again and
@@ -41,6 +41,10 @@ ACCENTS = 1.0
 SEEN_LEAST, SEEN_EACH = 0.5, 0.3
 #: Least gain of a word, so that one odd word does not outweigh a text; and counts of the column at most.
 _WORST, PASSES = -3.0, 4
+#: Characters of text whose words are judged at once.
+_WORDS_OF = 1_000_000
+#: Characters of a stretch whose inverse is remembered, at most: longer ones hardly come again.
+_KEPT = 500
 #: Score of a pair of ASCII characters: a run goes over a few of them, not over many.
 _PLAIN = -1.5
 _CHUNK = 500
@@ -51,7 +55,7 @@ _WRITTEN_AS = ("utf-8", "cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8
 # Pairs of one-byte encodings that are worth a test.
 _ONE_BYTE = [("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("latin-1", "cp850"), ("latin-1", "cp437"), ("cp1251", "cp1252"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("cp1250", "cp1252"), ("latin-1", "mac_roman"), ("cp1252", "cp866"), ("latin-1", "cp866")]
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-_HIGH_WORD = re.compile("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
+_UNITS = (re.compile(r"(?s).+"), re.compile(r"\S+"), _HIGH)
 _ACCENTED = re.compile("[\u00c0-\u00ff](?=[\u00c0-\u00ff])")
 #: What text in the languages at hand consists of beyond ASCII; a reading as UTF-8 must give it to keep a run out of the counts.
 _USUAL = re.compile("[\u00a1-\u017f\u0400-\u045f\u2010-\u2044\u20ac\u2122]+")
@@ -73,21 +77,47 @@ def _table(encoding: str) -> dict[str, int]:
 _BYTES = {e: _table(e) for e in dict.fromkeys((*_READ_AS, *(a for a, _ in _ONE_BYTE)))}
 
 
-def _encode(s: str, encoding: str) -> bytes | None:
-    t = _BYTES[encoding]
-    try:
-        return bytes([t[c] for c in s])
-    except KeyError:
-        return None
+def _moves(read: str, written: str) -> dict[int, str]:
+    """Character → what its byte in ``read`` is in ``written``, without those that become damage or nothing."""
+    out = {}
+    for c, b in _BYTES[read].items():
+        try:
+            d = bytes([b]).decode(written)
+        except UnicodeDecodeError:
+            continue
+        if not _LOST.search(d):
+            out[ord(c)] = d
+    return out
+
+
+def _bits(tables: list[set[str]]) -> dict[str, int]:
+    """Character → the tables that have it, a bit each."""
+    return {c: sum(1 << k for k, t in enumerate(tables) if c in t) for c in set().union(*tables)}
+
+
+_MOVES = [_moves(*pair) for pair in _ONE_BYTE]
+_PAIR_OF = {pair: k for k, pair in enumerate(_ONE_BYTE)}
+_READABLE = _bits([set(_BYTES[e]) for e in _READ_AS])
+_MOVABLE = _bits([set(map(chr, m)) for m in _MOVES])
+
+
+def _fitting(s: str, bits: dict[str, int]) -> int:
+    """The tables that have all characters of ``s``, a bit each."""
+    out = -1
+    for c in set(s):
+        out &= bits.get(c, 0)
+        if not out:
+            break
+    return out
 
 
 def _as_utf8(s: str) -> list[str]:
     out = []
-    for e in _READ_AS:
-        b = _encode(s, e)
-        if b is not None:
+    fit = _fitting(s, _READABLE)
+    for k, e in enumerate(_READ_AS):
+        if fit >> k & 1:
             try:
-                d = b.decode("utf-8")
+                d = bytes(map(_BYTES[e].__getitem__, s)).decode("utf-8")
             except UnicodeDecodeError:
                 continue
             if d != s:
@@ -111,57 +141,110 @@ def _bucket(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return ((k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(45)).astype(np.int64) % BUCKETS
 
 
+def _bucket_of(x: int, y: int) -> int:
+    """``_bucket`` of one pair."""
+    k = (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+    return (((k ^ (k >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 45) % BUCKETS
+
+
 #: Second member of the "pair" under which a character by itself is counted, and the key of all characters.
 _ALONE, _ALL = 0x110000, 0x110001
 
 
-def _join(texts: list[str | None]) -> tuple[str, np.ndarray]:
-    s = "\x00".join(t if t is not None else "" for t in texts) + "\x00"
-    return s, np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _join(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts, a null character before, between and after them; its characters; and where the null after each text is."""
+    s = "\x00".join(["", *(t or "" for t in texts), ""])
+    return s, np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t or "") + 1 for t in texts])
+
+
+def _stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of true values; the first and the last value are false."""
+    at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return at[::2], at[1::2]
+
+
+class _Utf8:
+    """Runs that an inverse mapping turns into valid UTF-8; they aren't counted."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, r: str) -> bool:
+        bad = self.known.get(r)
+        if bad is None:
+            bad = any(_USUAL.fullmatch(d) or d == "\xa0" for d in as_utf8(r))
+            if len(self.known) < 100_000:
+                self.known[r] = bad
+        return bad
 
+    def mark(self, skip: np.ndarray, s: str, starts: np.ndarray, ends: np.ndarray) -> None:
+        long = ends - starts > 1
+        for i, j in zip(starts[long].tolist(), ends[long].tolist()):
+            if self(s[i:j]):
+                skip[i:j] = True
 
-def _counting(counts: np.ndarray | None):
-    """Counts pairs; with the ``counts`` of an earlier pass, without the words that look misread under them."""
+
+def _add(total: np.ndarray, chars: np.ndarray, x: np.ndarray, y: np.ndarray, sign: int = 1) -> None:
+    """Adds characters, and pairs of them, to the counts."""
+    one, n = np.unique(chars, return_counts=True)
+    np.add.at(total, _bucket(one, np.full(len(one), _ALONE)), sign * n)
+    total[_bucket(np.array([_ALL]), np.array([_ALL]))] += sign * len(chars)
+    two, n = np.unique(x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64), return_counts=True)
+    np.add.at(total, _bucket(two >> np.uint64(32), two & np.uint64(0xFFFFFFFF)), sign * n)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of characters and pairs."""
+    total, utf8 = np.zeros(BUCKETS, np.int64), _Utf8()
+    for pdf in batches:
+        texts = pdf["t"].tolist()
+        for lo, hi in portions(list(map(len, texts)), _CHUNK):
+            s, c, _ = _join(texts[lo:hi])
+            high, skip = c >= 128, np.zeros(len(c), bool)
+            utf8.mark(skip, s, *_stretches(high))
+            p = np.flatnonzero((high[:-1] | high[1:]) & ~skip[:-1] & ~skip[1:])
+            _add(total, c[1:][~skip[1:]], c[p], c[p + 1])
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+
+def _taking_out(counts: np.ndarray):
+    """What the words that look misread under ``counts`` have added to the counts of all, as negative counts."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        known: dict[str, bool] = {}
-        misread = _Misread(Pairs(counts)) if counts is not None else None
+        total, utf8, misread = np.zeros(BUCKETS, np.int64), _Utf8(), _Misread(Pairs(counts))
         for pdf in batches:
             texts = pdf["t"].tolist()
-            for lo, hi in portions(list(map(len, texts)), _CHUNK):
-                s, c = _join(texts[lo:hi])
-                skip = np.zeros(len(c), bool)
-                for m in _HIGH.finditer(s):
-                    r = m.group()
-                    if len(r) > 1:
-                        bad = known.get(r)
-                        if bad is None:
-                            bad = any(_USUAL.fullmatch(d) or d == "\xa0" for d in as_utf8(r))
-                            if len(known) < 100_000:
-                                known[r] = bad
-                        if bad:
-                            skip[m.start() : m.end()] = True
-                if misread is not None:
-                    at = 0
-                    for t in texts[lo:hi]:
-                        if t and not t.isascii():
-                            for i, j in misread(t):
-                                skip[at + i : at + j] = True
-                        at += len(t or "") + 1
-                chars, n = np.unique(c[~skip], return_counts=True)
-                np.add.at(total, _bucket(chars, np.full(len(chars), _ALONE)), n)
-                total[_bucket(np.array([_ALL]), np.array([_ALL]))] += int((~skip).sum())
-                p = np.flatnonzero(((c[:-1] >= 128) | (c[1:] >= 128)) & ~skip[:-1] & ~skip[1:])
-                pairs, n = np.unique(c[p].astype(np.uint64) << np.uint64(32) | c[p + 1].astype(np.uint64), return_counts=True)
-                np.add.at(total, _bucket(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), n)
+            for lo, hi in portions(list(map(len, texts)), _CHUNK, _WORDS_OF):
+                s, c, ends = _join(texts[lo:hi])
+                out, hit = misread(s, c, ends)
+                if not len(hit):
+                    continue
+                high, skip = c >= 128, np.zeros(len(c), bool)
+                starts, stops = _stretches(high)
+                there = np.isin(np.searchsorted(ends, starts), hit)  # elsewhere nothing changes
+                utf8.mark(skip, s, starts[there], stops[there])
+                out &= ~skip
+                p = np.flatnonzero((high[:-1] | high[1:]) & (out[:-1] | out[1:]) & ~skip[:-1] & ~skip[1:])
+                _add(total, c[out], c[p], c[p + 1], -1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     return go
 
 
-_count = _counting(None)
+class _Given(dict):
+    """Pair of characters → log of the second's probability after the first; kept once computed."""
+
+    def __init__(self, pairs: Pairs):
+        super().__init__()
+        self.pairs = pairs
+
+    def __missing__(self, k: tuple[str, str]) -> float:
+        v = self.pairs.given(*k)
+        if len(self) < 500_000:
+            self[k] = v
+        return v
 
 
 class Pairs:
@@ -170,8 +253,9 @@ class Pairs:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.total = float(counts[_bucket(np.array([_ALL]), np.array([_ALL]))][0]) + 1
-        self._memo: dict[tuple[str, str], float] = {}
+        self._given = _Given(self)
         self.inverse: dict[tuple[object, ...], _Found | None] = {}
+        self.repaired: dict[tuple[object, ...], tuple[str, set[tuple[str, str]]] | None] = {}
 
     def alone(self, x: np.ndarray) -> np.ndarray:
         return (self.counts[_bucket(x, np.full(len(x), _ALONE))] + 0.02) / self.total
@@ -182,23 +266,16 @@ class Pairs:
         part = p * np.log(p / (self.alone(x) * self.alone(y)))
         return np.clip(np.log(FLOOR / np.maximum(part, 1e-9)), -6, 6)
 
-    def _given(self, x: str, y: str) -> float:
-        k = (x, y)
-        v = self._memo.get(k)
-        if v is None:
-            a, b = np.array([ord(x)]), np.array([ord(y)])
-            base = float(self.alone(b)[0])
-            if ord(x) < 128 and ord(y) < 128:
-                v = math.log(base)
-            else:
-                n, nx = float(self.counts[_bucket(a, b)][0]), float(self.counts[_bucket(a, np.array([_ALONE]))][0])
-                v = math.log((n + 5 * base) / (max(n, nx) + 5))
-            if len(self._memo) < 500_000:
-                self._memo[k] = v
-        return v
+    def given(self, x: str, y: str) -> float:
+        a, b = ord(x), ord(y)
+        base = (int(self.counts[_bucket_of(b, _ALONE)]) + 0.02) / self.total
+        if a < 128 and b < 128:
+            return math.log(base)
+        n, nx = int(self.counts[_bucket_of(a, b)]), int(self.counts[_bucket_of(a, _ALONE)])
+        return math.log((n + 5 * base) / (max(n, nx) + 5))
 
     def likelihood(self, s: str) -> float:
-        return sum(self._given(x, y) for x, y in zip(s, s[1:]))
+        return sum(map(self._given.__getitem__, zip(s, s[1:])))
 
 
 class _Misread:
@@ -210,39 +287,60 @@ class _Misread:
 
     def __init__(self, pairs: Pairs):
         self.pairs = pairs
-        self.memo: dict[str, np.ndarray] = {}
-
-    def gains(self, w: str) -> np.ndarray:
-        g = self.memo.get(w)
-        if g is None:
-            said = lambda t: self.pairs.likelihood(f" {t} ") - ACCENTS * len(_ACCENTED.findall(t))
-            own, made = said(w), {}
-            g = np.full(len(_ONE_BYTE), _WORST)
-            for k, (read, written) in enumerate(_ONE_BYTE):
-                b = _encode(w, read)
-                if b is None:
-                    continue
-                try:
-                    d = b.decode(written)
-                except UnicodeDecodeError:
-                    continue
-                if not _LOST.search(d):
-                    if d not in made:
-                        made[d] = max(_WORST, said(d) - own)
-                    g[k] = made[d]
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[w] = g
+        self.row: dict[str, int] = {}
+        self.table = np.empty((1 << 12, len(_ONE_BYTE)))
+
+    def gains(self, w: str) -> np.ndarray | float:
+        fit = _fitting(w, _MOVABLE)
+        if not fit:
+            return _WORST
+        said = lambda t: self.pairs.likelihood(f" {t} ") - ACCENTS * len(_ACCENTED.findall(t))
+        own, made = said(w), {}
+        g = np.full(len(_ONE_BYTE), _WORST)
+        for k, moves in enumerate(_MOVES):
+            if fit >> k & 1:
+                d = w.translate(moves)
+                if d not in made:
+                    made[d] = max(_WORST, said(d) - own)
+                g[k] = made[d]
         return g
 
-    def __call__(self, text: str) -> list[tuple[int, int]]:
-        found = [(m.start(), m.end(), m[0]) for m in _HIGH_WORD.finditer(text)]
-        gains = [self.gains(w) for _, _, w in found]
-        total = np.sum(gains, axis=0)
-        k = int(total.argmax())
-        if total[k] < max(SEEN_LEAST, SEEN_EACH * sum(ord(c) >= 128 for _, _, w in found for c in w)):
-            return []
-        return [(i, j) for (i, j, _), g in zip(found, gains) if g[k] > 0]
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Where in the table the words' gains are."""
+        if len(self.row) > 200_000:
+            self.row.clear()
+        out = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            r = self.row.get(w)
+            if r is None:
+                r = self.row[w] = len(self.row)
+                if r == len(self.table):
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                self.table[r] = self.gains(w)
+            out[i] = r
+        return out
+
+    def __call__(self, s: str, c: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which characters of the joined texts are in such words, and the texts that have any."""
+        high = c >= 128
+        starts, stops = _stretches(high | ((c | 32) - 97 < 26))  # c has no sign: what is below "a" is far above
+        before = np.concatenate([[0], np.cumsum(high)])
+        n = before[stops] - before[starts]
+        starts, stops, n = starts[n > 0], stops[n > 0], n[n > 0]
+        out = np.zeros(len(c), bool)
+        if not len(starts):
+            return out, starts
+        rows = self.rows([s[i:j] for i, j in zip(starts.tolist(), stops.tolist())])
+        text = np.searchsorted(ends, starts)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        total = np.add.reduceat(self.table[rows], first, axis=0)
+        best = total.argmax(1)
+        found = total[np.arange(len(first)), best] >= np.maximum(SEEN_LEAST, SEEN_EACH * np.add.reduceat(n, first))
+        of = np.cumsum(np.diff(text, prepend=-1) > 0) - 1
+        take = found[of] & (self.table[rows, best[of]] > 0)
+        for i, j in zip(starts[take].tolist(), stops[take].tolist()):
+            out[i:j] = True
+        return out, np.unique(text[take])
 
 
 def segments(at: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
@@ -273,6 +371,8 @@ _Found = tuple[str, tuple[str, str] | None]
 
 def _better(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tuple[str, str]] | None) -> _Found | None:
     """The likeliest inverse of ``s`` between its neighbours, if it is likely enough; words come again and again."""
+    if len(s) > _KEPT:
+        return _inverse(s, before, after, pairs, known)
     k = (s, before, after, known)
     if k not in pairs.inverse:
         if len(pairs.inverse) > 100_000:
@@ -284,10 +384,13 @@ def _better(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tupl
 def _inverse(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tuple[str, str]] | None) -> _Found | None:
     """``known``: the one-byte pairs that the text is known to have suffered, once there is something known of it."""
     said = lambda t: pairs.likelihood(before + t + after) - ACCENTS * len(_ACCENTED.findall(t))
+    readings, fit = as_utf8(s), _fitting(s, _MOVABLE)
+    if not readings and not fit:
+        return None
     own = said(s)
     best: _Found | None = None
     gain = 0.0
-    for d in as_utf8(s):
+    for d in readings:
         g = said(d) - own
         if g >= MARGIN_UTF8 and g > gain:
             best, gain = (d, None), g
@@ -295,29 +398,37 @@ def _inverse(s: str, before: str, after: str, pairs: Pairs, known: frozenset[tup
         return best
     high = sum(ord(c) >= 128 for c in s)
     need = max(MARGIN_BYTE, MARGIN_BYTE_EACH * high) if known is None else 0.1
+    tried = {s}
     for pair in _ONE_BYTE if known is None else known:
-        b = _encode(s, pair[0])
-        if b is None:
-            continue
-        try:
-            d = b.decode(pair[1])
-        except UnicodeDecodeError:
-            continue
-        if d != s and not _LOST.search(d):
-            g = said(d) - own
-            if g >= need and g > gain:
-                best, gain = (d, pair), g
+        if fit >> _PAIR_OF[pair] & 1:
+            d = s.translate(_MOVES[_PAIR_OF[pair]])
+            if d not in tried:
+                tried.add(d)
+                g = said(d) - own
+                if g >= need and g > gain:
+                    best, gain = (d, pair), g
     return best
 
 
 def repair_run(text: str, a: int, b: int, pairs: Pairs, known: frozenset[tuple[str, str]] | None = None) -> tuple[str, set[tuple[str, str]]] | None:
     """``text`` with its run a:b restored and the one-byte pairs it took, or None. Tries the run, then its words, then each stretch beyond ASCII."""
-    run = text[a:b]
-    before, after = text[a - 1 : a] or "\x00", text[b : b + 1] or "\x00"
-    for unit in (r"(?s).+", r"\S+", r"[^\x00-\x7f]+"):
+    k = (text[a:b], text[a - 1 : a] or "\x00", text[b : b + 1] or "\x00", known)
+    if k in pairs.repaired:
+        found = pairs.repaired[k]
+    else:
+        found = _repaired(*k, pairs)
+        if b - a <= _KEPT:
+            if len(pairs.repaired) > 100_000:
+                pairs.repaired.clear()
+            pairs.repaired[k] = found
+    return found and (text[:a] + found[0] + text[b:], found[1])
+
+
+def _repaired(run: str, before: str, after: str, known: frozenset[tuple[str, str]] | None, pairs: Pairs) -> tuple[str, set[tuple[str, str]]] | None:
+    for unit in _UNITS:
         out, at = [], 0
         used: set[tuple[str, str]] = set()
-        for m in re.finditer(unit, run):
+        for m in unit.finditer(run):
             s = m.group()
             if not _HIGH.search(s):
                 continue
@@ -330,16 +441,20 @@ def repair_run(text: str, a: int, b: int, pairs: Pairs, known: frozenset[tuple[s
                 if found[1]:
                     used.add(found[1])
         if at:
-            return text[:a] + "".join(out) + run[at:] + text[b:], used
+            return "".join(out) + run[at:], used
     return None
 
 
 def _runs(text: str, pairs: Pairs) -> list[tuple[int, int]]:
-    c = np.frombuffer(("\x00" + text + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32)
-    x, y = c[:-1], c[1:]
-    p = np.flatnonzero((x >= 128) | (y >= 128))
+    _, c, _ = _join([text])
+    p = np.flatnonzero((c[:-1] >= 128) | (c[1:] >= 128))
+    return _runs_of(text, p, pairs.improbable(c[p], c[p + 1]))
+
+
+def _runs_of(text: str, p: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
+    """The improbable runs of ``text`` by the scores of its pairs; pair i joins characters i-1 and i."""
     out: list[tuple[int, int]] = []
-    for a, b in segments(p, pairs.improbable(x[p], y[p])):  # pair i joins characters i-1 and i of the text
+    for a, b in segments(p, score):
         a, b = max(0, a - 1), min(len(text), b)
         while a > 0 and ord(text[a - 1]) >= 128 and a < len(text) and ord(text[a]) >= 128:
             a -= 1
@@ -352,13 +467,13 @@ def _runs(text: str, pairs: Pairs) -> list[tuple[int, int]]:
     return out
 
 
-def restore(text: str, pairs: Pairs) -> tuple[str, str | None]:
-    """The text restored as far as it can be, and its status: restored, partly, lost or None for unaffected."""
+def restore(text: str, pairs: Pairs, runs: list[tuple[int, int]] | None = None) -> tuple[str, str | None]:
+    """The text restored as far as it can be, and its status: restored, partly, lost or None for unaffected. ``runs``: its improbable runs, if known."""
     now, known, seen = text, None, set()
     while now not in seen:
         seen.add(now)
         changed: set[tuple[str, str]] | None = None
-        for a, b in reversed(_runs(now, pairs)):
+        for a, b in reversed(runs if runs is not None and now == text else _runs(now, pairs)):
             better = repair_run(now, a, b, pairs, known)
             if better is not None:
                 now = better[0]
@@ -381,13 +496,15 @@ def _restore(counts: np.ndarray):
             out = []
             for lo, hi in portions(list(map(len, texts)), _CHUNK):
                 part = texts[lo:hi]
-                s, c = _join(part)
+                _, c, ends = _join(part)
                 p = np.flatnonzero((c[:-1] >= 128) | (c[1:] >= 128))
-                low = p[pairs.improbable(c[p], c[p + 1]) > 0]
-                low = np.concatenate([low, np.flatnonzero(c == 0xFFFD)])
-                ends = np.cumsum([len(t) + 1 for t in part])
-                for i in np.unique(np.searchsorted(ends, low, "right")).tolist():
-                    fixed, status = restore(part[i], pairs)
+                score = pairs.improbable(c[p], c[p + 1])
+                low = np.searchsorted(ends, np.concatenate([p[score > 0], np.flatnonzero(c == 0xFFFD)]), "right")
+                at = np.concatenate([[0], ends])
+                bounds = np.searchsorted(p, at)
+                for i in np.unique(low).tolist():
+                    of = slice(bounds[i], bounds[i + 1])
+                    fixed, status = restore(part[i], pairs, _runs_of(part[i], p[of] - at[i], score[of]))
                     if status:
                         out.append((keys[lo + i], status, part[i], fixed))
             yield pd.DataFrame(out, columns=["k", "status", "text", "restored_text"])
@@ -400,18 +517,16 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
     texts = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")))
     beyond = texts.where(F.col("t").rlike(r"[^\x00-\x7F]"))
 
-    def counted(rows: DataFrame, before: np.ndarray | None) -> np.ndarray:
+    def added(rows: DataFrame, count) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
-        t = rows.mapInPandas(_counting(before), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        t = rows.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts[t["bucket"].to_numpy().astype(np.int64)] = t["n"].to_numpy().astype(np.int64)
         return counts
 
-    # ASCII texts hold nothing that is left out, and are counted once
-    plain = counted(texts.where(~F.col("t").rlike(r"[^\x00-\x7F]")), None)
-    counts = plain + counted(beyond, None)
+    counts = every_text = added(texts, _count)
     every = _bucket(np.array([_ALL]), np.array([_ALL]))
     for _ in range(PASSES - 1):
-        before, counts = counts, plain + counted(beyond, counts)
+        before, counts = counts, every_text + added(beyond, _taking_out(counts))
         if abs(int(counts[every][0] - before[every][0])) <= 1e-5 * int(before[every][0]):
             break
     return counts

@@ -1,5 +1,7 @@
+import cProfile
 import itertools
 import random
+import re
 import string
 
 import numpy as np
@@ -456,6 +458,83 @@ def test_one_byte_damage_of_a_third(spark, written, read):
     assert got == {i: good[i] for i, t in rows if t != good[i]}
 
 
+def damaged_texts(n):
+    r = random.Random(5)
+    vocab = [w for t in GOOD for w in t.split()]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randrange(1, 30))) for _ in range(n)]
+    bad = [t.encode("mac_roman", "ignore").decode("cp1252", "ignore") if i % 9 == 0 else t for i, t in enumerate(texts)]
+    return [t.encode().decode("latin-1") if i % 13 == 0 else t for i, t in enumerate(bad)] + ["", "é", "\U0001f600 ok", "\ud800", "word"]
+
+
+def summed(count, texts, n):
+    out = np.zeros(encoding.BUCKETS, np.int64)
+    for t in count(pd.DataFrame({"k": range(i, min(i + n, len(texts))), "t": texts[i : i + n]}) for i in range(0, len(texts), n)):
+        np.add.at(out, t["bucket"].to_numpy(), t["n"].to_numpy())
+    return out
+
+
+def naive_counts(texts, earlier=None):
+    """Counts of the texts without their misread stretches, one character at a time."""
+    out = np.zeros(encoding.BUCKETS, np.int64)
+    at = lambda x, y: int(encoding._bucket(np.array([x]), np.array([y]))[0])
+    pairs = encoding.Pairs(earlier) if earlier is not None else None
+    said = lambda t: pairs.likelihood(f" {t} ") - encoding.ACCENTS * len(encoding._ACCENTED.findall(t))
+
+    def gain(w, read, written):
+        table = encoding._table(read)
+        try:
+            d = bytes(table[c] for c in w).decode(written)
+        except (KeyError, UnicodeDecodeError):
+            return encoding._WORST
+        return encoding._WORST if encoding._LOST.search(d) else max(encoding._WORST, said(d) - said(w))
+
+    for t in texts:
+        skip = set()
+        for m in re.finditer("[^\x00-\x7f]{2,}", t):
+            if any(encoding._USUAL.fullmatch(d) or d == "\xa0" for d in encoding.as_utf8(m.group())):
+                skip.update(range(*m.span()))
+        found = list(re.finditer("[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*", t))
+        if pairs and found:
+            gains = np.array([[gain(m.group(), *p) for p in encoding._ONE_BYTE] for m in found])
+            k = int(gains.sum(axis=0).argmax())
+            if gains[:, k].sum() >= max(encoding.SEEN_LEAST, encoding.SEEN_EACH * sum(ord(c) >= 128 for c in t)):
+                for m, g in zip(found, gains):
+                    if g[k] > 0:
+                        skip.update(range(*m.span()))
+        for i in range(-1, len(t)):
+            x, y = (ord(t[j]) if 0 <= j < len(t) else 0 for j in (i, i + 1))
+            if i + 1 not in skip:
+                out[at(y, encoding._ALONE)] += 1
+                out[at(encoding._ALL, encoding._ALL)] += 1
+            if max(x, y) >= 128 and i not in skip and i + 1 not in skip:
+                out[at(x, y)] += 1
+    return out
+
+
+def test_counts_are_those_of_single_texts():
+    texts = damaged_texts(150)
+    first = summed(encoding._count, texts, 1000)
+    assert np.array_equal(first, naive_counts(texts))
+    assert np.array_equal(first, summed(encoding._count, texts, 7))  # however the texts are parted
+    second = naive_counts(texts, first)
+    assert second.sum() < first.sum()
+    for n in (1000, 7):
+        assert np.array_equal(first + summed(encoding._taking_out(first), texts, n), second)
+
+
+def test_recurring_words_are_judged_once():
+    texts = damaged_texts(3000)
+    counts = summed(encoding._count, texts, 1000)
+
+    def calls(work):
+        p = cProfile.Profile()
+        p.runcall(lambda: list(work(iter([pd.DataFrame({"k": range(len(texts)), "t": texts})]))))
+        return sum(e.callcount for e in p.getstats()) / len(texts)
+
+    assert calls(encoding._taking_out(counts)) < 60
+    assert calls(encoding._restore(counts)) < 80
+
+
 def test_encoding_on_odd_tables(spark):
     df = spark.createDataFrame([("a", GOOD[0].encode().decode("cp1252")), ("a", GOOD[0].encode().decode("cp1252")), ("b", None), ("c", ""), *[(f"g{i}", t) for i, t in enumerate(GOOD * 30)]], "id string, t string").withColumn("k", F.lit(1))
     got = encoding.repair_encoding(df, "id", "t").collect()
